@@ -2,14 +2,27 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from .common import documents
+from .op01_language import identify_languages
+from .op02_toxicity import score_toxicity
+from .op04_packing import pack_documents
+from .op06_bpe import encode_documents
 from .op07_sharding import oracle as sharding_sql
 from .op07_sharding import shard_rows
 from .op08_merkle import fingerprint_edits
 from .op09_secrets import oracle as secrets_sql
 from .op09_secrets import scan_documents
 
+#: The vocabulary file that the packing and encoding queries are stated for.
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
 QUERIES = {
+    "op1_ppm_language": lambda spark, sf_dir: identify_languages(documents(spark, sf_dir)),
+    "op2_factorization_toxicity": lambda spark, sf_dir: score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")),
+    "op4_sum_of_squares_packing": lambda spark, sf_dir: pack_documents(documents(spark, sf_dir), VOCABULARY),
+    "op6_bpe_automaton": lambda spark, sf_dir: encode_documents(documents(spark, sf_dir), VOCABULARY),
     "op7_feistel_sharding": lambda spark, sf_dir: shard_rows(documents(spark, sf_dir)),
     "op8_merkle_fingerprints": lambda spark, sf_dir: fingerprint_edits(documents(spark, sf_dir)),
     "op9_blob_ledger_secrets": lambda spark, sf_dir: scan_documents(documents(spark, sf_dir)),
