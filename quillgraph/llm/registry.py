@@ -14,6 +14,8 @@ from .op07_sharding import shard_rows
 from .op08_merkle import fingerprint_edits
 from .op09_secrets import oracle as secrets_sql
 from .op09_secrets import scan_documents
+from .op10_topk import oracle as topk_sql
+from .op10_topk import search_embeddings
 
 #: The vocabulary file that the packing and encoding queries are stated for.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -26,9 +28,11 @@ QUERIES = {
     "op7_feistel_sharding": lambda spark, sf_dir: shard_rows(documents(spark, sf_dir)),
     "op8_merkle_fingerprints": lambda spark, sf_dir: fingerprint_edits(documents(spark, sf_dir)),
     "op9_blob_ledger_secrets": lambda spark, sf_dir: scan_documents(documents(spark, sf_dir)),
+    "op10_ball_tree_topk": lambda spark, sf_dir: search_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
 }
 
 ORACLES = {
     "op7_feistel_sharding": sharding_sql(),
     "op9_blob_ledger_secrets": secrets_sql(),
+    "op10_ball_tree_topk": topk_sql(),
 }
