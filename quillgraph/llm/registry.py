@@ -7,6 +7,8 @@ import public_tokenizers
 from .common import documents
 from .op01_language import identify_languages
 from .op02_toxicity import score_toxicity
+from .op03_ngram_join import jaccard_components
+from .op03_ngram_join import oracle as jaccard_sql
 from .op04_packing import pack_documents
 from .op06_bpe import encode_documents
 from .op07_sharding import oracle as sharding_sql
@@ -23,6 +25,7 @@ VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 QUERIES = {
     "op1_ppm_language": lambda spark, sf_dir: identify_languages(documents(spark, sf_dir)),
     "op2_factorization_toxicity": lambda spark, sf_dir: score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")),
+    "op3_ngram_jaccard": lambda spark, sf_dir: jaccard_components(documents(spark, sf_dir)),
     "op4_sum_of_squares_packing": lambda spark, sf_dir: pack_documents(documents(spark, sf_dir), VOCABULARY),
     "op6_bpe_automaton": lambda spark, sf_dir: encode_documents(documents(spark, sf_dir), VOCABULARY),
     "op7_feistel_sharding": lambda spark, sf_dir: shard_rows(documents(spark, sf_dir)),
@@ -32,6 +35,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_ngram_jaccard": jaccard_sql(),
     "op7_feistel_sharding": sharding_sql(),
     "op9_blob_ledger_secrets": secrets_sql(),
     "op10_ball_tree_topk": topk_sql(),
