@@ -31,6 +31,8 @@ ORDER = 4
 SAMPLE = 300
 SAMPLE_CHARS = 2_000_000
 UNKNOWN = "und"
+#: A byte of text in no learned language or of noise costs more than this in :func:`keep_identified`.
+LIMIT_BITS = 6.5
 CHUNK = 1 << 20
 START = b"\n" * ORDER
 
@@ -220,6 +222,17 @@ def predict(docs: DataFrame, model: PpmModel, keep: list[str]) -> DataFrame:
     return docs.select(*columns).mapInArrow(run, ", ".join([*fields, "lang_pred string, score double, bits_per_byte double"]))
 
 
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The documents in a learned language, with all their columns.
+
+    Rejected are ``und`` and texts that cost more than ``LIMIT_BITS`` a byte under every language.
+    """
+    rows = docs.select(F.struct("*").alias("row"), "text")
+    found = predict(rows, fit(learnable(docs)), ["row"])
+    named = (F.col("lang_pred") != UNKNOWN) & (F.col("bits_per_byte") <= LIMIT_BITS)
+    return found.filter(named).select("row.*")
+
+
 def identify_languages(docs: DataFrame) -> DataFrame:
     """Predict the language of every document with a model of those not held out."""
     model = fit(learnable(docs))

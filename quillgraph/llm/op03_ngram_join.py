@@ -243,6 +243,16 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     return full.unionByName(empty).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
+def keep_one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents whose doc_id names their component, with all their columns.
+
+    Repeated rows (same doc_id and text) count once; rows without a doc_id stay.
+    """
+    named = jaccard_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.unionByName(docs.filter("doc_id IS NULL"))
+
+
 def oracle() -> str:
     """DuckDB SQL for :func:`jaccard_components`."""
     return r"""

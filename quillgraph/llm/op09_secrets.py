@@ -173,10 +173,14 @@ def scan_documents(docs: DataFrame, ledger: DataFrame | None = None) -> DataFram
 
 def redact_documents(docs: DataFrame) -> DataFrame:
     """The documents with their secrets masked; every row stays, with its columns."""
-    spans = update_ledger(docs).select("blob", "spans")
-    joined = docs.withColumn("blob", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))).join(spans, "blob", "left")
-    masked = F.when(F.size("spans") > 0, redact(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
-    return joined.withColumn("text", masked).select(*docs.columns)
+    spans = update_ledger(docs.select("text")).select("blob", "spans")
+    rows = docs.select(F.struct("*").alias("row"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("blob"))
+    text = F.col("row.text")
+    masked = F.when(F.size("spans") > 0, redact(text, F.col("spans"))).otherwise(text)
+    length = F.length("text").cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None
+    new = {"text": F.col("text"), "n_chars": length}
+    joined = rows.join(spans, "blob", "left").select("row", masked.alias("text"))
+    return joined.select(*[new[c].alias(c) if c in new else F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def oracle() -> str:

@@ -10,6 +10,7 @@ from .op02_toxicity import score_toxicity
 from .op03_ngram_join import jaccard_components
 from .op03_ngram_join import oracle as jaccard_sql
 from .op04_packing import pack_documents
+from .op05_passages import repeated_passages
 from .op06_bpe import encode_documents
 from .op07_sharding import oracle as sharding_sql
 from .op07_sharding import shard_rows
@@ -27,6 +28,7 @@ QUERIES = {
     "op2_factorization_toxicity": lambda spark, sf_dir: score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")),
     "op3_ngram_jaccard": lambda spark, sf_dir: jaccard_components(documents(spark, sf_dir)),
     "op4_sum_of_squares_packing": lambda spark, sf_dir: pack_documents(documents(spark, sf_dir), VOCABULARY),
+    "op5_collinear_passages": lambda spark, sf_dir: repeated_passages(documents(spark, sf_dir)),
     "op6_bpe_automaton": lambda spark, sf_dir: encode_documents(documents(spark, sf_dir), VOCABULARY),
     "op7_feistel_sharding": lambda spark, sf_dir: shard_rows(documents(spark, sf_dir)),
     "op8_merkle_fingerprints": lambda spark, sf_dir: fingerprint_edits(documents(spark, sf_dir)),
