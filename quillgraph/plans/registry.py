@@ -1,4 +1,25 @@
 """Queries and their DuckDB SQL, by name."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query function under ``name`` with the SQL for its rows."""
+
+    def keep(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return keep
+
+
+from . import aggregates, graphs, merges, orgchart, pairs, scores, search, texts  # noqa: E402, F401
