@@ -1,8 +1,8 @@
 """Merkle fingerprints: leaves under paragraphs under sections under one root.
 
 A paragraph is a line; lines of more than 64 code points are divided into pieces of 64,
-so that an edit inside a long line leaves its other pieces alone. A leaf is the 32-bit
-Murmur hash of its piece. A paragraph's node hashes its leaves. A section ends with each paragraph
+so that an edit inside a long line leaves its other pieces alone. A leaf is the Murmur hash,
+cut to 31 bits, of its piece. A paragraph's node hashes its leaves. A section ends with each paragraph
 whose node is 0 modulo 8 (a boundary that moves with the content), its node hashes its paragraphs; the root is
 the SHA-256 of the section nodes and of the text's length. The fingerprint is the text
 ``root|section:leaf,leaf;section:leaf|...`` in hexadecimal: equal texts have equal
@@ -41,7 +41,7 @@ def merkle(text: Column) -> Column:
             F.regexp_extract_all(line, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)),
         ).otherwise(F.array(line))
         return _bind(
-            F.transform(pieces, lambda p: F.hash(p)),
+            F.transform(pieces, lambda p: F.hash(p).bitwiseAND(F.lit(0x7FFFFFFF))),
             lambda leaves: F.struct(F.xxhash64(leaves).alias("node"), leaves.alias("leaves")),
         )
 
@@ -51,8 +51,8 @@ def merkle(text: Column) -> Column:
             F.sequence(F.lit(1), last),
             lambda i: (i == last) | (F.pmod(F.element_at(ps, i)["node"], F.lit(SECTION_MODULUS)) == 0),
         )
-        starts = F.concat(F.array(F.lit(1)), F.transform(F.slice(ends, 1, F.size(ends) - 1), lambda e: e + 1))
-        cut = F.zip_with(starts, ends, lambda a, b: F.slice(ps, a, b - a + 1))
+        before = lambda es: F.concat(F.array(F.lit(0)), F.slice(es, F.lit(1), F.size(es) - 1))
+        cut = _bind(ends, lambda es: F.zip_with(before(es), es, lambda a, b: F.slice(ps, a + 1, b - a)))
         return F.transform(
             cut,
             lambda own: F.struct(
@@ -73,29 +73,38 @@ def merkle(text: Column) -> Column:
 def serialise(tree: Column) -> Column:
     """Fingerprint text of a :func:`merkle` struct."""
     section = lambda s: F.concat(
-        F.hex(s["node"]), F.lit(":"), F.array_join(F.transform(s["leaves"], lambda x: F.lower(F.hex(x.bitwiseAND(F.lit(0xFFFFFFFF))))), ",")
+        F.hex(s["node"]), F.lit(":"), F.array_join(F.transform(s["leaves"], lambda x: F.lower(F.hex(x))), ",")
     )
     return F.concat(tree["root"], F.lit("|"), F.array_join(F.transform(tree["sections"], section), ";"))
 
 
-def leaves_of(fingerprint: Column) -> Column:
-    """Distinct leaves named by a fingerprint."""
-    body = F.substring_index(fingerprint, "|", -1)
+def distinct_leaves(tree: Column) -> Column:
+    """Distinct leaves of a :func:`merkle` struct."""
+    return F.array_distinct(F.flatten(F.transform(tree["sections"], lambda s: s["leaves"])))
+
+
+def parsed(fingerprint: Column) -> Column:
+    """Struct (root, distinct leaves) that a fingerprint names."""
+    leaf = lambda x: F.conv(x, 16, 10).cast("int")
     leaves = F.flatten(
-        F.transform(F.split(body, ";"), lambda s: F.split(F.substring_index(s, ":", -1), ","))
+        F.transform(F.split(F.substring_index(fingerprint, "|", -1), ";"), lambda s: F.split(F.substring_index(s, ":", -1), ","))
+    )
+    return F.struct(
+        F.substring_index(fingerprint, "|", 1).alias("root"), F.array_distinct(F.transform(leaves, leaf)).alias("leaves")
     )
-    return F.array_distinct(leaves)
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Likeness of two fingerprints, from 0 to 1."""
-    root = lambda f: F.substring_index(f, "|", 1)
-    shared = lambda x, y: _bind(
-        F.size(F.array_intersect(x, y)), lambda s: s / (F.size(x) + F.size(y) - s)
-    )
-    return F.when(root(a) == root(b), F.lit(1.0)).otherwise(
-        _bind(leaves_of(a), lambda x: _bind(leaves_of(b), lambda y: shared(x, y)))
-    )
+    """Likeness, from 0 to 1, of a fingerprint and the :func:`parsed` form of another."""
+
+    def compare(x: Column, y: Column) -> Column:
+        shared = _bind(
+            F.size(F.array_intersect(x["leaves"], y["leaves"])),
+            lambda s: s / (F.size(x["leaves"]) + F.size(y["leaves"]) - s),
+        )
+        return F.when(x["root"] == y["root"], F.lit(1.0)).otherwise(shared)
+
+    return _bind(parsed(a), lambda x: _bind(b, lambda y: compare(x, y)))
 
 
 def changed_sections(a: Column, b: Column) -> Column:
@@ -124,36 +133,41 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     follows = ranked.select(
         ((F.col("rn") + max(n - 1, 0)) % max(n, 1)).alias("rn"), F.col("key").alias("next_key")
     )
-    pairs = materialize(ranked.join(follows, "rn").select("key", "next_key", "n_chars"), "follows")
+    pairs = materialize(ranked.join(follows, "rn").select("doc_id", "key", "next_key", "n_chars"), "follows")
 
-    marked = keyed.withColumn("fingerprint", serialise(merkle(F.col("text"))))
+    texts = keyed.select("key", "text")  # the same columns on both sides, so that the exchange is reused
+    tree = merkle(F.col("text"))
     heads = (
-        marked.select(F.col("key").alias("next_key"), "text", "fingerprint")
+        texts.withColumnRenamed("key", "next_key")
         .join(pairs, "next_key")
         .select(
             "key",
+            "doc_id",
             F.expr("substring(text, 1, n_chars div 2)").alias("head"),
-            F.col("fingerprint").alias("next_fingerprint"),
+            _bind(tree, lambda t: F.struct(t["root"].alias("root"), distinct_leaves(t).alias("leaves"))).alias("next"),
         )
         .groupBy("key")  # a repeated next document offers the same head more than once
-        .agg(F.first("head").alias("head"), F.first("next_fingerprint").alias("next_fingerprint"))
+        .agg(*[F.first(c).alias(c) for c in ("doc_id", "head", "next")])
     )
-    n_chars = F.length("text")
     edited = F.concat(F.expr("substring(text, 1, length(text) - length(text) div 2)"), F.col("head"))
-    joined = marked.join(heads, "key").select(
-        "doc_id",
-        n_chars.cast("long").alias("n_chars"),
-        "fingerprint",
-        "next_fingerprint",
-        edited.alias("edited"),
+    tree = (
+        texts.join(heads, "key")
+        .select("doc_id", "text", edited.alias("edited"), "next")
+        .select(
+            "doc_id",
+            F.length("text").cast("long").alias("n_chars"),
+            F.sha2(F.col("edited"), 256).alias("edited_sha256"),
+            serialise(merkle(F.col("text"))).alias("fingerprint"),
+            serialise(merkle(F.col("edited"))).alias("edited_fingerprint"),
+            "next",
+        )
     )
-    tree = joined.withColumn("edited_fingerprint", serialise(merkle(F.col("edited"))))
     return tree.select(
         "doc_id",
         "n_chars",
-        F.sha2(F.col("edited"), 256).alias("edited_sha256"),
+        "edited_sha256",
         "fingerprint",
         "edited_fingerprint",
-        likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
-        likeness(F.col("fingerprint"), F.col("next_fingerprint")).alias("near_next"),
+        likeness(F.col("fingerprint"), parsed(F.col("edited_fingerprint"))).alias("near_edited"),
+        likeness(F.col("fingerprint"), F.col("next")).alias("near_next"),
     )
