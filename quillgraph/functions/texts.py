@@ -1,0 +1,135 @@
+"""Text columns: titles, names, companies, years, phrases."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Ordered rules from title words to functional domain (first hit wins).
+DOMAIN_RULES = [
+    (r"\bresearch\b|\bscientist\b|\badvanced development\b|\bpathfinding\b", "research"),
+    (r"\bchief technology officer\b|\bchief information officer\b|\bchief information security officer\b|\bchief security officer\b", "software_engineering"),
+    (r"\bchief financial officer\b", "finance_legal"),
+    (r"\bchief marketing officer\b|\bchief revenue officer\b|\bchief sales officer\b|\bchief commercial officer\b|\bchief growth officer\b", "sales_marketing"),
+    (r"\bchief people officer\b|\bchief human resources officer\b|\bchief talent officer\b|\bchief diversity officer\b", "people_ops"),
+    (r"\bchief product officer\b", "product_management"),
+    (r"\bchief operating officer\b|\bchief executive officer\b|\bchief of staff\b", "general_management"),
+    (r"\bgeneral manager\b|\bp&l\b|\bbusiness unit\b|\bpresident\b|\bGM,\b|\bCEO\b|\bCOO\b|\bco[- ]?founder\b|\bfounder\b", "general_management"),
+    (r"\bCTO\b|\bCIO\b|\bCISO\b|\bCSO\b", "software_engineering"),
+    (r"\bCMO\b|\bCRO\b|\bCCO\b", "sales_marketing"),
+    (r"\b(?:chip|silicon|RTL|verification|physical design|analog|mixed[- ]signal|memory design|SoC|microarchitecture|fabric|hardware engineer|hardware design|ASIC|FPGA)\b", "hardware_engineering"),
+    (r"\b(?:manufacturing|operations|supply chain|yield|process engineer|fab|foundry|quality|reliability|inventory control|team lead(?:er)?|chef d['’]?équipe|operaio|ingenier[oa] en manufactura|ingénieur (?:de )?production|production engineer|maintenance planner)\b", "manufacturing_ops"),
+    (r"\b(?:software engineer|firmware|embedded|SDK|driver|BSP|developer|programmer|backend|frontend|fullstack|full stack|AI compiler|ML compiler|compiler engineer|machine learning engineer|infrastructure engineer|platform engineer|member of (?:the )?technical staff|MTS)\b", "software_engineering"),
+    (r"\b(?:product manager|product management|TPM|technical program manager|program manager|roadmap|principal pm|product lead)\b", "product_management"),
+    (r"\b(?:sales|marketing|business development|BD lead|GTM|go-to-market|account manager|partnerships|partner manager)\b", "sales_marketing"),
+    (r"\b(?:finance|legal|compliance|accounting|tax|controller|CFO|general counsel)\b", "finance_legal"),
+    (r"\b(?:HR|human resources|recruiting|people operations|talent|culture lead)\b", "people_ops"),
+    (r"\b(?:engineer|architect|engineering)\b", "hardware_engineering"),
+]
+
+# Ordered rules from title words to seniority (first hit wins).
+SENIORITY_RULES = [
+    (r"\bchair(?:man|woman|person)?\b(?:[\s,].*\bof the board\b)?", 95),
+    (r"\bCEO\b|\bchief executive officer\b", 100),
+    (r"\bpresident\b", 95),
+    (r"\bCOO\b|\bCTO\b|\bCFO\b|\bCPO\b|\bCRO\b|\bCMO\b|\bCIO\b|\bCISO\b|\bCSO\b|\bCCO\b", 90),
+    (r"\bchief\s+\w+\s+officer\b", 88),
+    (r"\bEVP\b|\bexecutive vice president\b", 82),
+    (r"\bSVP\b|\bsenior vice president\b", 80),
+    (r"\bgroup VP\b|\bgroup vice president\b", 72),
+    (r"\bVP\b|\bvice president\b", 70),
+    (r"\bhead of\b", 65),
+    (r"\bprincipal director\b", 63),
+    (r"\bsenior director\b", 62),
+    (r"\bdirector\b", 60),
+    (r"\bdistinguished engineer\b", 55),
+    (r"\bgroup manager\b|\bsenior manager\b", 52),
+    (r"\bengineering manager\b|\bmanager\b", 50),
+    (r"\bprincipal engineer\b", 48),
+    (r"\bprincipal\b", 48),
+    (r"\bstaff engineer\b", 45),
+    (r"\bsenior engineer\b|\bsenior software engineer\b|\bsenior hardware engineer\b", 40),
+    (r"\bsenior\b", 40),
+    (r"\bmember of technical staff\b|\bMTS\b", 40),
+    (r"\bengineer\b|\bdeveloper\b|\bdesigner\b", 35),
+]
+
+# Titles of the parallel individual track, and words of a manager's title.
+IC_TITLES = (
+    r"\b(distinguished engineer|principal engineer|staff engineer|chief architect|principal architect"
+    r"|principal scientist|distinguished scientist|fellow|distinguished researcher)\b"
+)
+MANAGER_TITLES = r"\b(manager|director|VP|head of|lead)\b"
+
+# Degrees to the kind of cohort (first hit wins; anything else is undergraduate).
+DEGREE_RULES = [
+    (r"\b(mba|m\.b\.a|master of business)\b", "same_mba_cohort"),
+    (r"\b(ph\.?d|d\.phil|doctorate|doctoral)\b", "same_phd_program"),
+    (r"\b(exec(utive)?\s+ed(ucation)?|certificate|executive\s+program|pgp)\b", "executive_education"),
+]
+
+# Affixes of personal names and companies.
+NAME_PREFIX = r"^(?:Dr\.?|Mr\.?|Mrs\.?|Ms\.?|Prof\.?)\s+"
+NAME_SUFFIX = r"\s*,?\s*(?:Jr\.?|Sr\.?|II|III|IV|V|Ph\.?D\.?|Ed\.?D\.?|M\.?D\.?|Esq\.?|CFA|CPA)\s*$"
+MIDDLE_INITIAL = r"\s+[A-Z]\.?\s+"
+COMPANY_SUFFIX = r"\s*[,.]?\s*(?:Inc\.?|Incorporated|Corp\.?|Corporation|LLC|L\.L\.C\.|Limited|Ltd\.?|Co\.?|Company|plc|PLC|GmbH|S\.A\.?|NV|N\.V\.|AG|SE|SA)\s*$"
+
+
+def first_hit(text: Column, rules: list[tuple[str, object]], default=None) -> Column:
+    """Value of the first rule whose pattern is found, ignoring case."""
+    out = F.lit(default)
+    for pattern, value in reversed(rules):
+        out = F.when(text.rlike(f"(?iU){pattern}"), F.lit(value)).otherwise(out)
+    return F.when(text.isNotNull() & (text != ""), out).otherwise(F.lit(default))
+
+
+def domain_from_title(title: Column) -> Column:
+    """Functional domain of a job title, or null."""
+    return first_hit(title, DOMAIN_RULES)
+
+
+def seniority_from_title(title: Column) -> Column:
+    """Seniority score of a job title, or null."""
+    return first_hit(title, SENIORITY_RULES).cast("int")
+
+
+def is_ic_track(title: Column) -> Column:
+    """Whether a title is on the individual track."""
+    return F.coalesce(title.rlike(f"(?iU){IC_TITLES}"), F.lit(False))
+
+
+def is_manager_title(title: Column) -> Column:
+    """Whether a title reads like a manager's."""
+    return F.coalesce(title.rlike(f"(?iU){MANAGER_TITLES}"), F.lit(False))
+
+
+def degree_kind(degree: Column) -> Column:
+    """Kind of cohort that a degree makes."""
+    return first_hit(degree, DEGREE_RULES, "same_undergrad_cohort")
+
+
+def name_parts(name: Column) -> Column:
+    """Struct (first, last) without prefix, suffix and middle initials; empty for a single word."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(name), NAME_PREFIX, ""), f"(?i){NAME_SUFFIX}", "")
+    clean = F.trim(F.regexp_replace(F.regexp_replace(bare, MIDDLE_INITIAL, " "), r"\s+", " "))
+    parts = F.split(clean, " ")
+    ok = F.size(parts) >= 2
+    return F.struct(F.when(ok, parts[0]).otherwise("").alias("first"), F.when(ok, F.element_at(parts, -1)).otherwise("").alias("last"))
+
+
+def company_name(name: Column) -> Column:
+    """Company name without its legal suffix."""
+    stripped = F.trim(F.regexp_replace(F.trim(name), f"(?i){COMPANY_SUFFIX}", ""))
+    return F.when(stripped == "", F.trim(name)).otherwise(stripped)
+
+
+def year_range(text: Column) -> Column:
+    """Struct (start, end) of a text like 2018-2022, 2018-present or 1993."""
+    years = F.regexp_extract_all(text, F.lit(r"\b((?:19|20)\d{2})\b"), F.lit(1))
+    at = lambda i: F.try_element_at(years, F.lit(i)).cast("int")
+    return F.struct(at(1).alias("start"), at(2).alias("end"))
+
+
+def slug(text: Column) -> Column:
+    """Lower-case words joined by dashes."""
+    return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), F.lit("-"))

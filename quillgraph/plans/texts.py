@@ -1 +1,150 @@
+"""Text and entity-resolution queries."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from quillgraph.functions import scoring as fs
+from quillgraph.functions import texts as ft
+from quillgraph.sources import adapters as src
+
+from .registry import query
+
+#: Titles, names, degrees and the like, dealt to customers by key.
+TITLES = [
+    "CEO", "Senior Vice President, Sales", "VP Engineering", "Director of Research", "Principal Engineer", "Chief Marketing Officer", "Staff Engineer",
+    "Engineering Manager", "Senior Software Engineer", "Head of Talent", "Fab Operations Lead", "Software Developer", "Chairman of the Board", "Product Manager",
+    "Distinguished Engineer", "General Counsel", "Member of Technical Staff", "Group VP", "Florist", "", "Analog Designer", "Co-founder", "Chief of Staff", "ASIC Verification Engineer",
+]
+NAMES = ["Dr. James R. Clarke, Jr.", "Phebe N. Novakovic", "Lin Wei", "Madonna", "Prof. Ada Q. Lovelace PhD", "Mr. John  Smith III", "Ana de la Cruz", "  Bob Ross  "]
+COMPANIES = ["Lockheed Martin Corporation", "AMD Inc", "Some Random Co", "Contoso, Ltd.", "Siemens AG", "Plain Name", "Acme GmbH"]
+DEGREES = ["MBA", "Ph.D in Physics", "Executive Education Certificate", "BSc Chemistry", "Doctorate", "Master of Business"]
+YEARS = ["2018-2022", "2018-present", "1993", "annual", "from 2001 to 2005"]
+HEADLINES = ["Acme reports first quarter results", "Acme partners with Contoso", "Acme unveils new chip", "Paper accepted at conference", "Acme names new CFO", "Weather report"]
+
+# Ordered patterns of press categories (first hit wins).
+PRESS_RULES = [
+    (r"\b(fiscal\s+(year|quarter)|financial\s+results|quarterly\s+results|annual\s+results|reports\s+(first|second|third|fourth|q[1-4]|fy|fiscal|full[- ]year|quarterly|annual)|fy\s*(20)?\d{2}\s+results|full[- ]year\s+results)\b", "earnings"),
+    (r"\b(partner(s|ed|ing)?\s+with|partnership|collaborat(e|es|ed|ing|ion)|joint\s+venture|alliance|teams?\s+up\s+with|join\s+forces|strategic\s+(deal|agreement|relationship)|expand(s|ed|ing)?\s+(its\s+)?(strategic\s+)?partnership)\b", "partnership"),
+    (r"\b(unveil(s|ed|ing)?|launch(es|ed|ing)?|introduc(e|es|ed|ing)|announc(e|es|ed|ing)\s+(the\s+)?(availability|general\s+availability|release)|now\s+shipping|general\s+availability|releas(e|es|ed|ing)|debut(s|ed|ing)?|rolls?\s+out)\b", "product_launch"),
+    (r"\b(research|publish(es|ed|ing)?|white\s*paper|benchmark(s|ed|ing)?|mlperf|academic|paper\s+accepted|stud(y|ies)|peer[- ]reviewed|conference\s+paper)\b", "research"),
+]
+
+
+def _dealt(values: list[str]):
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col("c_custkey") % len(values)).cast("int") + 1)
+
+
+def _sql_dealt(values: list[str]) -> str:
+    return "([" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + f"])[c_custkey % {len(values)} + 1]"
+
+
+def _sql_rules(rules, text: str, default: str = "NULL") -> str:
+    quoted = lambda v: str(v) if isinstance(v, int) else f"'{v}'"
+    whens = " ".join("WHEN regexp_matches({}, '(?i){}') THEN {}".format(text, p.replace("'", "''"), quoted(v)) for p, v in rules)
+    return f"CASE WHEN {text} = '' THEN {default} {whens} ELSE {default} END"
+
+
+def _customers(spark, sf_dir):
+    return src.table(spark, sf_dir, "customer")
+
+
+@query("title_classification", f"""WITH t AS (SELECT c_custkey, {_sql_dealt(TITLES)} AS title FROM customer)
+SELECT c_custkey, {_sql_rules(ft.DOMAIN_RULES, 'title')} AS domain, ({_sql_rules(ft.SENIORITY_RULES, 'title')})::INTEGER AS seniority,
+regexp_matches(title, '(?i){ft.IC_TITLES}')::INTEGER AS is_ic, regexp_matches(title, '(?i){ft.MANAGER_TITLES}')::INTEGER AS is_manager FROM t""".replace("seniority,", "seniority,"))
+def title_classification(spark, sf_dir):
+    """domain, seniority and track of a title."""
+    t = _dealt(TITLES)
+    rows = _customers(spark, sf_dir).select("c_custkey", t.alias("title"))
+    t = F.col("title")
+    return rows.select("c_custkey", ft.domain_from_title(t).alias("domain"), ft.seniority_from_title(t).alias("seniority"), ft.is_ic_track(t).cast("int").alias("is_ic"), ft.is_manager_title(t).cast("int").alias("is_manager")).fillna(-1, ["seniority"]).fillna("none", ["domain"])
+
+
+_t = title_classification  # the oracle gives the same stand-ins for missing values
+from .registry import ORACLES  # noqa: E402
+
+ORACLES["title_classification"] = f"SELECT c_custkey, coalesce(domain, 'none') AS domain, coalesce(seniority, -1) AS seniority, is_ic, is_manager FROM ({ORACLES['title_classification']})"
+
+
+@query("seniority_tiers", "SELECT c_custkey, CASE WHEN s >= 85 THEN 'c_suite' WHEN s >= 75 THEN 'svp' WHEN s >= 65 THEN 'vp' WHEN s >= 55 THEN 'director' ELSE 'manager' END AS tier FROM (SELECT c_custkey, c_custkey % 101 AS s FROM customer)")
+def seniority_tiers(spark, sf_dir):
+    """tier of a seniority score."""
+    return _customers(spark, sf_dir).select("c_custkey", fs.seniority_tier(F.col("c_custkey") % 101).alias("tier"))
+
+
+@query("company_names", f"""SELECT c_custkey, CASE WHEN s = '' THEN raw ELSE s END AS company FROM (SELECT c_custkey, {_sql_dealt(COMPANIES)} AS raw, trim(regexp_replace({_sql_dealt(COMPANIES)}, '(?i){ft.COMPANY_SUFFIX}', '')) AS s FROM customer)""")
+def company_names(spark, sf_dir):
+    """F8: company names without legal suffixes."""
+    return _customers(spark, sf_dir).select("c_custkey", ft.company_name(_dealt(COMPANIES)).alias("company"))
+
+
+@query("degree_kinds", f"SELECT c_custkey, {_sql_rules(ft.DEGREE_RULES, 'd', chr(39) + 'same_undergrad_cohort' + chr(39))} AS kind FROM (SELECT c_custkey, {_sql_dealt(DEGREES)} AS d FROM customer)")
+def degree_kinds(spark, sf_dir):
+    """Kind of cohort of a degree."""
+    return _customers(spark, sf_dir).select("c_custkey", ft.degree_kind(_dealt(DEGREES)).alias("kind"))
+
+
+@query("name_parts", f"""WITH n AS (SELECT c_custkey, string_split(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim({_sql_dealt(NAMES)}), '{ft.NAME_PREFIX}', ''), '(?i){ft.NAME_SUFFIX}', ''), '{ft.MIDDLE_INITIAL}', ' ', 'g'), '\\s+', ' ', 'g')), ' ') AS p FROM customer)
+SELECT c_custkey, CASE WHEN len(p) >= 2 THEN p[1] ELSE '' END AS first, CASE WHEN len(p) >= 2 THEN p[-1] ELSE '' END AS last FROM n""")
+def name_parts(spark, sf_dir):
+    """first and last name."""
+    return _customers(spark, sf_dir).select("c_custkey", ft.name_parts(_dealt(NAMES)).alias("n")).select("c_custkey", "n.first", "n.last")
+
+
+@query("year_ranges", f"""SELECT c_custkey, coalesce(y[1]::INTEGER, 0) AS start_year, coalesce(y[2]::INTEGER, 0) AS end_year FROM (SELECT c_custkey, regexp_extract_all({_sql_dealt(YEARS)}, '\\b((?:19|20)\\d{{2}})\\b', 1) AS y FROM customer)""")
+def year_ranges(spark, sf_dir):
+    """Years out of free text (0: none)."""
+    return _customers(spark, sf_dir).select("c_custkey", ft.year_range(_dealt(YEARS)).alias("y")).select("c_custkey", F.coalesce("y.start", F.lit(0)).alias("start_year"), F.coalesce("y.end", F.lit(0)).alias("end_year"))
+
+
+@query("press_categories", f"SELECT c_custkey, {_sql_rules(PRESS_RULES, 'lower(h)', chr(39) + 'other' + chr(39))} AS category FROM (SELECT c_custkey, {_sql_dealt(HEADLINES)} AS h FROM customer)")
+def press_categories(spark, sf_dir):
+    """category of a press headline."""
+    return _customers(spark, sf_dir).select("c_custkey", ft.first_hit(F.lower(_dealt(HEADLINES)), PRESS_RULES, "other").alias("category"))
+
+
+@query("slugs", "SELECT p_partkey, trim(regexp_replace(lower(p_name || ' ' || p_brand), '[^a-z0-9]+', '-', 'g'), '-') AS slug FROM part")
+def slugs(spark, sf_dir):
+    """URL slugs."""
+    return src.table(spark, sf_dir, "part").select("p_partkey", ft.slug(F.concat_ws(" ", "p_name", "p_brand")).alias("slug"))
+
+
+@query("page_hosts", "SELECT page_id, lower(regexp_extract(url, '^https?://([^/]+)', 1)) AS host, length(html) AS chars FROM pages")
+def page_hosts(spark, sf_dir):
+    """host of each page."""
+    return src.table(spark, sf_dir, "pages").select("page_id", F.lower(F.regexp_extract("url", r"^https?://([^/]+)", 1)).alias("host"), F.length("html").cast("long").alias("chars"))
+
+
+@query("merged_people", """WITH r AS (SELECT c_custkey AS id, 80 AS priority, c_name AS name, CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE c_mktsegment END AS title FROM customer
+UNION ALL SELECT s_suppkey, 60, s_name, 'supplier' FROM supplier UNION ALL SELECT o_custkey, 40, NULL, min(o_orderpriority) FROM orders GROUP BY 1)
+SELECT id, arg_max(name, priority) FILTER (name IS NOT NULL) AS name, arg_max(title, priority) FILTER (title IS NOT NULL) AS title, count(*) AS sources FROM r GROUP BY 1""")
+def merged_people(spark, sf_dir):
+    """Entity resolution: fields of one person from the source of highest priority that has them."""
+    c, s, o = (src.table(spark, sf_dir, t) for t in ("customer", "supplier", "orders"))
+    rows = c.select(F.col("c_custkey").alias("id"), F.lit(80).alias("priority"), F.col("c_name").alias("name"), F.when(F.col("c_custkey") % 3 != 0, F.col("c_mktsegment")).alias("title"))
+    rows = rows.unionByName(s.select(F.col("s_suppkey").alias("id"), F.lit(60).alias("priority"), F.col("s_name").alias("name"), F.lit("supplier").alias("title")))
+    rows = rows.unionByName(o.groupBy(F.col("o_custkey").alias("id")).agg(F.min("o_orderpriority").alias("title")).select("id", F.lit(40).alias("priority"), F.lit(None).cast("string").alias("name"), "title"))
+    best = lambda col: F.max_by(col, F.when(F.col(col).isNotNull(), F.col("priority"))).alias(col)
+    return rows.groupBy("id").agg(best("name"), best("title"), F.count("*").alias("sources"))
+
+
+@query("reporting_phrases", "SELECT conv_id, turn, len(regexp_extract_all(text, '(?i)report(?:s|ing)? to ([a-z]+)', 1))::INTEGER AS n FROM conversations")
+def reporting_phrases(spark, sf_dir):
+    """phrases that name a manager."""
+    hits = F.regexp_extract_all("text", F.lit("(?i)report(?:s|ing)? to ([a-z]+)"), F.lit(1))
+    return src.table(spark, sf_dir, "conversations").select("conv_id", "turn", F.size(hits).alias("n"))
+
+
+@query("roster_rows", """WITH l AS (SELECT page_id, unnest(string_split(html, chr(10))) AS line, unnest(range(len(string_split(html, chr(10))))) AS i FROM pages),
+h AS (SELECT *, CASE WHEN regexp_matches(line, '<h[1-6]') THEN i END AS head FROM l), f AS (SELECT *, max(head) OVER (PARTITION BY page_id ORDER BY i) AS section FROM h)
+SELECT page_id, coalesce(section, -1)::INTEGER AS section, count(*) AS lines FROM f WHERE head IS NULL GROUP BY 1, 2""")
+def roster_rows(spark, sf_dir):
+    """Each line belongs to the nearest header before it, as a higher-order fold over the lines of a page."""
+    lines = F.split("html", "\n")
+    p = src.table(spark, sf_dir, "pages").select("page_id", lines.alias("ls"))
+    heads = F.transform("ls", lambda x, i: F.when(x.rlike("<h[1-6]"), i))
+    from pyspark.sql import Window as W
+
+    rows = p.select("page_id", F.posexplode(heads).alias("i", "head"))
+    section = F.max("head").over(W.partitionBy("page_id").orderBy("i"))
+    return rows.withColumn("section", F.coalesce(section, F.lit(-1))).filter("head IS NULL").groupBy("page_id", "section").agg(F.count("*").alias("lines"))
