@@ -27,19 +27,25 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-#: Pre-split words by the pattern of the vocabulary file.
-WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: End-of-word mark inside this module; it is no byte's symbol.
 END = "\n"
-#: Entries in a worker's table of pieces; beyond it, the table starts anew.
-TABLE_LIMIT = 700_000
+#: Entries in a worker's table of pieces; beyond it a new table starts, and what is used again moves on from the old one.
+TABLE_LIMIT = 300_000
+#: The vocabulary file's word pattern for ASCII text without white space.
+ASCII_WORDS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 NEVER = 1 << 40
 
 
+def latin_words() -> re.Pattern:
+    """The vocabulary file's word pattern for text below U+0250."""
+    of = lambda kind: "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == kind)
+    letters, numbers = of("L"), of("N")
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\s{letters}{numbers}]+|[\x1c-\x1f]")
+
+
 def byte_symbols() -> list[str]:
     """The printable symbol that stands for each byte in byte-level vocabularies."""
     kept = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
@@ -74,7 +80,7 @@ class BpeAutomaton:
             for head in (t[:2], t[:1]):
                 self.longest[head] = max(self.longest.get(head, 0), len(t))
         self.arcs: dict[int, bool] = {}
-        self.words = regex.compile(WORDS)
+        self.latin = latin_words()
         self.symbols = byte_symbols()
         self.byte_of = {c: b for b, c in enumerate(self.symbols)}
         self.library = Tokenizer.from_str(content)  # only its normaliser and splitter are used
@@ -148,17 +154,20 @@ class BpeAutomaton:
 
     def split_piece(self, piece: bytes) -> list[bytes | int]:
         """Pre-split words (bytes) and special tokens (ids) of a piece without ASCII white space."""
-        if piece.isalpha():  # ASCII letters only
-            return [piece.lower()]
+        if piece.isascii() and b"<|" not in piece:
+            return ASCII_WORDS.findall(piece.lower())
         text = piece.decode("utf-8", "surrogatepass")
         out: list[bytes | int] = []
         for part in self.special_split.split(text) if "<|" in text else (text,):
             if part in self.special:
                 out.append(self.special[part])
-            elif max(part, default="") < "\u0250":
+                continue
+            if max(part, default="") < "\u0250" and part:
                 folded = unicodedata.normalize("NFC", part).lower()
-                out += [w.encode() for w in self.words.findall(folded)]
-            elif part:  # other scripts: the library's own tables, as Unicode versions differ
+                if max(folded) < "\u0250":
+                    out += [w.encode() for w in self.latin.findall(folded)]
+                    continue
+            if part:  # other scripts: the library's own tables, as Unicode versions differ
                 folded = self.library.normalizer.normalize_str(part)
                 split = self.library.pre_tokenizer.pre_tokenize_str(folded)
                 out += [bytes(self.byte_of[c] for c in w) for w, _ in split]
@@ -215,9 +224,8 @@ class WordEncoder:
         if new.any():
             more = np.unique(keys[new])
             found = np.array([self.automaton.has_arc(k >> 20, k & 0xFFFFF) for k in more.tolist()], bool)
-            self.arc_keys = np.concatenate([self.arc_keys, more])
-            order = np.argsort(self.arc_keys, kind="stable")
-            self.arc_keys, self.arc_open = self.arc_keys[order], np.concatenate([self.arc_open, found])[order]
+            place = np.searchsorted(self.arc_keys, more)
+            self.arc_keys, self.arc_open = np.insert(self.arc_keys, place, more), np.insert(self.arc_open, place, found)
             at = np.searchsorted(self.arc_keys, keys)
         return self.arc_open[at]
 
@@ -301,26 +309,29 @@ class PieceTable(dict):
 
     def __init__(self, automaton: BpeAutomaton, form):
         super().__init__()
-        self.automaton, self.form, self.words = automaton, form, {}
+        self.automaton, self.form, self.old, self.words = automaton, form, {}, {}
         self.gap = " " if form is decimal else b""
         self.encoder = WordEncoder(automaton)
 
     def fill(self, batch: list[list[bytes]]) -> None:
         """Encode the pieces of a batch that the table hasn't, all at once."""
         if len(self) >= TABLE_LIMIT:
+            self.old = dict(self)
             self.clear()
-        if len(self.words) >= TABLE_LIMIT // 2:
-            self.words.clear()
+        if len(self.words) >= TABLE_LIMIT:
+            self.words = {}
         wanted = set().union(*batch).difference(self)
-        split = {p: self.automaton.split_piece(p) for p in wanted}
-        words = list({w for ws in split.values() for w in ws if isinstance(w, bytes) and w not in self.words})
-        form, known, gap = self.form, self.words, self.gap
-        for w, ids in zip(words, self.encoder.encode(words), strict=True):
-            known[w] = form(ids)
-        for p, ws in split.items():
-            self[p] = known[ws[0]] if len(ws) == 1 and isinstance(ws[0], bytes) else gap.join(
-                [known[w] if isinstance(w, bytes) else form([w]) for w in ws]
-            )
+        again = wanted.intersection(self.old)
+        self.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        wanted -= again
+        split = list(map(self.automaton.split_piece, wanted))
+        known, form, gap = self.words, self.form, self.gap
+        new = {w for ws in split for w in ws}.difference(known)
+        words = [w for w in new if w.__class__ is bytes]
+        known.update(zip(words, map(form, self.encoder.encode(words)), strict=True))
+        known.update((w, form([w])) for w in new if w.__class__ is int)  # special tokens
+        look = known.__getitem__
+        self.update((p, look(ws[0]) if len(ws) == 1 else gap.join(map(look, ws))) for p, ws in zip(wanted, split, strict=True))
 
 
 def packed(ids: list[int]) -> bytes:
