@@ -73,10 +73,10 @@ def alias_mentions(spark, sf_dir):
 
 @query(
     "person_mentions",
-    """WITH m AS (SELECT conv_id, unnest(regexp_extract_all(text, '\\b[A-Z][a-z]{2,}\\b')) AS name FROM conversations) SELECT name, count(*) AS mentions, count(DISTINCT conv_id) AS conversations FROM m GROUP BY 1""",
+    """WITH m AS (SELECT conv_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{2,}')) AS name FROM conversations) SELECT name, count(*) AS mentions, count(DISTINCT conv_id) AS conversations FROM m GROUP BY 1""",
 )
 def person_mentions(spark, sf_dir):
     """Capitalised words as candidate names."""
-    names = F.explode(F.regexp_extract_all("text", F.lit(r"\b[A-Z][a-z]{2,}\b"), F.lit(0))).alias("name")
+    names = F.explode(F.regexp_extract_all("text", F.lit(r"[A-Z][a-z]{2,}"), F.lit(0))).alias("name")
     m = src.table(spark, sf_dir, "conversations").select("conv_id", names)
     return m.groupBy("name").agg(F.count("*").alias("mentions"), F.count_distinct("conv_id").alias("conversations"))
