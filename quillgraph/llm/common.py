@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,9 +32,18 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     This cuts the lineage: a lost executor later costs a re-read, not a recomputation,
     and several consumers see the same rows.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    spark, schema = df.sparkSession, df.schema
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    release(spark)
+    return spark.read.schema(schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished jobs, which it does as the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def global_row_numbers(df: DataFrame, order: Sequence[Column], name: str = "rn") -> tuple[DataFrame, int]:
@@ -67,6 +77,18 @@ def global_row_numbers(df: DataFrame, order: Sequence[Column], name: str = "rn")
     return placed.select(*df.columns, (base + F.col("_pos")).alias(name)), before
 
 
+def runs(texts: list[str | None], limit: int = 1 << 20) -> Iterator[slice]:
+    """Slices of consecutive texts of about ``limit`` code points (one text at least), so that a batch is worked on in parts."""
+    begin = size = 0
+    for i, text in enumerate(texts):
+        size += len(text or "")
+        if size >= limit:
+            yield slice(begin, i + 1)
+            begin, size = i + 1, 0
+    if begin < len(texts):
+        yield slice(begin, len(texts))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole ``documents`` table."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -5,6 +5,8 @@ matrix with its transpose counts overlaps; it is taken in blocks of (shingle, si
 follow from the sizes alone discard entries before they are counted in full:
 
 * sets of n and m shingles reach 0.8 only if 100 * min(n, m) >= 80 * max(n, m), so a block holds two neighbouring size bands;
+* cut the columns into ``PARTS`` parts: the overlap is at most the sum over the parts of the smaller of the two sets'
+  sizes there, which a short profile of each set tells without its shingles;
 * they then share one of their first floor(n / 5) + 1 shingles in any common order, so only those columns enter the
   first product. The order puts shingles of many documents last, told by a counting sketch of fixed size over all documents.
 
@@ -34,6 +36,8 @@ from .shingles import WordTable, shingle_set, signature
 SKETCH_BITS, SKETCH_BLOCKS = 20, 16
 #: Ratio of neighbouring size bands; sets of two bands apart can't link.
 BAND = 1.25
+#: Parts of the columns in a set's profile.
+PARTS = 256
 #: Rows of one task's table of sets already seen.
 SEEN_LIMIT = 500_000
 
@@ -48,8 +52,14 @@ def _counted(sets: list[np.ndarray]) -> np.ndarray:
     return np.bincount(counters, minlength=1 << SKETCH_BITS)
 
 
+def _profile(shingles: np.ndarray) -> bytes | None:
+    """Sizes of a set's parts, one byte each; None if a part is larger than that."""
+    sizes = np.bincount((shingles & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS)
+    return sizes.astype(np.uint8).tobytes() if sizes.max() < 256 else None
+
+
 def _shingle_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, sig) of every document, and a task's sketch as rows (block, counts)."""
+    """(doc_id, n, sig, profile) of every document, and a task's sketch as rows (block, counts)."""
     doc_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
@@ -58,11 +68,12 @@ def _shingle_rows(docs: DataFrame) -> DataFrame:
         id_type = None
         for batch in batches:
             id_type = batch.schema.field("doc_id").type
-            sizes, sigs, held = [], [], []
+            sizes, sigs, profiles, held = [], [], [], []
             for text in batch.column("text").to_pylist():
                 own = shingle_set(text, table)
                 sizes.append(len(own))
                 sigs.append(signature(own) if len(own) else None)
+                profiles.append(_profile(own) if len(own) else None)
                 held.append(own)
                 if len(held) >= 256:
                     sketch += _counted(held)
@@ -71,18 +82,18 @@ def _shingle_rows(docs: DataFrame) -> DataFrame:
                 sketch += _counted(held)
             empty = len(sizes)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.nulls(empty, pa.int32()), pa.nulls(empty, pa.binary())],
-                names=["doc_id", "n", "sig", "block", "counts"],
+                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(profiles, pa.binary()), pa.nulls(empty, pa.int32()), pa.nulls(empty, pa.binary())],
+                names=["doc_id", "n", "sig", "profile", "block", "counts"],
             )
         if id_type is not None:
             parts = np.minimum(sketch, 255).astype(np.uint8).reshape(SKETCH_BLOCKS, -1)
             k = len(parts)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())],
-                names=["doc_id", "n", "sig", "block", "counts"],
+                [pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())],
+                names=["doc_id", "n", "sig", "profile", "block", "counts"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_type}, n long, sig binary, block int, counts binary")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_type}, n long, sig binary, profile binary, block int, counts binary")
 
 
 def _levels(rows: DataFrame) -> np.ndarray:
@@ -172,6 +183,28 @@ def _bounded(pairs: DataFrame) -> DataFrame:
     )
 
 
+def _plausible(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Pairs that their profiles allow to link."""
+    left = profiles.select(F.col("sig").alias("a"), F.col("profile").alias("pa"), F.col("n").alias("na"))
+    right = profiles.select(F.col("sig").alias("b"), F.col("profile").alias("pb"), F.col("n").alias("nb"))
+
+    def run(batches):
+        for batch in batches:
+            total = np.asarray(batch.column("na")) + np.asarray(batch.column("nb"))
+            most = np.full(len(total), np.iinfo(np.int64).max)
+            one, two = batch.column("pa"), batch.column("pb")
+            known = np.flatnonzero(~(np.asarray(one.is_null()) | np.asarray(two.is_null())))
+            for i in range(0, len(known), 1024):
+                rows = known[i : i + 1024]
+                x, y = ([np.frombuffer(c[int(r)].as_buffer(), np.uint8) for r in rows] for c in (one, two))
+                most[rows] = np.minimum(np.stack(x), np.stack(y)).sum(1, dtype=np.int64)
+            # 100 * i >= 80 * (total - i)
+            yield batch.select(["a", "b"]).filter(pa.array((most >= total) | (180 * np.minimum(most, total) >= 80 * total)))
+
+    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "pa", "pb")
+    return joined.mapInArrow(run, "a binary, b binary")
+
+
 def _full_rows(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(sig, shingles) of the matrix rows in ``wanted`` (sig); one text is read again for each."""
     first = rows.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
@@ -208,18 +241,23 @@ def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
+def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs that link, counted over the full rows."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
+    return materialize(_linked(pairs, materialize(_full_rows(docs, rows, wanted), "sets")), "linked")
+
+
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document under links at Jaccard similarity 0.8."""
     raw = materialize(_shingle_rows(docs), "shingles")
     rows = raw.filter("block IS NULL").select("doc_id", "n", "sig")
+    profiles = raw.filter("n > 0").select("sig", "n", "profile").dropDuplicates(["sig"])
     blocks = _blocks(docs, _levels(raw))
 
     block = W.partitionBy("h", "band")
     smallest = blocks.withColumn("p", F.min(F.struct("n", "sig")).over(block))
     stars = materialize(_bounded(smallest.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("p.sig").alias("b"), F.col("p.n").alias("nb"))), "stars")
-    wanted = blocks.select("sig").distinct()
-    sets = materialize(_full_rows(docs, rows, wanted), "sets")
-    found = materialize(_linked(stars, sets), "linked")
+    found = _verified(docs, rows, materialize(_plausible(stars, profiles), "likely"))
 
     labels = connected_components(found)
     placed = blocks.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
@@ -230,7 +268,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         & (100 * F.least("x.n", "y.n") >= 80 * F.greatest("x.n", "y.n"))
     ).select(F.col("x.sig").alias("a"), F.col("x.n").alias("na"), F.col("y.sig").alias("b"), F.col("y.n").alias("nb"))
     rest = _bounded(cross).join(stars, ["a", "b"], "left_anti")
-    more = materialize(_linked(rest, sets), "linked")
+    more = _verified(docs, rows, materialize(_plausible(rest, profiles), "likely"))
     if not more.isEmpty():
         labels = connected_components(found.unionByName(more))
 
