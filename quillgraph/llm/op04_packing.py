@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import runs
 from .op06_bpe import packed, pieces, table, vocabulary
 
 WINDOW = 4096
@@ -174,11 +175,13 @@ def pack_documents(docs: DataFrame, vocabulary_path: str, window: int = WINDOW)
 
         for batch in batches:
             id_type = batch.schema.field("doc_id").type
-            split = [pieces(text) for text in batch.column("text").to_pylist()]
-            known.fill(split)
-            for doc, own in zip(batch.column("doc_id").to_pylist(), split, strict=True):
-                packer.place(doc, b"".join(map(look, own)) + closing)
-            yield rows()
+            texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
+            for part in runs(texts):
+                split = [pieces(text) for text in texts[part]]
+                known.fill(split)
+                for doc, own in zip(ids[part], split, strict=True):
+                    packer.place(doc, b"".join(map(look, own)) + closing)
+                yield rows()
         if id_type is not None:
             packer.flush()
             yield rows()

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
+from .common import runs
+
 #: End-of-word mark inside this module; it is no byte's symbol.
 END = "\n"
 #: Entries in a worker's table of pieces; beyond it a new table starts, and what is used again moves on from the old one.
@@ -376,16 +378,18 @@ def encode_documents(docs: DataFrame, vocabulary_path: str) -> DataFrame:
         look = known.__getitem__
         for batch in batches:
             counts, digests, decoded = [], [], []
-            split = [pieces(text) for text in batch.column("text").to_pylist()]
-            known.fill(split)
-            for own in split:
-                ids = " ".join(map(look, own))
-                tokens = ids.split()
-                if "  " in ids or ids[:1] == " " or ids[-1:] == " ":
-                    ids = " ".join(tokens)
-                counts.append(len(tokens))
-                digests.append(hashlib.sha256(ids.encode()).hexdigest())
-                decoded.append(hashlib.sha256(known.automaton.decode(tokens).encode()).hexdigest())
+            texts = batch.column("text").to_pylist()
+            for part in runs(texts):
+                split = [pieces(text) for text in texts[part]]
+                known.fill(split)
+                for own in split:
+                    ids = " ".join(map(look, own))
+                    tokens = ids.split()
+                    if "  " in ids or ids[:1] == " " or ids[-1:] == " ":
+                        ids = " ".join(tokens)
+                    counts.append(len(tokens))
+                    digests.append(hashlib.sha256(ids.encode()).hexdigest())
+                    decoded.append(hashlib.sha256(known.automaton.decode(tokens).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
