@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialize
+
 #: Part of the ledger's key: raise it when a pattern below changes.
 RULE_VERSION = 1
 
@@ -159,7 +161,7 @@ def find_secrets(versions: DataFrame, ledger: DataFrame) -> DataFrame:
 def scan_documents(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
     """Secrets of every document, through the ledger."""
     paths = docs.select("doc_id", "text")
-    new = update_ledger(paths, ledger)
+    new = materialize(update_ledger(paths, ledger), "ledger")  # a hot blob's join is then split by itself
     whole = new if ledger is None else ledger.unionByName(new)
     of_kind = lambda k: F.size(F.filter("spans", lambda s: s["rank"] == KINDS.index(k))).cast("long")
     spans = written(F.col("spans"))
@@ -173,7 +175,7 @@ def scan_documents(docs: DataFrame, ledger: DataFrame | None = None) -> DataFram
 
 def redact_documents(docs: DataFrame) -> DataFrame:
     """The documents with their secrets masked; every row stays, with its columns."""
-    spans = update_ledger(docs.select("text")).select("blob", "spans")
+    spans = materialize(update_ledger(docs.select("text")), "ledger").select("blob", "spans")
     rows = docs.select(F.struct("*").alias("row"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("blob"))
     text = F.col("row.text")
     masked = F.when(F.size("spans") > 0, redact(text, F.col("spans"))).otherwise(text)
