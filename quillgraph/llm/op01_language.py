@@ -12,8 +12,8 @@ For speed the trees of all languages are compiled into one table for each order:
 the costs of one byte string under every language, escapes included.
 
 The model is fitted on a bounded sample: at most about ``SAMPLE`` texts of each language, drawn
-evenly by a hash of the row from all that may be learned from, and at most ``SAMPLE_CHARS`` code points
-in all of one language. Scoring reads every whole text and shuffles nothing.
+evenly by a hash of the row from all that may be learned from, at most ``TEXT_CHARS`` code points
+of each and ``SAMPLE_CHARS`` of one language. Scoring reads every whole text and shuffles nothing.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; with no learnable row every text is
 ``und``; repeated rows are each answered; an empty table gives no rows.
@@ -30,10 +30,12 @@ ORDER = 4
 #: Texts of each language to learn from, and their code points at most.
 SAMPLE = 300
 SAMPLE_CHARS = 2_000_000
+#: Code points to learn from in one sampled text (scoring reads whole texts).
+TEXT_CHARS = 40_000
 UNKNOWN = "und"
 #: A byte of text in no learned language or of noise costs more than this in :func:`keep_identified`.
 LIMIT_BITS = 6.5
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 START = b"\n" * ORDER
 
 
@@ -184,8 +186,9 @@ def fit(labelled: DataFrame) -> PpmModel:
     unit = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
     texts: dict[str, list[str]] = {}
     room = dict.fromkeys(counts, SAMPLE_CHARS)
-    chosen = labelled.select("doc_id", "text", "lang", share.alias("share"), unit.alias("unit")).filter("unit < share")
-    for r in chosen.select("lang", "text").toLocalIterator():
+    text = F.substring("text", 1, TEXT_CHARS).alias("text")
+    chosen = labelled.select(text, "lang", share.alias("share"), unit.alias("unit")).filter("unit < share")
+    for r in sorted(chosen.select("unit", "lang", "text").collect()):
         if room[r["lang"]] > 0:
             texts.setdefault(r["lang"], []).append(r["text"][: room[r["lang"]]])
             room[r["lang"]] -= len(r["text"])
