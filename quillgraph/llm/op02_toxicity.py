@@ -33,7 +33,7 @@ SAMPLE = 3000
 TERMS, LEAST_ROWS = 2048, 3
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 8, 12, 128, 0.05, 1e-4
 THRESHOLD = 0.7
-TABLE_LIMIT = 1_000_000
+TABLE_LIMIT = 200_000
 PREFIXES = (4, 5, 6)
 
 
@@ -152,7 +152,7 @@ def fit(labelled: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> Factoriza
 
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
     rows, labels = [], []
-    for r in texts.mapInArrow(featurise, "toxic int, slots binary").toLocalIterator():
+    for r in texts.mapInArrow(featurise, "toxic int, slots binary").collect():
         rows.append(np.frombuffer(bytes(r["slots"]), np.int32))
         labels.append(r["toxic"])
     return FactorizationMachine(rows, labels)
