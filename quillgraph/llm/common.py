@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: monotonically_increasing_id keeps the partition above and the row below this bit.
 ROW_BITS = 33
+#: Rows of one Arrow batch between Spark and a Python worker.
+BATCH_ROWS = 1000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -48,6 +50,12 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Have the session hand rows to Python ``BATCH_ROWS`` at a time, so that a batch of long texts fits a worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    return df
+
+
 def global_row_numbers(df: DataFrame, order: Sequence[Column], name: str = "rn") -> tuple[DataFrame, int]:
     """Number all rows from 0 in the given order; returns (table, number of rows).
 

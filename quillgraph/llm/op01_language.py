@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 ORDER = 4
 #: Texts of each language to learn from, and their code points at most.
 SAMPLE = 300
@@ -222,7 +224,7 @@ def predict(docs: DataFrame, model: PpmModel, keep: list[str]) -> DataFrame:
 
     fields = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep]
     columns = keep if "text" in keep else [*keep, "text"]
-    return docs.select(*columns).mapInArrow(run, ", ".join([*fields, "lang_pred string, score double, bits_per_byte double"]))
+    return small_batches(docs).select(*columns).mapInArrow(run, ", ".join([*fields, "lang_pred string, score double, bits_per_byte double"]))
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:

@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .op01_language import bucket
 
 BITS = 20
@@ -150,7 +151,7 @@ def fit(labelled: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> Factoriza
                 rows.append(np.array(sorted(found), np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(rows, pa.binary())], names=["toxic", "slots"])
 
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    texts = small_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
     rows, labels = [], []
     for r in texts.mapInArrow(featurise, "toxic int, slots binary").collect():
         rows.append(np.frombuffer(bytes(r["slots"]), np.int32))
@@ -174,7 +175,7 @@ def score_texts(docs: DataFrame, machine: FactorizationMachine) -> DataFrame:
                 [batch.column("doc_id"), pa.array(scores, pa.float64())], names=["doc_id", "score"]
             )
 
-    return docs.select("doc_id", "text").mapInArrow(
+    return small_batches(docs).select("doc_id", "text").mapInArrow(
         run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double"
     )
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import runs
+from .common import runs, small_batches
 from .op06_bpe import packed, pieces, table, vocabulary
 
 WINDOW = 4096
@@ -186,7 +186,7 @@ def pack_documents(docs: DataFrame, vocabulary_path: str, window: int = WINDOW)
             packer.flush()
             yield rows()
 
-    return docs.select("doc_id", "text").mapInArrow(
+    return small_batches(docs).select("doc_id", "text").mapInArrow(
         pack,
         f"doc_id {doc_type}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long",
     )
