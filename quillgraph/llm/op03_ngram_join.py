@@ -10,10 +10,10 @@ follow from the sizes alone discard entries before they are counted in full:
 * they then share one of their first floor(n / 5) + 1 shingles in any common order, so only those columns enter the
   first product. The order puts shingles of many documents last, told by a counting sketch of fixed size over all documents.
 
-Within a block every row is first paired with the block's smallest row only; the overlaps of those pairs are
+Within a block every row is first paired with a few pivot rows only; the overlaps of those pairs are
 counted over the full rows, and rows that turn out linked become one component. Blocks that still hold several
-components then pair all rows of different components. So a large group of near copies costs pairs in proportion to
-its size, and no link between different components is lost.
+components then pair the rows outside the most common one with all rows of other components. So a large group of near copies
+costs pairs in proportion to its size, and no link between different components is lost.
 
 Defined results: no words or null text gives an empty set that links with nothing; fewer than five words are one shingle;
 rows with null doc_id get component_id null but still connect others; repeated rows are one matrix row and each is answered; an empty table
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches
 from .components import connected_components
 from .shingles import WordTable, shingle_set, signature
 
@@ -37,7 +37,9 @@ SKETCH_BITS, SKETCH_BLOCKS = 20, 16
 #: Ratio of neighbouring size bands; sets of two bands apart can't link.
 BAND = 1.25
 #: Parts of the columns in a set's profile.
-PARTS = 256
+PARTS = 128
+#: Rows of a block that all others are paired with at first, and how many ways of choosing them there are.
+PIVOTS, WAYS = 3, 4
 #: Rows of one task's table of sets already seen.
 SEEN_LIMIT = 500_000
 
@@ -93,11 +95,11 @@ def _shingle_rows(docs: DataFrame) -> DataFrame:
                 names=["doc_id", "n", "sig", "profile", "block", "counts"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_type}, n long, sig binary, profile binary, block int, counts binary")
+    return small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {doc_type}, n long, sig binary, profile binary, block int, counts binary")
 
 
 def _levels(rows: DataFrame) -> np.ndarray:
-    """How common each sketch counter is: 0, or more for those far above the mean.
+    """How common each sketch counter is: 0, or more for those that chance doesn't explain.
 
     Tasks' sketches are added block by block; the driver gets ``SKETCH_BLOCKS`` rows of fixed size.
     """
@@ -118,7 +120,8 @@ def _levels(rows: DataFrame) -> np.ndarray:
     for r in parts.mapInArrow(add, "block int, counts binary").collect():
         total[r["block"]] += np.frombuffer(bytes(r["counts"]), np.int64)
     flat = total.ravel()
-    above = flat / (4 * flat.mean() + 16)
+    # counters hold the mean's worth of unrelated shingles, with a spread of its root
+    above = (flat - flat.mean()) / (6 * np.sqrt(flat.mean()) + 8)
     return np.where(above > 1, 1 + np.log2(np.maximum(above, 1)), 0).astype(np.uint8)
 
 
@@ -183,6 +186,43 @@ def _bounded(pairs: DataFrame) -> DataFrame:
     )
 
 
+def _stars(blocks: DataFrame) -> DataFrame:
+    """Pairs of every row of a block with the block's pivots; all pairs of a small block.
+
+    Pivots are the first rows by a hash. There are ``WAYS`` such hashes over the blocks, so the members of a
+    large group that meet in many blocks are compared with up to PIVOTS * WAYS others each.
+    """
+    block = W.partitionBy("h", "band")
+    place = F.xxhash64("sig", F.pmod("h", F.lit(WAYS)))
+    ranked = blocks.withColumn("r", F.row_number().over(block.orderBy(place)))
+    pivot = F.when(F.col("r") <= PIVOTS, F.struct(F.col("sig").alias("b"), F.col("n").alias("nb")))
+    pairs = ranked.withColumn("ps", F.collect_list(pivot).over(block)).withColumn("p", F.explode("ps"))
+    return _bounded(pairs.select(F.col("sig").alias("a"), F.col("n").alias("na"), "p.b", "p.nb"))
+
+
+def _crossings(blocks: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of rows of different components in one block, each pair once.
+
+    In a block, the rows outside its most common component are paired with the others, so one large
+    component costs as many pairs as there are rows outside it, times its size. A pair that meets in several blocks is
+    made in the first of them only.
+    """
+    block = W.partitionBy("h", "band")
+    placed = blocks.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    mixed = placed.withColumns({"lo": F.min("label").over(block), "hi": F.max("label").over(block)}).filter("lo <> hi").drop("lo", "hi")
+    counted = mixed.withColumn("c", F.count("*").over(W.partitionBy("h", "band", "label")))
+    topped = counted.withColumn("top", F.max(F.struct("c", "label")).over(block)).withColumn("top", F.col("top.label"))
+    slot = F.xxhash64("h", "band")
+    earlier = W.partitionBy("sig").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
+    rows = topped.withColumn("slot", slot).withColumn("before", F.collect_list("slot").over(earlier)).drop("c")
+    one, two = rows.filter("label <> top").alias("x"), rows.alias("y")
+    once = ~F.arrays_overlap("x.before", "y.before")
+    different = (F.col("x.label") < F.col("y.label")) | ((F.col("x.label") > F.col("y.label")) & (F.col("y.label") == F.col("y.top")))
+    fits = 100 * F.least("x.n", "y.n") >= 80 * F.greatest("x.n", "y.n")
+    pairs = one.join(two, (F.col("x.slot") == F.col("y.slot")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.band") == F.col("y.band")) & different & fits & once)
+    return _bounded(pairs.select(F.col("x.sig").alias("a"), F.col("x.n").alias("na"), F.col("y.sig").alias("b"), F.col("y.n").alias("nb")))
+
+
 def _plausible(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
     """Pairs that their profiles allow to link."""
     left = profiles.select(F.col("sig").alias("a"), F.col("profile").alias("pa"), F.col("n").alias("na"))
@@ -254,20 +294,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     profiles = raw.filter("n > 0").select("sig", "n", "profile").dropDuplicates(["sig"])
     blocks = _blocks(docs, _levels(raw))
 
-    block = W.partitionBy("h", "band")
-    smallest = blocks.withColumn("p", F.min(F.struct("n", "sig")).over(block))
-    stars = materialize(_bounded(smallest.select(F.col("sig").alias("a"), F.col("n").alias("na"), F.col("p.sig").alias("b"), F.col("p.n").alias("nb"))), "stars")
+    stars = materialize(_stars(blocks), "stars")
     found = _verified(docs, rows, materialize(_plausible(stars, profiles), "likely"))
-
     labels = connected_components(found)
-    placed = blocks.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    mixed = placed.withColumns({"lo": F.min("label").over(block), "hi": F.max("label").over(block)}).filter("lo <> hi")
-    one, two = mixed.alias("x"), mixed.alias("y")
-    cross = one.join(
-        two, (F.col("x.h") == F.col("y.h")) & (F.col("x.band") == F.col("y.band")) & (F.col("x.label") < F.col("y.label"))
-        & (100 * F.least("x.n", "y.n") >= 80 * F.greatest("x.n", "y.n"))
-    ).select(F.col("x.sig").alias("a"), F.col("x.n").alias("na"), F.col("y.sig").alias("b"), F.col("y.n").alias("nb"))
-    rest = _bounded(cross).join(stars, ["a", "b"], "left_anti")
+    rest = _crossings(blocks, labels).join(stars, ["a", "b"], "left_anti")
     more = _verified(docs, rows, materialize(_plausible(rest, profiles), "likely"))
     if not more.isEmpty():
         labels = connected_components(found.unionByName(more))
