@@ -233,6 +233,36 @@ def test_packer_bounds_open_windows():
     assert all((n := sum(len(p[2]) // 4 for p in s)) == 64 or n & (n - 1) == 0 for s in done)
 
 
+@pytest.mark.parametrize("kind", ["adjacent", "inserted", "alternating", "stray"])
+def test_passages_of_a_chain_below_the_share_are_kept(spark, kind):
+    rnd = random.Random(17)
+    fresh = lambda n: [f"f{rnd.randrange(10**9)}" for _ in range(n)]
+    rows, planted = [], {}
+    for i in range(40):
+        own, other, places = fresh(30), fresh(30), []
+        sizes = {"adjacent": (51, 51), "inserted": (55, 55), "alternating": (45, 60, 45, 60), "stray": (51, 10)}[kind]
+        for k, size in enumerate(sizes):
+            shared = fresh(size)
+            if k:
+                gap = rnd.randint(35, 40)
+                own += fresh(gap)
+                other += [] if kind == "inserted" else fresh(gap)
+            if size > 40:
+                places.append((len(own), len(own) + size))
+            own, other = own + shared, other + shared
+        rows += [(2 * i, " ".join(other + fresh(30))), (2 * i + 1, " ".join(own + fresh(30)))]
+        planted[2 * i + 1] = places
+    found = {}
+    for r in op5.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r.first_doc_id == r.doc_id - 1 and r.similarity >= op5.LEAST_SHARE
+        found.setdefault(r.doc_id, []).append((r.start_word, r.end_word))
+    for doc, places in planted.items():
+        for a, b in places:
+            assert any(x <= a and y >= b for x, y in found.get(doc, [])), (doc, a, b, found.get(doc))
+        covered = {w for x, y in found[doc] for w in range(x, y)}
+        assert len(covered - {w for a, b in places for w in range(a, b)}) <= 25 * len(places)
+
+
 def test_passages(spark, odd, none):
     rnd = random.Random(5)
     vocabulary = [f"w{i}" for i in range(4000)]
