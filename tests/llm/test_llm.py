@@ -263,6 +263,28 @@ def test_passages_of_a_chain_below_the_share_are_kept(spark, kind):
         assert len(covered - {w for a, b in places for w in range(a, b)}) <= 25 * len(places)
 
 
+def test_passages_with_edits_spread_over_them(spark):
+    rnd = random.Random(19)
+    fresh = lambda n: [f"f{rnd.randrange(10**9)}" for _ in range(n)]
+    edits = {"replace": lambda w: fresh(1), "insert": lambda w: [w, *fresh(1)], "delete": lambda w: []}
+    rows, sizes = [], {}
+    for kind in [*edits, "mixed"]:
+        for every in (7, 8, 12, 20):
+            for size in (60, 100, 200):
+                p = fresh(size)
+                how = lambda: edits[kind if kind != "mixed" else rnd.choice([*edits])]  # noqa: B023, E731
+                q = [x for k, w in enumerate(p, 1) for x in (how()(w) if k % every == 0 else [w])]
+                n = len(rows)
+                rows += [(n, " ".join(fresh(50) + p + fresh(30))), (n + 1, " ".join(fresh(40) + q + fresh(40)))]
+                sizes[n + 1] = len(q)
+    covered = {}
+    for r in op5.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        assert r.first_doc_id == r.doc_id - 1 and r.similarity >= op5.LEAST_SHARE
+        covered.setdefault(r.doc_id, set()).update(range(max(r.start_word, 40), min(r.end_word, 40 + sizes[r.doc_id])))
+    found = [len(covered.get(doc, ())) >= 0.8 * n for doc, n in sizes.items()]
+    assert sum(found) >= 0.95 * len(found)
+
+
 def test_passages(spark, odd, none):
     rnd = random.Random(5)
     vocabulary = [f"w{i}" for i in range(4000)]
