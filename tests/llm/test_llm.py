@@ -285,6 +285,33 @@ def test_passages_with_edits_spread_over_them(spark):
     assert sum(found) >= 0.95 * len(found)
 
 
+@pytest.mark.parametrize("between", [0, 3])
+def test_quilted_passages_equal_brute_force(spark, between):
+    """Two documents share a passage whose overlapping parts, too short for passages, all occur earlier elsewhere."""
+    rnd = random.Random(23)
+    fresh = lambda n: [f"f{rnd.randrange(10**9)}" for _ in range(n)]
+    rows = []
+    for _ in range(15):
+        p = fresh(84)
+        parts = [p[a : a + 36] for a in (0, 24, 48)]
+        docs = [fresh(20) + x + fresh(25) for x in parts] + [fresh(30) + p + fresh(20)]
+        docs += [fresh(20) + parts[k % 3] + fresh(20) for k in range(between)] + [fresh(25) + p + fresh(31)]
+        rows += [(len(rows) + k, " ".join(d)) for k, d in enumerate(docs)]
+    earlier, want = set(), {}
+    for doc, text in rows:
+        w = text.split()
+        own = {tuple(w[k : k + 50]): k for k in range(len(w) - 49)}
+        hit = [k for x, k in own.items() if x in earlier]
+        if hit:
+            want[doc] = {x for k in hit for x in range(k, k + 50)}
+        earlier |= set(own)
+    assert len(want) == 15
+    got = {}
+    for r in op5.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, set()).update(range(r.start_word, r.end_word))
+    assert got == want
+
+
 def test_passages(spark, odd, none):
     rnd = random.Random(5)
     vocabulary = [f"w{i}" for i in range(4000)]
