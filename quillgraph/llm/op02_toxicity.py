@@ -8,8 +8,9 @@ Words without a bearing on the label have no weight, so a long text isn't
 pulled either way by its length.
 
 Fitting takes a bounded sample of labelled rows: at most about ``SAMPLE`` of each label, drawn evenly by
-a hash of the row; the ``TERMS`` slots whose presence tells most about the label get weights. Scoring
-reads every whole text and shuffles nothing.
+a hash of the row; the ``TERMS`` slots whose presence tells most about the label, alone or among the rows that hold another
+telling or frequent slot, get weights. The bias is shifted by the two sampling shares, so a
+score is a chance at the labels' own rate at any size. Scoring reads every whole text and shuffles nothing.
 
 Defined results: a text that is null, empty or has no weighted term scores the sigmoid of the bias; with no row to
 learn from the score is 0; labels that are null or repeat don't stop a fit (nulls are left out, repeats count each);
@@ -32,6 +33,8 @@ BITS = 20
 SAMPLE = 3000
 #: Slots that get weights, and the fewest sampled rows that must hold one.
 TERMS, LEAST_ROWS = 2048, 3
+#: For slots that tell only together: most frequent slots tried as partners beside the telling ones, fewest rows that hold both, standard errors.
+PARTNERS, PAIR_ROWS, PAIR_SPREAD = 64, 8, 5
 FACTORS, EPOCHS, BATCH, RATE, DECAY = 8, 12, 128, 0.05, 1e-4
 THRESHOLD = 0.7
 TABLE_LIMIT = 200_000
@@ -56,11 +59,40 @@ def distinct_pieces(text: str | None) -> set[bytes]:
     return set((text or "").lower().encode("utf-8", "replace").split())
 
 
+def _told_together(flat: np.ndarray, owner: np.ndarray, seen: np.ndarray, y: np.ndarray, telling: np.ndarray):
+    """(slot, standard errors) of pairs of slots, one telling or frequent, whose rows differ in label from the rows of that one."""
+    kept = seen[flat] >= PAIR_ROWS
+    ids, place = np.unique(flat[kept], return_inverse=True)
+    own = owner[kept]
+    if not len(ids):
+        return
+    sizes = np.bincount(own, minlength=len(y))
+    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    by_slot = np.argsort(place, kind="stable")
+    first = np.concatenate([[0], np.cumsum(seen[ids])])
+    frequent = ids[np.argsort(-seen[ids], kind="stable")[:PARTNERS]]
+    for slot in np.union1d(np.intersect1d(telling, ids), frequent):
+        k = int(np.searchsorted(ids, slot))
+        rows = own[by_slot[first[k] : first[k + 1]]]
+        base, n = y[rows].mean(), sizes[rows]
+        if not 0 < base < 1:
+            continue
+        at = np.repeat(starts[rows] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(place[at], minlength=len(ids))
+        with_1 = np.bincount(place[at], weights=np.repeat(y[rows], n), minlength=len(ids))
+        spread = np.sqrt(np.maximum(both * base * (1 - base), 1e-9))
+        told = np.where((both >= PAIR_ROWS) & (both < len(rows)), np.abs(with_1 - both * base) / spread, 0)
+        found = np.flatnonzero(told > PAIR_SPREAD)
+        yield from zip(ids[found].tolist(), told[found].tolist(), strict=True)
+        if len(found):
+            yield int(slot), float(told[found].max())
+
+
 class FactorizationMachine:
     """Weights w0, w and factors V over chosen slots."""
 
-    def __init__(self, rows: list[np.ndarray], labels: list[int], seed: int = 7):
-        """Fit on rows of distinct slots with labels 0 or 1."""
+    def __init__(self, rows: list[np.ndarray], labels: list[int], seed: int = 7, shares: tuple[float, float] = (1.0, 1.0)):
+        """Fit on rows of distinct slots with labels 0 or 1; ``shares`` of the rows of either label were sampled."""
         self.place = np.full(1 << BITS, -1, np.int16)
         self.bias, self.weights = 0.0, np.zeros(0)
         self.factors = np.zeros((0, FACTORS))
@@ -76,13 +108,18 @@ class FactorizationMachine:
         # how far the label's share among the rows with a slot lies from its share at large, in standard errors
         spread = np.sqrt(np.maximum(seen * base * (1 - base), 1e-9))
         told = np.where(seen >= LEAST_ROWS, np.abs(with_1 - seen * base) / spread, 0)
+        telling = np.flatnonzero(told > 4)
+        told = np.where(told > 4, told, 0)
+        for slot, spread_out in _told_together(flat, owner, seen, y, telling):
+            told[slot] = max(told[slot], spread_out)
         chosen = np.argsort(-told, kind="stable")[:TERMS]
-        chosen = np.sort(chosen[told[chosen] > 4])
+        chosen = np.sort(chosen[told[chosen] > 0])
         self.place[chosen] = np.arange(len(chosen), dtype=np.int16)
         x = np.zeros((len(rows), len(chosen)), np.float32)
         at = self.place[flat]
         x[owner[at >= 0], at[at >= 0]] = 1
         self._train(x, y, np.random.default_rng(seed))
+        self.bias -= float(np.log(shares[1] / shares[0]))  # sampled odds are the true odds times the ratio of the shares
 
     def _train(self, x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> None:
         n, m = x.shape
@@ -139,7 +176,8 @@ def fit(labelled: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> Factoriza
     """
     labelled = labelled.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic IN (0, 1) AND doc_id IS NOT NULL")
     counts = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
-    share = F.when(F.col("toxic") == 1, min(1.0, sample / counts.get(1, 1))).otherwise(min(1.0, sample / counts.get(0, 1)))
+    shares = tuple(min(1.0, sample / counts.get(k, 1)) for k in (0, 1))
+    share = F.when(F.col("toxic") == 1, shares[1]).otherwise(shares[0])
     unit = F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(1 << 30)) / float(1 << 30)
     chosen = labelled.filter(unit < share)
 
@@ -156,7 +194,7 @@ def fit(labelled: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> Factoriza
     for r in texts.mapInArrow(featurise, "toxic int, slots binary").collect():
         rows.append(np.frombuffer(bytes(r["slots"]), np.int32))
         labels.append(r["toxic"])
-    return FactorizationMachine(rows, labels)
+    return FactorizationMachine(rows, labels, shares=shares)
 
 
 def score_texts(docs: DataFrame, machine: FactorizationMachine) -> DataFrame:

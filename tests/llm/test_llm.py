@@ -128,6 +128,34 @@ def test_toxicity(spark, odd, none):
     assert op2.score_toxicity(none, labels).count() == 0
 
 
+def test_factorization_machine_learns_a_term_that_tells_nothing_alone():
+    rng = np.random.default_rng(4)
+    rows, labels = [], []
+    for _ in range(3000):  # slot 2 is as common in both labels: it turns slot 1 toxic and slot 3 harmless
+        a, mention, b = rng.random(3) < (0.3, 0.5, 0.3)
+        rows.append(np.unique(np.array([s for s, on in ((1, a), (2, mention), (3, b)) if on] + list(rng.integers(10, 40, 3)), np.int32)))
+        labels.append(int(a and mention and not b) | int(b and not mention and not a))
+    m = op2.FactorizationMachine(rows, labels)
+    score = lambda *s: m.score(m.place[np.array(s)][m.place[np.array(s)] >= 0])
+    assert score(1, 2) > 0.8 and max(score(1), score(2, 3), score(2)) < 0.4
+
+
+def test_toxicity_scores_mean_the_same_at_every_sample(spark):
+    rnd = random.Random(9)
+    rows = []
+    for i in range(6000):
+        toxic = int(rnd.random() < 0.06)
+        odd_word = rnd.random() < (0.8 if toxic else 0.1)
+        rows.append((i, " ".join(rnd.choices([f"w{k}" for k in range(50)], k=8) + ["grumbleword"] * odd_word), toxic))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    docs, labels = df.select("doc_id", "text"), df.select("doc_id", "toxic")
+    has = [r[0] for r in rows if "grumbleword" in r[1]]
+    rate = sum(rows[i][2] for i in has) / len(has)
+    for sample in (1000, 10000):
+        score = {r.doc_id: r.score for r in op2.score_texts(docs, op2.fit(labels, docs, sample)).collect()}
+        assert abs(sum(score[i] for i in has) / len(has) - rate) < 0.1, sample
+
+
 def test_factorization_machine_learns_pairs():
     rng = np.random.default_rng(0)
     rows, labels = [], []
