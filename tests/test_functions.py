@@ -61,3 +61,25 @@ def test_history_merge_is_idempotent(spark):
     new = spark.createDataFrame([(1, 9, "m", 0.51), (2, 8, "m", 0.7), (3, 8, "m", 0.4)], schema)
     got = sorted((r.report_id, r.manager_id, r.action) for r in history_merge(now, new, F.current_date()).collect())
     assert got == [(1, 9, "keep"), (2, 8, "open"), (2, 9, "close"), (3, 8, "open")]
+
+
+def test_simple_paths_of_many_hops_equal_a_plain_search(spark):
+    from quillgraph.operators.graphs import simple_paths
+
+    links = [(1, 2, 0.9), (2, 3, 0.9), (3, 4, 0.95), (4, 5, 0.9), (5, 6, 0.9), (1, 3, 0.8), (2, 4, 0.5), (3, 5, 0.7), (6, 7, 0.2)]
+    edges = spark.createDataFrame(links, "a long, b long, strength double")
+    sources = spark.createDataFrame([(1,), (7,)], "source long")
+    ways = links + [(b, a, s) for a, b, s in links]
+    for hops, distinct in ((3, "node-set"), (5, "node-set"), (5, "edge-set")):
+        want, stack = {}, [((1,), 1.0), ((7,), 1.0)]
+        while stack:
+            nodes, strength = stack.pop()
+            if len(nodes) > 1:
+                steps = [tuple(sorted(p)) for p in zip(nodes, nodes[1:])]
+                key = (nodes[0], nodes[-1], tuple(sorted(nodes if distinct == "node-set" else steps)))
+                want[key] = max(want.get(key, 0), strength)
+            if len(nodes) <= hops:
+                stack += [((*nodes, b), strength * s) for a, b, s in ways if a == nodes[-1] and b not in nodes and strength * s >= 0.3]
+        got = simple_paths(edges, sources, hops, 0.3, distinct).collect()
+        assert sorted((r.source, r.tip, round(r.strength, 9)) for r in got) == sorted((k[0], k[1], round(v, 9)) for k, v in want.items())
+        assert max(r.hops for r in got) == hops
