@@ -68,7 +68,7 @@ _WALK = """walk AS (SELECT DISTINCT manager_id AS node, 1.0::DOUBLE AS v, 0 AS d
 def propagated_confidence(spark, sf_dir):
     """Confidence multiplied down from the roots, and the depth."""
     e = best_managers(spark, sf_dir)
-    return gops.down_the_tree(e, F.col("confidence"), 12).select("node", F.round("value", 9).alias("path_confidence"), "depth")
+    return gops.down_the_tree(e, F.col("confidence")).select("node", F.round("value", 9).alias("path_confidence"), "depth")
 
 
 @query("scope_estimates", f"""{_M.replace('WITH', 'WITH RECURSIVE', 1)}, {_SCORED}, {_BEST}, sub AS (SELECT manager_id AS root, report_id AS tip, 1 AS d FROM best UNION ALL SELECT root, b.report_id, d + 1 FROM sub JOIN best b ON b.manager_id = sub.tip WHERE d < 8)
@@ -106,7 +106,18 @@ def reporting_cycles(spark, sf_dir):
     """Cycles among reporting edges, each once."""
     c = src.table(spark, sf_dir, "customer").filter("c_nationkey % 2 = 0")
     k = F.col("c_custkey")
-    return ops.find_cycles(c.select(k.alias("report_id"), F.when(k % 5 == 4, k - 4).otherwise(k + 1).alias("manager_id")), 6)
+    return ops.find_cycles(c.select(k.alias("report_id"), F.when(k % 5 == 4, k - 4).otherwise(k + 1).alias("manager_id")))
+
+
+@query("all_reporting_cycles", """WITH RECURSIVE e AS (SELECT c_custkey AS report_id, CASE WHEN c_custkey % 7 = 6 THEN c_custkey - 6 ELSE c_custkey + 1 END AS manager_id FROM customer),
+w AS (SELECT report_id AS start, manager_id AS tip, report_id::VARCHAR AS cycle FROM e WHERE manager_id >= report_id
+UNION ALL SELECT start, e.manager_id, cycle || '>' || tip FROM w JOIN e ON e.report_id = w.tip WHERE tip > start AND e.manager_id >= start)
+SELECT start AS least, cycle FROM w WHERE tip = start""")
+def all_reporting_cycles(spark, sf_dir):
+    """G18 over every customer, with cycles of seven members."""
+    k = F.col("c_custkey")
+    c = src.table(spark, sf_dir, "customer")
+    return ops.find_cycles(c.select(k.alias("report_id"), F.when(k % 7 == 6, k - 6).otherwise(k + 1).alias("manager_id")))
 
 
 @query("component_nudges", """WITH c AS (SELECT p_brand AS component, count(*) FILTER (l_returnflag <> 'R' AND l_linenumber = 1) AS right_n, count(*) FILTER (l_returnflag = 'R' AND l_linenumber = 1) AS wrong_n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1),

@@ -83,3 +83,14 @@ def test_simple_paths_of_many_hops_equal_a_plain_search(spark):
         got = simple_paths(edges, sources, hops, 0.3, distinct).collect()
         assert sorted((r.source, r.tip, round(r.strength, 9)) for r in got) == sorted((k[0], k[1], round(v, 9)) for k, v in want.items())
         assert max(r.hops for r in got) == hops
+
+
+def test_long_cycles_and_deep_trees_are_walked_to_the_end(spark):
+    from quillgraph.operators.orgchart import find_cycles
+
+    ring = [(k, k + 1 if k < 9 else 1) for k in range(1, 10)] + [(20, 3), (30, 31), (31, 32)]
+    edges = spark.createDataFrame(ring, "report_id long, manager_id long")
+    assert [(r.least, r.cycle) for r in find_cycles(edges).collect()] == [(1, "1>2>3>4>5>6>7>8>9")]
+    chain = spark.createDataFrame([(k, k + 1, 0.9) for k in range(15)], "manager_id long, report_id long, c double")
+    got = {r.node: r.depth for r in down_the_tree(chain, F.col("c")).collect()}
+    assert got == {k: k for k in range(16)}
