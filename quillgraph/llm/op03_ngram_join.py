@@ -248,7 +248,10 @@ def _plausible(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
 def _full_rows(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(sig, shingles) of the matrix rows in ``wanted`` (sig); one text is read again for each."""
     first = rows.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    texts = docs.select("doc_id", "text").join(first, "doc_id", "left_semi").select("text")
+    unnamed = F.broadcast(first.filter("doc_id IS NULL").select(F.lit(1).alias("any")))  # a row if a set has no doc_id at all
+    texts = docs.select("doc_id", "text").join(first, "doc_id", "left_semi").select("text").unionByName(
+        docs.filter("doc_id IS NULL").select("text").crossJoin(unnamed).select("text")
+    )
 
     def run(batches):
         table = WordTable()

@@ -261,6 +261,14 @@ def test_packer_bounds_open_windows():
     assert all((n := sum(len(p[2]) // 4 for p in s)) == 64 or n & (n - 1) == 0 for s in done)
 
 
+def test_a_row_without_id_links_others(spark):
+    own = [f"w{i}" for i in range(100)]
+    a, b = [f"x{i}" for i in range(9)] + own[9:], own[:91] + [f"y{i}" for i in range(9)]
+    rows = [(4, " ".join(a)), (None, " ".join(own)), (7, " ".join(b)), (9, "apart from all of them")]
+    found = op3.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in found} == {4: 4, 7: 4, 9: 9, None: None}
+
+
 @pytest.mark.parametrize("kind", ["adjacent", "inserted", "alternating", "stray"])
 def test_passages_of_a_chain_below_the_share_are_kept(spark, kind):
     rnd = random.Random(17)
