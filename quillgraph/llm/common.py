@@ -41,7 +41,17 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)  # the session's results may still read it
     del df
     release(spark)
-    return spark.read.schema(schema).parquet(path)
+    table = spark.read.schema(schema).parquet(path)
+    table.stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of :func:`materialize` tables that nothing reads any more."""
+    for table in tables:
+        spark = table.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def release(spark: SparkSession) -> None:

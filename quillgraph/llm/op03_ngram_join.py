@@ -1,19 +1,23 @@
 """N-gram Jaccard join as a blocked sparse product of the document by n-gram incidence.
 
-Documents with the same set of 5-word shingles are one row of the incidence matrix. The product of the
-matrix with its transpose counts overlaps; it is taken in blocks of (shingle, size band), and bounds that
-follow from the sizes alone discard entries before they are counted in full:
+Documents with the same set of 5-word shingles are one row of the incidence matrix, its columns are the shingles. The product
+of the matrix with its transpose counts overlaps. It is taken in two blocks of columns, and bounds that follow from the
+sizes alone discard pairs before their overlap is counted in full. Two sets of n and m shingles link from an overlap of
+need = ceil(80 (n + m) / 180) on.
 
-* sets of n and m shingles reach 0.8 only if 100 * min(n, m) >= 80 * max(n, m), so a block holds two neighbouring size bands;
-* cut the columns into ``PARTS`` parts: the overlap is at most the sum over the parts of the smaller of the two sets'
-  sizes there, which a short profile of each set tells without its shingles;
-* they then share one of their first floor(n / 5) + 1 shingles in any common order, so only those columns enter the
-  first product. The order puts shingles of many documents last, told by a counting sketch of fixed size over all documents.
+1. First columns: the ``FIRST`` smallest hashes of each set. Counts are accumulated only between each row and one centre of
+   a (column, size band): the row that most documents have. Pairs with half of these columns in common are counted over all their
+   columns, and rows that link become one component. A large group of near copies so costs pairs in proportion to its size.
+2. Prefix columns: in a common order, with the shingles of many documents last, sets that link share one of their first
+   n // 5 + 1 shingles. Only rows of different components meet there, and a pair is dropped unless, at a shared column with ``left`` columns
+   still to come (it included) on either side, the smaller ``left`` reaches need. Columns that only one row has are dead: of two
+   rows, the one whose prefix ends first can reach at most n - its dead columns. What is left is counted over all columns.
 
-Within a block every row is first paired with a few pivot rows only; the overlaps of those pairs are
-counted over the full rows, and rows that turn out linked become one component. Blocks that still hold several
-components then pair the rows outside the most common one with all rows of other components. So a large group of near copies
-costs pairs in proportion to its size, and no link between different components is lost.
+Counting over all columns goes block by block of the hash range; a pair is dropped once its count and what is left of the
+smaller side fall below need.
+
+The common order comes from a counting sketch of fixed size over all documents; it changes costs, not results.
+A column that many rows of different, unlinked components have early in their order still costs their pairs.
 
 Defined results: no words or null text gives an empty set that links with nothing; fewer than five words are one shingle;
 rows with null doc_id get component_id null but still connect others; repeated rows are one matrix row and each is answered; an empty table
@@ -24,81 +28,73 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize, small_batches
+from .common import discard, materialize
 from .components import connected_components
-from .shingles import WordTable, shingle_set, signature
+from .shingles import batch_words, shingle_sets, signature
 
 #: Counters of the sketch (fixed, whatever the corpus), sent in blocks.
 SKETCH_BITS, SKETCH_BLOCKS = 20, 16
+#: Columns of each set in the first block, and how many of them a pair must share to be counted there.
+FIRST, SHARED = 8, 4
 #: Ratio of neighbouring size bands; sets of two bands apart can't link.
 BAND = 1.25
-#: Parts of the columns in a set's profile.
-PARTS = 128
-#: Rows of a block that all others are paired with at first, and how many ways of choosing them there are.
-PIVOTS, WAYS = 3, 4
-#: Rows of one task's table of sets already seen.
+#: Bytes of a shingle hash in rows sent for counting, and the blocks of columns in which it is done.
+WIDE, COLUMN_BLOCKS = 6, 4
+#: Rows of one task's table of sets already seen (a copy beyond it is sent again, and dropped later).
 SEEN_LIMIT = 500_000
 
 
-def prefix_size(n):
-    """Columns of a set that enter the first product."""
-    return n // 5 + 1
-
-
-def _counted(sets: list[np.ndarray]) -> np.ndarray:
-    counters = (np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-    return np.bincount(counters, minlength=1 << SKETCH_BITS)
+def _named(own: np.ndarray, renamed: dict[int, int]) -> tuple[int, int]:
+    """(node, check) of a set: two halves of its signature; ``renamed`` holds the nodes of sets that share a first half."""
+    both = np.frombuffer(signature(own), np.int64)
+    node, check = int(both[0]), int(both[1])
+    if node in renamed:
+        node = xxhash.xxh3_64_intdigest(both.tobytes(), renamed[node]) - (1 << 63)
+    return node, check
 
 
-def _profile(shingles: np.ndarray) -> bytes | None:
-    """Sizes of a set's parts, one byte each; None if a part is larger than that."""
-    sizes = np.bincount((shingles & np.uint64(PARTS - 1)).astype(np.int64), minlength=PARTS)
-    return sizes.astype(np.uint8).tobytes() if sizes.max() < 256 else None
+def _texts(batches):
+    """(batch rows, shingle sets) of slices of the batches."""
+    for batch in batches:
+        for part, words in batch_words(batch.column("text")):
+            yield batch.slice(part.start, part.stop - part.start), shingle_sets(words)
 
 
-def _shingle_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, sig, profile) of every document, and a task's sketch as rows (block, counts)."""
+def _rows(docs: DataFrame, renamed: dict[int, int]) -> DataFrame:
+    """(doc_id, tkey, n, node, chk) of every document (node null if empty), and a task's sketch as rows (block, counts)."""
     doc_type = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "tkey", "n", "node", "chk", "block", "counts"]
 
     def run(batches):
-        table = WordTable()
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
         id_type = None
-        for batch in batches:
+        for batch, sets in _texts(batches):
             id_type = batch.schema.field("doc_id").type
-            sizes, sigs, profiles, held = [], [], [], []
-            for text in batch.column("text").to_pylist():
-                own = shingle_set(text, table)
-                sizes.append(len(own))
-                sigs.append(signature(own) if len(own) else None)
-                profiles.append(_profile(own) if len(own) else None)
-                held.append(own)
-                if len(held) >= 256:
-                    sketch += _counted(held)
-                    held = []
-            if held:
-                sketch += _counted(held)
-            empty = len(sizes)
+            sizes = [len(s) for s in sets]
+            named = [_named(s, renamed) if len(s) else (None, None) for s in sets]
+            counters = (np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+            sketch += np.bincount(counters, minlength=1 << SKETCH_BITS)
+            k = len(sets)
+            nodes, checks = zip(*named, strict=True)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(profiles, pa.binary()), pa.nulls(empty, pa.int32()), pa.nulls(empty, pa.binary())],
-                names=["doc_id", "n", "sig", "profile", "block", "counts"],
+                [batch.column("doc_id"), batch.column("tkey"), pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())],
+                names=names,
             )
         if id_type is not None:
             parts = np.minimum(sketch, 255).astype(np.uint8).reshape(SKETCH_BLOCKS, -1)
             k = len(parts)
-            yield pa.RecordBatch.from_arrays(
-                [pa.nulls(k, id_type), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.binary()), pa.array(range(k), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())],
-                names=["doc_id", "n", "sig", "profile", "block", "counts"],
-            )
+            blank = [pa.nulls(k, t) for t in (id_type, pa.int64(), pa.int64(), pa.int64(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*blank, pa.array(range(k), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
 
-    return small_batches(docs).select("doc_id", "text").mapInArrow(run, f"doc_id {doc_type}, n long, sig binary, profile binary, block int, counts binary")
+    keyed = docs.select("doc_id", F.xxhash64("text").alias("tkey"), "text")
+    return keyed.mapInArrow(run, f"doc_id {doc_type}, tkey long, n long, node long, chk long, block int, counts binary")
 
 
-def _levels(rows: DataFrame) -> np.ndarray:
+def _levels(raw: DataFrame) -> np.ndarray:
     """How common each sketch counter is: 0, or more for those that chance doesn't explain.
 
     Tasks' sketches are added block by block; the driver gets ``SKETCH_BLOCKS`` rows of fixed size.
@@ -115,7 +111,7 @@ def _levels(rows: DataFrame) -> np.ndarray:
                 [pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["block", "counts"]
             )
 
-    parts = rows.filter("block IS NOT NULL").select("block", "counts").repartition(SKETCH_BLOCKS, "block")
+    parts = raw.filter("block IS NOT NULL").select("block", "counts").repartition(SKETCH_BLOCKS, "block")
     total = np.zeros((SKETCH_BLOCKS, (1 << SKETCH_BITS) // SKETCH_BLOCKS), np.int64)
     for r in parts.mapInArrow(add, "block int, counts binary").collect():
         total[r["block"]] += np.frombuffer(bytes(r["counts"]), np.int64)
@@ -125,203 +121,212 @@ def _levels(rows: DataFrame) -> np.ndarray:
     return np.where(above > 1, 1 + np.log2(np.maximum(above, 1)), 0).astype(np.uint8)
 
 
-def _entries(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """Matrix entries (h, sig, n) of the columns that enter the first product."""
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
+def _columns(docs: DataFrame, renamed: dict[int, int], choose, schema: str) -> DataFrame:
+    """Matrix entries (h, node, ...) of the columns that ``choose(set)`` gives as arrays; each set once a task."""
+    names = [f.split()[0] for f in schema.split(", ")]
 
     def run(batches):
-        table, level, seen = WordTable(), shared.value, set()
-        for batch in batches:
-            keys, sigs, sizes = [], [], []
-            for text in batch.column("text").to_pylist():
-                own = shingle_set(text, table)
-                if not len(own):
-                    continue
-                sig = signature(own)
-                if sig in seen:
+        seen: set[int] = set()
+        for _, sets in _texts(batches):
+            held, nodes, times = [], [], []
+            for own in sets:
+                node = _named(own, renamed)[0] if len(own) else None
+                if node is None or node in seen:
                     continue
                 if len(seen) < SEEN_LIMIT:
-                    seen.add(sig)
-                common = level[own >> np.uint64(64 - SKETCH_BITS)]
-                order = np.argsort(common, kind="stable")[: prefix_size(len(own))]  # own is sorted by hash
-                keys.append(own[order])
-                sigs.append(sig)
-                sizes.append(len(own))
-            if keys:
-                times = [len(k) for k in keys]
-                at = pa.array(np.repeat(np.arange(len(keys)), times))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate(keys).view(np.int64)),
-                        pa.array(sigs, pa.binary()).take(at),
-                        pa.array(np.repeat(np.array(sizes, np.int32), times)),
-                    ],
-                    names=["h", "sig", "n"],
-                )
-
-    return docs.select("text").mapInArrow(run, "h long, sig binary, n int")
-
-
-def _blocks(docs: DataFrame, levels: np.ndarray) -> DataFrame:
-    """Entries (h, band, sig, n) of the blocks that hold more than one matrix row."""
-    by_h = W.partitionBy("h")
-    entries = _entries(docs, levels)
-    shared = (
-        entries.withColumns({"lo": F.min("sig").over(by_h), "hi": F.max("sig").over(by_h)})
-        .filter("lo <> hi")
-        .dropDuplicates(["h", "sig"])
-    )
-    own = F.floor(F.log(F.col("n").cast("double")) / float(np.log(BAND)) + 1e-9).cast("int")
-    return materialize(shared.select("h", "sig", "n", F.explode(F.array(own, own + 1)).alias("band")), "blocks")
-
-
-def _bounded(pairs: DataFrame) -> DataFrame:
-    """Distinct ordered pairs whose sizes allow a link."""
-    fits = 100 * F.least("na", "nb") >= 80 * F.greatest("na", "nb")
-    swap = F.col("a") > F.col("b")
-    return (
-        pairs.filter(fits & (F.col("a") != F.col("b")))
-        .select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("b"))
-        .distinct()
-    )
-
+                    seen.add(node)
+                held.append(choose(own))
+                nodes.append(node)
+                times.append(len(held[-1][0]))
+            if nodes:
+                columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+                at = pa.array(np.repeat(np.array(nodes, np.int64), times))
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0].view(np.int64)), at, *map(pa.array, columns[1:])], names=names)
 
-def _stars(blocks: DataFrame) -> DataFrame:
-    """Pairs of every row of a block with the block's pivots; all pairs of a small block.
+    return docs.select("text").mapInArrow(run, schema)
 
-    Pivots are the first rows by a hash. There are ``WAYS`` such hashes over the blocks, so the members of a
-    large group that meet in many blocks are compared with up to PIVOTS * WAYS others each.
-    """
-    block = W.partitionBy("h", "band")
-    place = F.xxhash64("sig", F.pmod("h", F.lit(WAYS)))
-    ranked = blocks.withColumn("r", F.row_number().over(block.orderBy(place)))
-    pivot = F.when(F.col("r") <= PIVOTS, F.struct(F.col("sig").alias("b"), F.col("n").alias("nb")))
-    pairs = ranked.withColumn("ps", F.collect_list(pivot).over(block)).withColumn("p", F.explode("ps"))
-    return _bounded(pairs.select(F.col("sig").alias("a"), F.col("n").alias("na"), "p.b", "p.nb"))
 
+def prefix_size(n):
+    """Columns of a set that enter the second block."""
+    return n // 5 + 1
 
-def _crossings(blocks: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of rows of different components in one block, each pair once.
 
-    In a block, the rows outside its most common component are paired with the others, so one large
-    component costs as many pairs as there are rows outside it, times its size. A pair that meets in several blocks is
-    made in the first of them only.
-    """
-    block = W.partitionBy("h", "band")
-    placed = blocks.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-    mixed = placed.withColumns({"lo": F.min("label").over(block), "hi": F.max("label").over(block)}).filter("lo <> hi").drop("lo", "hi")
-    counted = mixed.withColumn("c", F.count("*").over(W.partitionBy("h", "band", "label")))
-    topped = counted.withColumn("top", F.max(F.struct("c", "label")).over(block)).withColumn("top", F.col("top.label"))
-    slot = F.xxhash64("h", "band")
-    earlier = W.partitionBy("sig").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
-    rows = topped.withColumn("slot", slot).withColumn("before", F.collect_list("slot").over(earlier)).drop("c")
-    one, two = rows.filter("label <> top").alias("x"), rows.alias("y")
-    once = ~F.arrays_overlap("x.before", "y.before")
-    different = (F.col("x.label") < F.col("y.label")) | ((F.col("x.label") > F.col("y.label")) & (F.col("y.label") == F.col("y.top")))
-    fits = 100 * F.least("x.n", "y.n") >= 80 * F.greatest("x.n", "y.n")
-    pairs = one.join(two, (F.col("x.slot") == F.col("y.slot")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.band") == F.col("y.band")) & different & fits & once)
-    return _bounded(pairs.select(F.col("x.sig").alias("a"), F.col("x.n").alias("na"), F.col("y.sig").alias("b"), F.col("y.n").alias("nb")))
-
-
-def _plausible(pairs: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Pairs that their profiles allow to link."""
-    left = profiles.select(F.col("sig").alias("a"), F.col("profile").alias("pa"), F.col("n").alias("na"))
-    right = profiles.select(F.col("sig").alias("b"), F.col("profile").alias("pb"), F.col("n").alias("nb"))
+def _ordered_prefix(own: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    common = levels[own >> np.uint64(64 - SKETCH_BITS)]
+    order = np.argsort(common, kind="stable")[: prefix_size(len(own))]  # own is sorted by hash
+    return own[order], common[order]
 
-    def run(batches):
-        for batch in batches:
-            total = np.asarray(batch.column("na")) + np.asarray(batch.column("nb"))
-            most = np.full(len(total), np.iinfo(np.int64).max)
-            one, two = batch.column("pa"), batch.column("pb")
-            known = np.flatnonzero(~(np.asarray(one.is_null()) | np.asarray(two.is_null())))
-            for i in range(0, len(known), 1024):
-                rows = known[i : i + 1024]
-                x, y = ([np.frombuffer(c[int(r)].as_buffer(), np.uint8) for r in rows] for c in (one, two))
-                most[rows] = np.minimum(np.stack(x), np.stack(y)).sum(1, dtype=np.int64)
-            # 100 * i >= 80 * (total - i)
-            yield batch.select(["a", "b"]).filter(pa.array((most >= total) | (180 * np.minimum(most, total) >= 80 * total)))
-
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "pa", "pb")
-    return joined.mapInArrow(run, "a binary, b binary")
-
-
-def _full_rows(docs: DataFrame, rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sig, shingles) of the matrix rows in ``wanted`` (sig); one text is read again for each."""
-    first = rows.join(wanted, "sig", "left_semi").groupBy("sig").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    unnamed = F.broadcast(first.filter("doc_id IS NULL").select(F.lit(1).alias("any")))  # a row if a set has no doc_id at all
-    texts = docs.select("doc_id", "text").join(first, "doc_id", "left_semi").select("text").unionByName(
-        docs.filter("doc_id IS NULL").select("text").crossJoin(unnamed).select("text")
-    )
 
-    def run(batches):
-        table = WordTable()
-        for batch in batches:
-            sets = [shingle_set(t, table) for t in batch.column("text").to_pylist()]
-            sets = [s for s in sets if len(s)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([signature(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["sig", "shingles"]
-            )
+def _first_pairs(docs: DataFrame, renamed: dict[int, int], nodes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rows and centres that share enough of their first columns."""
+    entries = _columns(docs, renamed, lambda own: (own[:FIRST],), "h long, node long").join(nodes.select("node", "n", "copies"), "node")
+    band = lambda n: F.floor(F.log(F.col(n).cast("double")) / float(np.log(BAND)) + 1e-9).cast("int")
+    placed = materialize(entries.distinct().withColumn("own", band("n")), "first").withColumn("band", F.explode(F.array("own", F.col("own") + 1)))
+    centre = F.max(F.struct("copies", F.xxhash64("node").alias("x"), "node", "n", "own")).alias("c")
+    centres = placed.groupBy("h", "band").agg(centre, F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").drop("lo", "hi")
+    # a pair is counted in the larger of its own two bands only
+    met = placed.join(centres, ["h", "band"]).filter("node <> c.node AND band = greatest(own, c.own) AND 100 * least(n, c.n) >= 80 * greatest(n, c.n)")
+    counted = met.groupBy("node", F.col("c.node").alias("b")).agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("c.n").alias("m"))
+    enough = F.least(F.lit(SHARED), F.ceil(F.least("n", "m") / 2))
+    return _ordered(counted.filter(F.col("shared") >= enough).select(F.col("node").alias("a"), "b"))
 
-    return texts.mapInArrow(run, "sig binary, shingles binary").dropDuplicates(["sig"])
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs whose full rows overlap enough."""
-    left = sets.select(F.col("sig").alias("a"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("sig").alias("b"), F.col("shingles").alias("sb"))
 
-    def run(batches):
+def _prefix_pairs(docs: DataFrame, renamed: dict[int, int], nodes: DataFrame, levels: np.ndarray, labels: DataFrame) -> DataFrame:
+    """Pairs of rows of different components that the bounds over the prefix columns leave."""
+    shared = docs.sparkSession.sparkContext.broadcast(levels)
+    entries = _columns(
+        docs, renamed, lambda own: ((p := _ordered_prefix(own, shared.value)[0]), np.arange(len(p), dtype=np.int32)), "h long, node long, pos int"
+    )
+    live = entries.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("h")
+    # two rows at least have each of these columns
+    alive = materialize(entries.join(materialize(live, "columns"), "h", "left_semi"), "alive")
+    met = alive.distinct()
+    left = met.groupBy("node").agg(F.count("*").alias("alive"))
+
+    def ends(own):
+        p, common = _ordered_prefix(own, shared.value)
+        return own[:1], np.array([int(common[-1]) << 56 | int(p[-1]) >> 8], np.int64)
+
+    ending = _columns(docs, renamed, ends, "h long, node long, ending long").select("node", "ending")
+    facts = materialize(
+        left.join(nodes.select("node", "n"), "node")
+        .join(ending.dropDuplicates(["node"]), "node")
+        .join(labels, "node", "left")
+        .select("node", "n", "ending", F.coalesce("label", "node").alias("label"), (F.expr("n - (n div 5 + 1)") + F.col("alive")).alias("most")),
+        "facts",
+    )
+    placed = materialize(met.join(facts, "node"), "placed")
+    parts = placed.groupBy("h", "label").agg(F.count("*").alias("c"))
+    tops = parts.groupBy("h").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
+    mixed = materialize(placed.join(tops.select("h", F.col("top.label").alias("top")), "h").withColumn("left", F.col("n") - F.col("pos")), "mixed")
+    x, y = mixed.filter("label <> top").alias("x"), mixed.alias("y")
+    once = "x.label <> y.label AND (y.label = y.top OR x.node < y.node)"
+    placed_well = "180 * least(x.left, y.left) >= 80 * (x.n + y.n)"
+    reach = "CASE WHEN x.ending < y.ending THEN x.most WHEN x.ending > y.ending THEN y.most ELSE greatest(x.most, y.most) END"
+    pairs = x.join(y, F.expr(f"x.h = y.h AND {once} AND {placed_well} AND 180 * ({reach}) >= 80 * (x.n + y.n)"))
+    found = materialize(_ordered(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))), "pairs")
+    discard(alive, placed, mixed, facts)
+    return found
+
+
+def _pack(own: np.ndarray) -> bytes:
+    """The upper ``WIDE`` bytes of sorted hashes, in order."""
+    return own.view(np.uint8).reshape(-1, 8)[:, 8 - WIDE :].tobytes()
+
+
+def _unpack(packed) -> np.ndarray:
+    raw = np.frombuffer(packed, np.uint8).reshape(-1, WIDE)
+    out = np.zeros((len(raw), 8), np.uint8)
+    out[:, 8 - WIDE :] = raw
+    return out.view(np.uint64).ravel()
+
+
+def links(u: np.ndarray, v: np.ndarray) -> bool:
+    """Whether two sorted rows overlap enough, counted block by block of the columns."""
+    need = -(-80 * (len(u) + len(v)) // 180)
+    cuts = np.arange(1, COLUMN_BLOCKS, dtype=np.uint64) << np.uint64(62)
+    a, b = [0, *np.searchsorted(u, cuts).tolist(), len(u)], [0, *np.searchsorted(v, cuts).tolist(), len(v)]
+    count = 0
+    for k in range(COLUMN_BLOCKS):
+        both = np.concatenate([u[a[k] : a[k + 1]], v[b[k] : b[k + 1]]])
+        both.sort(kind="stable")
+        count += int((both[1:] == both[:-1]).sum())
+        if count + min(len(u) - a[k + 1], len(v) - b[k + 1]) < need:
+            return False
+    return True
+
+
+def _linked(docs: DataFrame, renamed: dict[int, int], pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, counted over all columns. Only rows in ``pairs`` are sent."""
+    names = ["node", "columns"]
+
+    def rows(batches):
+        seen: set[int] = set()
+        for _, sets in _texts(batches):
+            held, nodes = [], []
+            for own in sets:
+                node = _named(own, renamed)[0] if len(own) else None
+                if node is not None and node not in seen:
+                    if len(seen) < SEEN_LIMIT:
+                        seen.add(node)
+                    nodes.append(node)
+                    held.append(_pack(own))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(held, pa.binary())], names=names)
+
+    def count(batches):
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                u, v = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([u, v])
-                both.sort(kind="stable")
-                shared = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * shared >= 80 * (len(u) + len(v) - shared))
+            keep = [links(_unpack(x.as_buffer()), _unpack(y.as_buffer())) for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True)]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
-
-
-def _verified(docs: DataFrame, rows: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs that link, counted over the full rows."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    return materialize(_linked(pairs, materialize(_full_rows(docs, rows, wanted), "sets")), "linked")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sent = docs.select("text").mapInArrow(rows, "node long, columns binary").join(wanted, "node", "left_semi")
+    sets = materialize(sent.dropDuplicates(["node"]), "sets")
+    left = sets.select(F.col("node").alias("a"), F.col("columns").alias("sa"))
+    right = sets.select(F.col("node").alias("b"), F.col("columns").alias("sb"))
+    found = materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(count, "a long, b long"), "linked")
+    discard(sets)
+    return found
+
+
+def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, tkey, n, node) of every document, and (node, label) of every node that links."""
+    renamed: dict[int, int] = {}
+    raw = materialize(_rows(docs, renamed), "rows")
+    nodes = raw.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("copies"), F.min("chk").alias("lo"), F.max("chk").alias("hi"))
+    nodes = materialize(nodes, "nodes")
+    # different sets with one first half: one is expected in 2**32 documents, none in most corpora
+    renamed = {r["node"]: seed for seed, r in enumerate(nodes.filter("lo <> hi").select("node").sort("node").collect(), 1)}
+    if renamed:
+        raw = materialize(_rows(docs, renamed), "rows")
+        nodes = materialize(raw.filter("n > 0").groupBy("node").agg(F.first("n").alias("n"), F.count("*").alias("copies")), "nodes")
+    levels = _levels(raw)
+    near = materialize(_first_pairs(docs, renamed, nodes), "near")
+    labels = connected_components(_linked(docs, renamed, near))
+    more = _linked(docs, renamed, _prefix_pairs(docs, renamed, nodes, levels, labels))
+    named = lambda side: more.join(labels.withColumnsRenamed({"node": side, "label": f"l{side}"}), side, "left")
+    joins = named("a").join(labels.withColumnsRenamed({"node": "b", "label": "lb"}), "b", "left")
+    joins = joins.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    above = connected_components(joins).withColumnsRenamed({"node": "l", "label": "top"})
+    outer = above.withColumnsRenamed({"l": "node", "top": "label"})
+    inner = labels.join(above, labels["label"] == above["l"], "left").select("node", F.coalesce("top", "label").alias("label"))
+    whole = inner.unionByName(outer.join(labels, "node", "left_anti").select("node", "label"))
+    return raw.filter("block IS NULL").select("doc_id", "tkey", "n", "node"), whole
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document under links at Jaccard similarity 0.8."""
-    raw = materialize(_shingle_rows(docs), "shingles")
-    rows = raw.filter("block IS NULL").select("doc_id", "n", "sig")
-    profiles = raw.filter("n > 0").select("sig", "n", "profile").dropDuplicates(["sig"])
-    blocks = _blocks(docs, _levels(raw))
-
-    stars = materialize(_stars(blocks), "stars")
-    found = _verified(docs, rows, materialize(_plausible(stars, profiles), "likely"))
-    labels = connected_components(found)
-    rest = _crossings(blocks, labels).join(stars, ["a", "b"], "left_anti")
-    more = _verified(docs, rows, materialize(_plausible(rest, profiles), "likely"))
-    if not more.isEmpty():
-        labels = connected_components(found.unionByName(more))
-
-    ids = rows.filter("n > 0").groupBy("sig").agg(F.min("doc_id").alias("least"))
-    named = ids.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+    rows, labels = _labelled(docs)
+    ids = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
+    named = ids.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_sig = named.join(least, "label").select("sig", "component_id")
-    full = rows.filter("n > 0").join(of_sig, "sig").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    of_node = materialize(named.join(least, "label").select("node", "component_id"), "components")
+    full = rows.filter("n > 0").join(of_node, "node").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
     empty = rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return full.unionByName(empty).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents whose doc_id names their component, with all their columns.
+    """One document of each component, with all its columns: the one with the smallest doc_id (a null counts as the largest).
 
-    Repeated rows (same doc_id and text) count once; rows without a doc_id stay.
+    Ties of one doc_id go to the smaller hash of the text. Documents without words stay. Rows that repeat both doc_id and
+    text count once.
     """
-    named = jaccard_components(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.unionByName(docs.filter("doc_id IS NULL"))
+    rows, labels = _labelled(docs)
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tkey")
+    mine = rows.filter("n > 0").groupBy("node").agg(F.min(place).alias("place"), F.count("*").alias("copies")).join(labels, "node", "left")
+    chosen = mine.groupBy(F.coalesce("label", "node").alias("label")).agg(F.min(F.struct("place", "copies")).alias("m"))
+    full = chosen.select("m.place.doc_id", "m.place.tkey", "m.copies")
+    empty = rows.filter("n = 0").groupBy("doc_id", "tkey").agg(F.count("*").alias("copies"))
+    kept = materialize(full.unionByName(empty), "kept").withColumnsRenamed({"doc_id": "_d", "tkey": "_t", "copies": "_copies"})
+    own = docs.withColumn("_key", F.xxhash64("text"))
+    found = own.join(kept, own["doc_id"].eqNullSafe(kept["_d"]) & (F.col("_key") == F.col("_t"))).drop("_d", "_t", "_key")
+    # only rows with copies can repeat
+    again = found.filter("_copies > 1").dropDuplicates(["doc_id", "text"])
+    return found.filter("_copies = 1").unionByName(again).drop("_copies")
 
 
 def oracle() -> str:
