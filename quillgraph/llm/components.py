@@ -20,13 +20,13 @@ def connected_components(links: DataFrame) -> DataFrame:
     labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
     while True:
         near = (
-            both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("other")), "b")
+            both.join(labels.select(F.col("node").alias("b"), F.col("label").alias("other")).hint("merge"), "b")
             .groupBy(F.col("a").alias("node"))
             .agg(F.min("other").alias("other"))
         )
-        stepped = labels.join(near, "node").select("node", "label", F.least("label", "other").alias("nearer"))
+        stepped = labels.join(near.hint("merge"), "node").select("node", "label", F.least("label", "other").alias("nearer"))
         jump = labels.select(F.col("node").alias("nearer"), F.col("label").alias("far"))
-        joined = stepped.join(jump, "nearer").select(
+        joined = stepped.join(jump.hint("merge"), "nearer").select(
             "node", F.least("nearer", "far").alias("label"), (F.least("nearer", "far") != F.col("label")).alias("moved")
         )
         after = materialize(joined, "labels")

@@ -11,7 +11,9 @@ need = ceil(80 (n + m) / 180) on.
 2. Prefix columns: in a common order, with the shingles of many documents last, sets that link share one of their first
    n // 5 + 1 shingles. Only rows of different components meet there, and a pair is dropped unless, at a shared column with ``left`` columns
    still to come (it included) on either side, the smaller ``left`` reaches need. Columns that only one row has are dead: of two
-   rows, the one whose prefix ends first can reach at most n - its dead columns. What is left is counted over all columns.
+   rows, the one whose prefix ends first can reach at most n - its dead columns. Each row also has a parity of its columns in ``BITS`` bits: a
+   column that only one of two rows has turns one bit, so at least as many columns differ as bits do, and
+   (n + m) / 9 may. What is left is counted over all columns.
 
 Counting over all columns goes block by block of the hash range; a pair is dropped once its count and what is left of the
 smaller side fall below need.
@@ -42,6 +44,8 @@ SKETCH_BITS, SKETCH_BLOCKS = 20, 16
 FIRST, SHARED = 8, 4
 #: Ratio of neighbouring size bands; sets of two bands apart can't link.
 BAND = 1.25
+#: Bits of a row's parity.
+BITS = 256
 #: Bytes of a shingle hash in rows sent for counting, and the blocks of columns in which it is done.
 WIDE, COLUMN_BLOCKS = 6, 4
 #: Rows of one task's table of sets already seen (a copy beyond it is sent again, and dropped later).
@@ -157,15 +161,26 @@ def _ordered_prefix(own: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np
     return own[order], common[order]
 
 
+def _parity(own: np.ndarray) -> list[np.ndarray]:
+    """``BITS`` bits in words of 64: how often each value of the columns' lowest bits occurs, modulo 2."""
+    odd = np.bincount((own & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1
+    return list(np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(-1, 1))
+
+
+def _merged(grows: DataFrame) -> DataFrame:
+    """A join side that grows with the corpus: never to be broadcast, at any size."""
+    return grows.hint("merge")
+
+
 def _first_pairs(docs: DataFrame, renamed: dict[int, int], nodes: DataFrame) -> DataFrame:
     """Pairs (a, b) of rows and centres that share enough of their first columns."""
-    entries = _columns(docs, renamed, lambda own: (own[:FIRST],), "h long, node long").join(nodes.select("node", "n", "copies"), "node")
+    entries = _columns(docs, renamed, lambda own: (own[:FIRST],), "h long, node long").join(_merged(nodes.select("node", "n", "copies")), "node")
     band = lambda n: F.floor(F.log(F.col(n).cast("double")) / float(np.log(BAND)) + 1e-9).cast("int")
     placed = materialize(entries.distinct().withColumn("own", band("n")), "first").withColumn("band", F.explode(F.array("own", F.col("own") + 1)))
     centre = F.max(F.struct("copies", F.xxhash64("node").alias("x"), "node", "n", "own")).alias("c")
     centres = placed.groupBy("h", "band").agg(centre, F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").drop("lo", "hi")
     # a pair is counted in the larger of its own two bands only
-    met = placed.join(centres, ["h", "band"]).filter("node <> c.node AND band = greatest(own, c.own) AND 100 * least(n, c.n) >= 80 * greatest(n, c.n)")
+    met = placed.join(_merged(centres), ["h", "band"]).filter("node <> c.node AND band = greatest(own, c.own) AND 100 * least(n, c.n) >= 80 * greatest(n, c.n)")
     counted = met.groupBy("node", F.col("c.node").alias("b")).agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("c.n").alias("m"))
     enough = F.least(F.lit(SHARED), F.ceil(F.least("n", "m") / 2))
     return _ordered(counted.filter(F.col("shared") >= enough).select(F.col("node").alias("a"), "b"))
@@ -183,31 +198,33 @@ def _prefix_pairs(docs: DataFrame, renamed: dict[int, int], nodes: DataFrame, le
     )
     live = entries.groupBy("h").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo <> hi").select("h")
     # two rows at least have each of these columns
-    alive = materialize(entries.join(materialize(live, "columns"), "h", "left_semi"), "alive")
+    alive = materialize(entries.join(_merged(materialize(live, "columns")), "h", "left_semi"), "alive")
     met = alive.distinct()
     left = met.groupBy("node").agg(F.count("*").alias("alive"))
 
     def ends(own):
         p, common = _ordered_prefix(own, shared.value)
-        return own[:1], np.array([int(common[-1]) << 56 | int(p[-1]) >> 8], np.int64)
+        return own[:1], np.array([int(common[-1]) << 56 | int(p[-1]) >> 8], np.int64), *_parity(own)
 
-    ending = _columns(docs, renamed, ends, "h long, node long, ending long").select("node", "ending")
+    bits = [f"bits{i}" for i in range(BITS // 64)]
+    ending = _columns(docs, renamed, ends, ", ".join(["h long, node long, ending long", *[f"{b} long" for b in bits]])).drop("h")
     facts = materialize(
-        left.join(nodes.select("node", "n"), "node")
-        .join(ending.dropDuplicates(["node"]), "node")
-        .join(labels, "node", "left")
-        .select("node", "n", "ending", F.coalesce("label", "node").alias("label"), (F.expr("n - (n div 5 + 1)") + F.col("alive")).alias("most")),
+        left.join(_merged(nodes.select("node", "n")), "node")
+        .join(_merged(ending.dropDuplicates(["node"])), "node")
+        .join(_merged(labels), "node", "left")
+        .select("node", "n", "ending", F.coalesce("label", "node").alias("label"), (F.expr("n - (n div 5 + 1)") + F.col("alive")).alias("most"), *bits),
         "facts",
     )
-    placed = materialize(met.join(facts, "node"), "placed")
+    placed = materialize(met.join(_merged(facts), "node"), "placed")
     parts = placed.groupBy("h", "label").agg(F.count("*").alias("c"))
     tops = parts.groupBy("h").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
-    mixed = materialize(placed.join(tops.select("h", F.col("top.label").alias("top")), "h").withColumn("left", F.col("n") - F.col("pos")), "mixed")
-    x, y = mixed.filter("label <> top").alias("x"), mixed.alias("y")
+    mixed = materialize(placed.join(_merged(tops.select("h", F.col("top.label").alias("top"))), "h").withColumn("left", F.col("n") - F.col("pos")), "mixed")
+    x, y = mixed.filter("label <> top").alias("x"), _merged(mixed).alias("y")
     once = "x.label <> y.label AND (y.label = y.top OR x.node < y.node)"
     placed_well = "180 * least(x.left, y.left) >= 80 * (x.n + y.n)"
     reach = "CASE WHEN x.ending < y.ending THEN x.most WHEN x.ending > y.ending THEN y.most ELSE greatest(x.most, y.most) END"
-    pairs = x.join(y, F.expr(f"x.h = y.h AND {once} AND {placed_well} AND 180 * ({reach}) >= 80 * (x.n + y.n)"))
+    apart = " + ".join(f"bit_count(x.{b} ^ y.{b})" for b in bits)
+    pairs = x.join(y, F.expr(f"x.h = y.h AND {once} AND {placed_well} AND 180 * ({reach}) >= 80 * (x.n + y.n) AND 9 * ({apart}) <= x.n + y.n"))
     found = materialize(_ordered(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))), "pairs")
     discard(alive, placed, mixed, facts)
     return found
@@ -263,11 +280,11 @@ def _linked(docs: DataFrame, renamed: dict[int, int], pairs: DataFrame) -> DataF
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sent = docs.select("text").mapInArrow(rows, "node long, columns binary").join(wanted, "node", "left_semi")
+    sent = docs.select("text").mapInArrow(rows, "node long, columns binary").join(_merged(wanted), "node", "left_semi")
     sets = materialize(sent.dropDuplicates(["node"]), "sets")
     left = sets.select(F.col("node").alias("a"), F.col("columns").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("columns").alias("sb"))
-    found = materialize(pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb").mapInArrow(count, "a long, b long"), "linked")
+    found = materialize(pairs.join(_merged(left), "a").join(_merged(right), "b").select("a", "b", "sa", "sb").mapInArrow(count, "a long, b long"), "linked")
     discard(sets)
     return found
 
@@ -287,13 +304,13 @@ def _labelled(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     near = materialize(_first_pairs(docs, renamed, nodes), "near")
     labels = connected_components(_linked(docs, renamed, near))
     more = _linked(docs, renamed, _prefix_pairs(docs, renamed, nodes, levels, labels))
-    named = lambda side: more.join(labels.withColumnsRenamed({"node": side, "label": f"l{side}"}), side, "left")
-    joins = named("a").join(labels.withColumnsRenamed({"node": "b", "label": "lb"}), "b", "left")
+    named = lambda side: more.join(_merged(labels.withColumnsRenamed({"node": side, "label": f"l{side}"})), side, "left")
+    joins = named("a").join(_merged(labels.withColumnsRenamed({"node": "b", "label": "lb"})), "b", "left")
     joins = joins.select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
     above = connected_components(joins).withColumnsRenamed({"node": "l", "label": "top"})
     outer = above.withColumnsRenamed({"l": "node", "top": "label"})
-    inner = labels.join(above, labels["label"] == above["l"], "left").select("node", F.coalesce("top", "label").alias("label"))
-    whole = inner.unionByName(outer.join(labels, "node", "left_anti").select("node", "label"))
+    inner = labels.join(_merged(above), labels["label"] == above["l"], "left").select("node", F.coalesce("top", "label").alias("label"))
+    whole = inner.unionByName(outer.join(_merged(labels), "node", "left_anti").select("node", "label"))
     return raw.filter("block IS NULL").select("doc_id", "tkey", "n", "node"), whole
 
 
@@ -301,10 +318,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document under links at Jaccard similarity 0.8."""
     rows, labels = _labelled(docs)
     ids = rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("least"))
-    named = ids.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = ids.join(_merged(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_node = materialize(named.join(least, "label").select("node", "component_id"), "components")
-    full = rows.filter("n > 0").join(of_node, "node").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    of_node = materialize(named.join(_merged(least), "label").select("node", "component_id"), "components")
+    full = rows.filter("n > 0").join(_merged(of_node), "node").select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
     empty = rows.filter("n = 0").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return full.unionByName(empty).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
@@ -317,13 +334,13 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """
     rows, labels = _labelled(docs)
     place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "tkey")
-    mine = rows.filter("n > 0").groupBy("node").agg(F.min(place).alias("place"), F.count("*").alias("copies")).join(labels, "node", "left")
+    mine = rows.filter("n > 0").groupBy("node").agg(F.min(place).alias("place"), F.count("*").alias("copies")).join(_merged(labels), "node", "left")
     chosen = mine.groupBy(F.coalesce("label", "node").alias("label")).agg(F.min(F.struct("place", "copies")).alias("m"))
     full = chosen.select("m.place.doc_id", "m.place.tkey", "m.copies")
     empty = rows.filter("n = 0").groupBy("doc_id", "tkey").agg(F.count("*").alias("copies"))
     kept = materialize(full.unionByName(empty), "kept").withColumnsRenamed({"doc_id": "_d", "tkey": "_t", "copies": "_copies"})
     own = docs.withColumn("_key", F.xxhash64("text"))
-    found = own.join(kept, own["doc_id"].eqNullSafe(kept["_d"]) & (F.col("_key") == F.col("_t"))).drop("_d", "_t", "_key")
+    found = own.join(_merged(kept), own["doc_id"].eqNullSafe(kept["_d"]) & (F.col("_key") == F.col("_t"))).drop("_d", "_t", "_key")
     # only rows with copies can repeat
     again = found.filter("_copies > 1").dropDuplicates(["doc_id", "text"])
     return found.filter("_copies = 1").unionByName(again).drop("_copies")
