@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 ROW_BITS = 33
 #: Rows of one Arrow batch between Spark and a Python worker.
 BATCH_ROWS = 1000
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="quillgraph-"))
     return sc.getCheckpointDir()
 
@@ -36,7 +39,12 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    rows = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, BATCH_ROWS)  # while this table is written
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, rows)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)  # the session's results may still read it
     del df
@@ -62,7 +70,7 @@ def release(spark: SparkSession) -> None:
 
 def small_batches(df: DataFrame) -> DataFrame:
     """Have the session hand rows to Python ``BATCH_ROWS`` at a time, so that a batch of long texts fits a worker."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    df.sparkSession.conf.set(ARROW_ROWS, BATCH_ROWS)
     return df
 
 

@@ -45,7 +45,7 @@ FIRST, SHARED = 8, 4
 #: Ratio of neighbouring size bands; sets of two bands apart can't link.
 BAND = 1.25
 #: Bits of a row's parity.
-BITS = 256
+BITS = 512
 #: Bytes of a shingle hash in rows sent for counting, and the blocks of columns in which it is done.
 WIDE, COLUMN_BLOCKS = 6, 4
 #: Rows of one task's table of sets already seen (a copy beyond it is sent again, and dropped later).

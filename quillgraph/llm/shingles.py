@@ -15,7 +15,7 @@ import xxhash
 #: Words in a shingle.
 WIDTH = 5
 #: Bytes of text that are worked on at once (one text at least).
-PART_BYTES = 1 << 22
+PART_BYTES = 1 << 20
 _MULTIPLIERS = np.array([xxhash.xxh3_64_intdigest(f"place {i}".encode()) | 1 for i in range(64)], np.uint64)
 _FOLD = bytes(32 if 9 <= b <= 13 else b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
