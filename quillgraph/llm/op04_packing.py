@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import runs, small_batches
-from .op06_bpe import packed, pieces, table, vocabulary
+from .op06_bpe import packed, table, vocabulary
 
 WINDOW = 4096
 CLOSING_ID = 2
@@ -152,8 +152,7 @@ def pack_documents(docs: DataFrame, vocabulary_path: str, window: int = WINDOW)
 
     def pack(batches):
         known = table(content.value, packed)
-        look = known.__getitem__
-        closing = packed([CLOSING_ID])
+        closing = CLOSING_ID.to_bytes(4, "little")
         packer = Packer(window)
         number = TaskContext.get().partitionId() << 33
         id_type = None
@@ -177,8 +176,8 @@ def pack_documents(docs: DataFrame, vocabulary_path: str, window: int = WINDOW)
             id_type = batch.schema.field("doc_id").type
             texts, ids = batch.column("text").to_pylist(), batch.column("doc_id").to_pylist()
             for part in runs(texts):
-                split = [pieces(text) for text in texts[part]]
-                known.fill(split)
+                split = known.split(texts[part])
+                look = known.tables[0].__getitem__
                 for doc, own in zip(ids[part], split, strict=True):
                     packer.place(doc, b"".join(map(look, own)) + closing)
                 yield rows()

@@ -5,16 +5,20 @@ state and an arc for each base symbol. Merge m = (u, v) -> w then adds one gadge
 state that u leads to is copied as state m without its arc for v, u is led to the copy,
 and w gets arcs wherever u has one, to where v led. All arcs of one token lead to one
 state, so the automaton is held as ``target`` (token -> state) and, for each state, the
-state it copies and the token whose arc it lost. Exactly one path spells a word, and its
-arcs are the word's BPE tokens; encoding follows the longest arcs first and steps back
-where a path ends. Decoding emits the labels of the arcs.
+state it copies and the token whose arc it lost. On the way from a state to the one it began as, a token's arc is lost once at most, so the
+states that lost one token are disjoint intervals of the tree of copies: whether a state has an arc is one search in a sorted table.
+Exactly one path spells a word, and its arcs are the word's BPE tokens.
+
+Encoding is one forward pass without steps back. A trie over the bytes of all tokens gives the tokens that begin at each
+place. Every place is reached by the last arc of exactly one path that spells the bytes before it, so a token is taken where the state
+reached there has an arc for it. Many words are walked at once, as arrays, place by place. Decoding emits the labels of the arcs.
 
 Pre-splitting follows the vocabulary file: special tokens first, then NFC, lower case and
-words by the file's pattern (for scripts beyond Latin by the library's own splitter). A piece between ASCII white space is split and encoded by itself,
-so pieces seen before are answered from a bounded table.
+words by the file's pattern (for scripts beyond Latin by the library's own splitter). Words seen before are
+answered from a bounded table.
 
 Defined results: null text counts as empty and has no tokens; repeated rows are each
-answered; an empty table gives no rows; texts of any length are encoded whole.
+answered; an empty table gives no rows; texts and words of any length are encoded whole.
 """
 
 from __future__ import annotations
@@ -22,7 +26,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import struct
 import unicodedata
 
 import numpy as np
@@ -31,21 +34,26 @@ from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
 from .common import runs, small_batches
+from .op01_language import GramTable
 
-#: End-of-word mark inside this module; it is no byte's symbol.
-END = "\n"
-#: Entries in a worker's table of pieces; beyond it a new table starts, and what is used again moves on from the old one.
+#: Entries in a worker's table of words; beyond it a new table starts, and what is used again moves on from the old one.
 TABLE_LIMIT = 300_000
-#: The vocabulary file's word pattern for ASCII text without white space.
-ASCII_WORDS = re.compile(rb"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+#: Bytes of words that are walked at once (one word at least).
+WALK_BYTES = 1 << 20
+#: White space of the vocabulary file's pattern among the characters below U+0250.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0"
+BEYOND_LATIN = re.compile("[^\x00-\u024f]")
 NEVER = 1 << 40
 
 
 def latin_words() -> re.Pattern:
-    """The vocabulary file's word pattern for text below U+0250."""
-    of = lambda kind: "".join(re.escape(chr(c)) for c in range(0x250) if unicodedata.category(chr(c))[0] == kind)
-    letters, numbers = of("L"), of("N")
-    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^\s{letters}{numbers}]+|[\x1c-\x1f]")
+    """The vocabulary file's word pattern for lower-case text below U+0250."""
+    kinds: dict[str, str] = {}
+    for c in map(chr, range(0x250)):
+        kind = unicodedata.category(c)[0]
+        kind = "space" if c in SPACES else kind if kind in "LN" else "other"
+        kinds[kind] = kinds.get(kind, "") + re.escape(c)
+    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{kinds['L']}]+|[{kinds['N']}]|[{kinds['other']}]+")
 
 
 def byte_symbols() -> list[str]:
@@ -65,296 +73,199 @@ class BpeAutomaton:
         """Compile the JSON text of a vocabulary file."""
         spec = json.loads(content)
         suffix = spec["model"]["end_of_word_suffix"]
-        marked = lambda t: t[: -len(suffix)] + END if t.endswith(suffix) else t
         vocab = spec["model"]["vocab"]
         self.labels = {i: t for t, i in vocab.items()} | {a["id"]: a["content"] for a in spec["added_tokens"]}
-        self.label_of = {str(i): t for i, t in self.labels.items()}
-        self.ids = {marked(t): i for t, i in vocab.items()}
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.left: dict[int, int] = {}
-        self.made: dict[int, int] = {}
-        self.target = dict.fromkeys(self.ids.values(), 0)
-        self.copied, self.lost = [0], [-1]
-        self._compile([(vocab[a], vocab[b], vocab[a + b if not a.endswith(suffix) else a + b]) for a, b in spec["model"]["merges"]])
-        self.longest: dict[str, int] = {}
-        for t in self.ids:
-            for head in (t[:2], t[:1]):
-                self.longest[head] = max(self.longest.get(head, 0), len(t))
-        self.arcs: dict[int, bool] = {}
+        self.byte_of = {c: b for b, c in enumerate(byte_symbols())}
         self.latin = latin_words()
-        self.symbols = byte_symbols()
-        self.byte_of = {c: b for b, c in enumerate(self.symbols)}
         self.library = Tokenizer.from_str(content)  # only its normaliser and splitter are used
-
-    def _compile(self, merges: list[tuple[int, int, int]]) -> None:
+        size = max(self.labels) + 1
+        self.left, self.made = np.full(size, -1), np.full(size, NEVER)
+        self._compile([(vocab[a], vocab[b], vocab[a + b if not a.endswith(suffix) else a + b]) for a, b in spec["model"]["merges"]], size)
+        # bytes of each token; the end of a word is a line feed, which no word holds
+        texts = {i: (t[: -len(suffix)] if t.endswith(suffix) else t, t.endswith(suffix)) for t, i in vocab.items()}
+        self._plant({i: bytes(self.byte_of[c] for c in t) + b"\n" * ends for i, (t, ends) in texts.items()}, size)
+
+    def _compile(self, merges: list[tuple[int, int, int]], size: int) -> None:
+        target, copied, lost = [0] * size, [0], [-1]
         for m, (u, v, w) in enumerate(merges, 1):
-            self.copied.append(self.target[u])
-            self.lost.append(v)
-            self.target[w] = self.target[v]
-            self.target[u] = m
+            copied.append(target[u])
+            lost.append(v)
+            target[w] = target[v]
+            target[u] = m
             self.left[w], self.made[w] = u, m
-
-    def has_arc(self, last: int, token: int) -> bool:
-        """Whether the state that ``last`` leads to has an arc for ``token``."""
-        key = last << 20 | token
-        known = self.arcs.get(key)
-        if known is None:
-            # a merged token's arc was added where its left part still had one
-            until, t, limit = {}, token, NEVER
-            while True:
-                until[t] = limit
-                if t not in self.left:
-                    break
-                limit, t = self.made[t], self.left[t]
-            state, known = self.target[last], True
-            while state:
-                if self.lost[state] in until and state <= until[self.lost[state]]:
-                    known = False
-                    break
-                state = self.copied[state]
-            self.arcs[key] = known
-        return known
-
-    def encode_word(self, word: str) -> list[int]:
-        """Token ids of one pre-split word, given as symbols with ``END`` after the last."""
-        whole = self.ids.get(word)
-        if whole is not None and len(word) <= 2:
-            return [whole]
-        ids, has_arc, longest, n = self.ids, self.has_arc, self.longest, len(word)
-        path: list[int] = []
-        ends: list[int] = []
-        dead: set[tuple[int, int]] = set()
-        at, size = 0, 0
-        while at < n:
-            last = path[-1] if path else -1
-            size = size or min(longest.get(word[at : at + 2], 1), n - at)
-            while size:
-                token = ids.get(word[at : at + size])
-                if token is not None and (last < 0 or has_arc(last, token)) and (at + size, token) not in dead:
-                    break
-                size -= 1
-            if size:
-                path.append(token)
-                at += size
-                ends.append(at)
-                size = 0
-            else:  # step back and try a shorter arc
-                token = path.pop()
-                dead.add((at, token))
-                ends.pop()
-                before = ends[-1] if ends else 0
-                at, size = before, at - before - 1
-                if not size:
-                    size = 0
-                    while path and not size:
-                        dead.add((at, path.pop()))
-                        ends.pop()
-                        before = ends[-1] if ends else 0
-                        at, size = before, at - before - 1
-        return path
-
-    def split_piece(self, piece: bytes) -> list[bytes | int]:
-        """Pre-split words (bytes) and special tokens (ids) of a piece without ASCII white space."""
-        if piece.isascii() and b"<|" not in piece:
-            return ASCII_WORDS.findall(piece.lower())
-        text = piece.decode("utf-8", "surrogatepass")
-        out: list[bytes | int] = []
-        for part in self.special_split.split(text) if "<|" in text else (text,):
+        # intervals of the tree of copies, in which a copy comes after its origin
+        below = [1] * len(copied)
+        for s in range(len(copied) - 1, 0, -1):
+            below[copied[s]] += below[s]
+        begin, free = [0] * len(copied), [1] * len(copied)
+        for s in range(1, len(copied)):
+            begin[s] = free[copied[s]]
+            free[copied[s]] += below[s]
+            free[s] = begin[s] + 1
+        self.begin = np.array(begin)[np.array(target)]
+        keys = np.array(lost[1:], np.int64) << 32 | np.array(begin[1:])
+        order = np.argsort(keys)
+        self.lost_keys = np.concatenate([[-1], keys[order]])
+        self.lost_ends = np.concatenate([[-1], (np.array(begin[1:]) + np.array(below[1:]))[order]])
+        self.lost_states = np.concatenate([[NEVER], order + 1])
+
+    def _plant(self, texts: dict[int, bytes], size: int) -> None:
+        children: dict[int, int] = {}
+        ends: dict[int, int] = {}
+        for token, text in texts.items():
+            node = 0
+            for b in text:
+                node = children.setdefault(node << 8 | b, len(children) + 1)
+            ends[node] = token
+        self.children = GramTable(np.array(list(children), np.int64))
+        self.child = np.array(list(children.values()), np.int64)
+        self.token_at = np.full(len(children) + 1, -1)
+        self.token_at[list(ends)] = list(ends.values())
+        self.size_of = np.zeros(size, np.int64)
+        self.size_of[list(texts)] = [len(t) for t in texts.values()]
+
+    def has_arc(self, last: np.ndarray, token: np.ndarray) -> np.ndarray:
+        """Whether the state that each ``last`` leads to has an arc for ``token``."""
+        at, has, live = self.begin[last], np.ones(len(last), bool), np.arange(len(last))
+        limit, token = np.full(len(last), NEVER), token.copy()
+        while len(live):  # a merged token's arc was added where its left part still had one
+            slot = np.searchsorted(self.lost_keys, token << 32 | at, "right") - 1
+            gone = (self.lost_keys[slot] >> 32 == token) & (at < self.lost_ends[slot]) & (self.lost_states[slot] <= limit)
+            has[live[gone]] = False
+            on = ~gone & (self.left[token] >= 0)
+            live, at, limit, token = live[on], at[on], self.made[token[on]], self.left[token[on]]
+        return has
+
+    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Token ids of pre-split words, given as their UTF-8 bytes, one word after another, and where each word's ids end."""
+        ids, counts, begin, size = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0, 0
+        for i, word in enumerate(words, 1):
+            size += len(word) + 1
+            if size >= WALK_BYTES or i == len(words):
+                flat, own = self._walk(words[begin:i])
+                ids.append(flat)
+                counts.append(own)
+                begin, size = i, 0
+        return np.concatenate(ids), np.cumsum(np.concatenate(counts))
+
+    def _walk(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        codes = np.frombuffer(b"\n".join(words) + b"\n", np.uint8).astype(np.int64)
+        sizes = np.array([len(w) + 1 for w in words])
+        end = np.cumsum(sizes)
+        start = end - sizes
+        # every token that begins at every place; the end mark stops a path in the trie
+        places, nodes, found, depth = np.arange(len(codes)), np.zeros(len(codes), np.int64), [], 0
+        while len(places):
+            row = self.children.find(nodes << 8 | codes[places + depth])
+            hit = row >= 0
+            places, nodes = places[hit], self.child[row[hit]]
+            depth += 1
+            tokens = self.token_at[nodes]
+            ends = tokens >= 0
+            found.append((places[ends], tokens[ends]))
+            inside = places + depth < len(codes)
+            places, nodes = places[inside], nodes[inside]
+        place = np.concatenate([f[0] for f in found])
+        token = np.concatenate([f[1] for f in found])
+        within = place - np.repeat(start, sizes)[place]
+        order = np.argsort(within, kind="stable")
+        place, token, within = place[order], token[order], within[order]
+        cuts = np.searchsorted(within, np.arange(int(sizes.max()) + 1)).tolist()
+        last = np.full(len(codes) + 1, -1)  # last token of the path up to a place
+        for a, b in zip(cuts, [*cuts[1:], len(place)], strict=True):
+            at, own = place[a:b], token[a:b]
+            stop = at + self.size_of[own]
+            # a word's end and the next word's start are one place: the start has no token before it
+            open_ = last[stop] < 0
+            at, own, stop = at[open_], own[open_], stop[open_]
+            if a:
+                ok = self.has_arc(last[at], own)
+                own, stop = own[ok], stop[ok]
+            last[stop] = own
+        live, at, taken = np.arange(len(words)), end.copy(), []
+        while len(live):
+            own = last[at[live]]
+            taken.append((live, own))
+            at[live] -= self.size_of[own]
+            live = live[at[live] > start[live]]
+        owner = np.concatenate([t[0] for t in taken[::-1]])
+        flat = np.concatenate([t[1] for t in taken[::-1]])
+        return flat[np.argsort(owner, kind="stable")].astype(np.uint32), np.bincount(owner, minlength=len(words))
+
+    def split(self, text: str | None) -> list:
+        """Pre-split words (text or bytes) and special tokens (ids)."""
+        if not text:
+            return []
+        if "<|" not in text and (text.isascii() or not BEYOND_LATIN.search(text)):
+            lower = text.lower()  # nothing below U+0250 composes, so NFC changes nothing
+            if text.isascii() or not BEYOND_LATIN.search(lower):
+                return self.latin.findall(lower)
+        out: list = []
+        for part in self.special_split.split(text):
             if part in self.special:
                 out.append(self.special[part])
-                continue
-            if max(part, default="") < "\u0250" and part:
-                folded = unicodedata.normalize("NFC", part).lower()
-                if max(folded) < "\u0250":
-                    out += [w.encode() for w in self.latin.findall(folded)]
-                    continue
-            if part:  # other scripts: the library's own tables, as Unicode versions differ
+            elif part:  # the library's own tables, as Unicode versions differ
                 folded = self.library.normalizer.normalize_str(part)
-                split = self.library.pre_tokenizer.pre_tokenize_str(folded)
-                out += [bytes(self.byte_of[c] for c in w) for w, _ in split]
+                out += [bytes(self.byte_of[c] for c in w) for w, _ in self.library.pre_tokenizer.pre_tokenize_str(folded)]
         return out
 
-    def decode(self, ids: list[str]) -> str:
-        """Labels of the ids (decimal), joined as a tokenizer without a decoder does."""
-        return " ".join(map(self.label_of.__getitem__, ids))
 
+class WordTable:
+    """Bounded tables from a word to its encoded forms; ``forms`` give a form's values for (ids, ends of words)."""
+
+    def __init__(self, automaton: BpeAutomaton, *forms):
+        self.automaton, self.forms = automaton, forms
+        self.tables: list[dict] = [{} for _ in forms]
+        self.old: list[dict] = [{} for _ in forms]
+
+    def split(self, texts: list[str | None]) -> list[list]:
+        """The words of texts, all of them in the tables afterwards."""
+        out = [self.automaton.split(t) for t in texts]
+        if len(self.tables[0]) >= TABLE_LIMIT:
+            self.old, self.tables = self.tables, [{} for _ in self.forms]
+        new = set().union(*out).difference(self.tables[0])
+        again = new.intersection(self.old[0])
+        for table, old in zip(self.tables, self.old, strict=True):
+            table.update((w, old[w]) for w in again)
+        words = [w for w in new if w.__class__ is not int and w not in again]
+        special = [w for w in new if w.__class__ is int and w not in again]
+        ids, ends = self.automaton.encode([w.encode() if w.__class__ is str else w for w in words])
+        ids = np.concatenate([ids, np.array(special, np.uint32)])
+        ends = np.concatenate([ends, (ends[-1] if len(ends) else 0) + 1 + np.arange(len(special))])
+        for table, form in zip(self.tables, self.forms, strict=True):
+            table.update(zip(words + special, form(self.automaton, ids, ends.tolist()), strict=True))
+        return out
 
-class WordEncoder:
-    """Walks many words through the automaton at once, as arrays.
 
-    Every word is at a position with a last token and a size to try. A step looks up the
-    substring of that size and the arc, then advances, shortens or steps back.
-    """
+def packed(automaton: BpeAutomaton, ids: np.ndarray, ends: list[int]) -> list[bytes]:
+    """Ids of each word as little-endian unsigned 32-bit integers."""
+    flat = ids.astype("<u4").tobytes()
+    return [flat[4 * a : 4 * b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
-    BASE, LONG = np.uint64(0x9E3779B97F4A7C15), 200
 
-    def __init__(self, automaton: BpeAutomaton):
-        self.automaton = automaton
-        byte_of = {c: b for b, c in enumerate(automaton.symbols)} | {END: 10}
-        texts = {i: bytes(byte_of[c] for c in t) for t, i in automaton.ids.items()}
-        texts = {i: t for i, t in texts.items() if b"\n" not in t[:-1] and (t != b"\n")}
-        blob, n = b"".join(texts.values()), np.array([len(t) for t in texts.values()])
-        ends = np.cumsum(n)
-        hashes = self._hashes(np.frombuffer(blob, np.uint8))
-        keys = hashes(ends - n, ends)
-        order = np.argsort(keys)
-        self.keys, self.tokens = keys[order], np.array(list(texts), np.int64)[order]
-        self.size_of = np.zeros(max(automaton.labels) + 1, np.int64)
-        self.size_of[list(texts)] = n
-        self.longest = np.ones(65536, np.int64)
-        heads = np.array([t[0] << 8 | t[1] if len(t) > 1 else 0 for t in texts.values()])
-        np.maximum.at(self.longest, heads[n > 1], n[n > 1])
-        self.arc_keys, self.arc_open = np.array([-1, 1 << 60], np.int64), np.array([False, False])
-
-    def _hashes(self, codes: np.ndarray):
-        """Hash of any substring: a polynomial in BASE modulo 2**64, moved to exponent 0."""
-        power = np.full(len(codes) + 1, self.BASE)
-        power[0] = 1
-        power = np.multiply.accumulate(power)
-        inverse = np.full(len(codes) + 1, np.uint64(pow(int(self.BASE), -1, 1 << 64)))
-        inverse[0] = 1
-        inverse = np.multiply.accumulate(inverse)
-        sums = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * power[:-1], out=sums[1:])
-        return lambda a, b: (sums[b] - sums[a]) * inverse[a]
-
-    def _open(self, last: np.ndarray, token: np.ndarray) -> np.ndarray:
-        keys = last << 20 | token
-        at = np.searchsorted(self.arc_keys, keys)
-        new = self.arc_keys[at] != keys
-        if new.any():
-            more = np.unique(keys[new])
-            found = np.array([self.automaton.has_arc(k >> 20, k & 0xFFFFF) for k in more.tolist()], bool)
-            place = np.searchsorted(self.arc_keys, more)
-            self.arc_keys, self.arc_open = np.insert(self.arc_keys, place, more), np.insert(self.arc_open, place, found)
-            at = np.searchsorted(self.arc_keys, keys)
-        return self.arc_open[at]
-
-    def encode(self, words: list[bytes]) -> list[list[int]]:
-        """Token ids of pre-split words, given as their UTF-8 bytes without white space."""
-        out: list = [None] * len(words)
-        short = [i for i, w in enumerate(words) if len(w) <= self.LONG]
-        for i in range(0, len(short), 20000):
-            part = short[i : i + 20000]
-            for j, ids in zip(part, self._encode([words[j] for j in part]), strict=True):
-                out[j] = ids
-        for i, ids in enumerate(out):
-            if ids is None:
-                out[i] = self.automaton.encode_word("".join([self.automaton.symbols[b] for b in words[i]]) + END)
-        return out
+def decimal(automaton: BpeAutomaton, ids: np.ndarray, ends: list[int]) -> list[str]:
+    """Ids of each word in decimal, joined by one space."""
+    written = list(map(str, ids.tolist()))
+    return [" ".join(written[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
-    def _encode(self, words: list[bytes]) -> list[list[int] | None]:
-        codes = np.frombuffer(b"\n".join(words) + b"\n", np.uint8)
-        hashed = self._hashes(codes)
-        longest = np.ones(len(codes) + 1, np.int64)
-        longest[:-2] = self.longest[codes[:-1].astype(np.int64) << 8 | codes[1:]]
-        end = np.cumsum([len(w) + 1 for w in words])
-        start = np.concatenate([[0], end[:-1]])
-        token_at, back = np.full(len(codes) + 1, -1, np.int64), np.zeros(len(codes) + 1, np.int64)
-        word, at, last = np.arange(len(words)), start.copy(), np.full(len(words), -1, np.int64)
-        size = np.minimum(longest[at], end - at)
-        failed = np.zeros(len(words), bool)
-        for step in range(12 * self.LONG):
-            if not len(word):
-                break
-            keys = hashed(at, at + size)
-            slot = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-            token = np.where(self.keys[slot] == keys, self.tokens[slot], -1)
-            ok = token >= 0
-            ask = np.flatnonzero(ok & (last >= 0))
-            ok[ask] = self._open(last[ask], token[ask])
-            good = np.flatnonzero(ok)
-            token_at[at[good]] = token[good]
-            stop = at[good] + size[good]
-            back[stop] = at[good]
-            at[good], last[good] = stop, token[good]
-            size[good] = np.minimum(longest[stop], end[word[good]] - stop)
-            size[~ok] -= 1
-            stuck = np.flatnonzero((size == 0) & ~ok)
-            while len(stuck):
-                lost = stuck[at[stuck] == start[word[stuck]]]
-                failed[word[lost]] = True
-                stuck = stuck[at[stuck] > start[word[stuck]]]
-                before = back[at[stuck]]
-                size[stuck] = at[stuck] - before - 1
-                at[stuck] = before
-                first = before == start[word[stuck]]
-                last[stuck] = np.where(first, -1, token_at[back[before]])
-                stuck = stuck[size[stuck] == 0]
-            going = np.flatnonzero((at < end[word]) & ~failed[word])
-            word, at, last, size = word[going], at[going], last[going], size[going]
-        failed[word] = True
-        rows, place, live = [], start.copy(), np.flatnonzero(~failed)
-        ids: list = [[] for _ in words]
-        for i in np.flatnonzero(failed):
-            ids[i] = None
-        while len(live):
-            token = token_at[place[live]]
-            rows.append((live, token))
-            place[live] += self.size_of[token]
-            live = live[place[live] < end[live]]
-        if rows:
-            owner, token = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
-            order = np.argsort(owner, kind="stable")
-            flat, cut = token[order].tolist(), np.cumsum(np.bincount(owner, minlength=len(words))).tolist()
-            begin = 0
-            for i, stop in enumerate(cut):
-                if stop > begin:
-                    ids[i] = flat[begin:stop]
-                begin = stop
-        return ids
-
-
-class PieceTable(dict):
-    """Bounded table of encoded pieces; ``form`` gives the stored value of a list of ids."""
-
-    def __init__(self, automaton: BpeAutomaton, form):
-        super().__init__()
-        self.automaton, self.form, self.old, self.words = automaton, form, {}, {}
-        self.gap = " " if form is decimal else b""
-        self.encoder = WordEncoder(automaton)
-
-    def fill(self, batch: list[list[bytes]]) -> None:
-        """Encode the pieces of a batch that the table hasn't, all at once."""
-        if len(self) >= TABLE_LIMIT:
-            self.old = dict(self)
-            self.clear()
-        if len(self.words) >= TABLE_LIMIT:
-            self.words = {}
-        wanted = set().union(*batch).difference(self)
-        again = wanted.intersection(self.old)
-        self.update(zip(again, map(self.old.__getitem__, again), strict=True))
-        wanted -= again
-        split = list(map(self.automaton.split_piece, wanted))
-        known, form, gap = self.words, self.form, self.gap
-        new = {w for ws in split for w in ws}.difference(known)
-        words = [w for w in new if w.__class__ is bytes]
-        known.update(zip(words, map(form, self.encoder.encode(words)), strict=True))
-        known.update((w, form([w])) for w in new if w.__class__ is int)  # special tokens
-        look = known.__getitem__
-        self.update((p, look(ws[0]) if len(ws) == 1 else gap.join(map(look, ws))) for p, ws in zip(wanted, split, strict=True))
-
-
-def packed(ids: list[int]) -> bytes:
-    """Ids as little-endian unsigned 32-bit integers."""
-    return struct.pack(f"<{len(ids)}I", *ids)
-
-
-def decimal(ids: list[int]) -> str:
-    """Ids in decimal, joined by one space."""
-    return " ".join(map(str, ids))
-
-
-_tables: dict[tuple[str, str], PieceTable] = {}
-
-
-def table(content: str, form) -> PieceTable:
+
+def labelled(automaton: BpeAutomaton, ids: np.ndarray, ends: list[int]) -> list[str]:
+    """Labels of each word's ids, joined by one space, as a tokenizer without a decoder does."""
+    labels = list(map(automaton.labels.__getitem__, ids.tolist()))
+    return [" ".join(labels[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+
+
+_tables: dict[tuple, WordTable] = {}
+
+
+def table(content: str, *forms) -> WordTable:
     """The worker's table for a vocabulary file's text; it outlives a task."""
-    key = (hashlib.sha256(content.encode()).hexdigest(), form.__name__)
+    key = (hashlib.sha256(content.encode()).hexdigest(), *[f.__name__ for f in forms])
     if key not in _tables:
         _tables.clear()
-        _tables[key] = PieceTable(BpeAutomaton(content), form)
+        _tables[key] = WordTable(BpeAutomaton(content), *forms)
     return _tables[key]
 
 
@@ -364,32 +275,24 @@ def vocabulary(path: str) -> str:
         return f.read()
 
 
-def pieces(text: str | None) -> list[bytes]:
-    """Pieces between ASCII white space."""
-    return (text or "").encode("utf-8", "surrogatepass").split()
-
-
 def encode_documents(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """Encode and decode every whole text; one row for each document, no shuffle."""
     content = docs.sparkSession.sparkContext.broadcast(vocabulary(vocabulary_path))
 
     def encode(batches):
-        known = table(content.value, decimal)
-        look = known.__getitem__
+        known = table(content.value, decimal, labelled)
+        sha256 = lambda text: hashlib.sha256(text.encode()).hexdigest()
         for batch in batches:
             counts, digests, decoded = [], [], []
             texts = batch.column("text").to_pylist()
             for part in runs(texts):
-                split = [pieces(text) for text in texts[part]]
-                known.fill(split)
+                split = known.split(texts[part])
+                in_ids, in_labels = (t.__getitem__ for t in known.tables)
                 for own in split:
-                    ids = " ".join(map(look, own))
-                    tokens = ids.split()
-                    if "  " in ids or ids[:1] == " " or ids[-1:] == " ":
-                        ids = " ".join(tokens)
-                    counts.append(len(tokens))
-                    digests.append(hashlib.sha256(ids.encode()).hexdigest())
-                    decoded.append(hashlib.sha256(known.automaton.decode(tokens).encode()).hexdigest())
+                    ids = " ".join(map(in_ids, own))
+                    counts.append(ids.count(" ") + 1 if ids else 0)
+                    digests.append(sha256(ids))
+                    decoded.append(sha256(" ".join(map(in_labels, own))))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
