@@ -15,6 +15,7 @@ from .op06_bpe import encode_documents
 from .op07_sharding import oracle as sharding_sql
 from .op07_sharding import shard_rows
 from .op08_merkle import fingerprint_edits
+from .op08_merkle import oracle as merkle_sql
 from .op09_secrets import oracle as secrets_sql
 from .op09_secrets import scan_documents
 from .op10_topk import oracle as topk_sql
@@ -39,6 +40,7 @@ QUERIES = {
 ORACLES = {
     "op3_ngram_jaccard": jaccard_sql(),
     "op7_feistel_sharding": sharding_sql(),
+    "op8_merkle_fingerprints": merkle_sql(),
     "op9_blob_ledger_secrets": secrets_sql(),
     "op10_ball_tree_topk": topk_sql(),
 }
