@@ -11,9 +11,9 @@ language with the shortest wins, ties to the smaller name.
 For speed the trees of all languages are compiled into one table for each order: a row holds
 the costs of one byte string under every language, escapes included.
 
-The model is fitted on a bounded sample: at most about ``SAMPLE`` texts of each language, drawn
-evenly by a hash of the row from all that may be learned from, at most ``TEXT_CHARS`` code points
-of each and ``SAMPLE_CHARS`` of one language. Scoring reads every whole text and shuffles nothing.
+The model is fitted on a bounded sample: about ``SAMPLE`` whole texts of each language, drawn
+evenly by a hash of the row from all that may be learned from; a text that repeats under one id counts
+once. Scoring reads every whole text and shuffles nothing.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0; with no learnable row every text is
 ``und``; repeated rows are each answered; an empty table gives no rows.
@@ -29,14 +29,9 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 ORDER = 4
-#: Texts of each language to learn from, and their code points at most.
+#: Texts of each language to learn from.
 SAMPLE = 300
-SAMPLE_CHARS = 2_000_000
-#: Code points to learn from in one sampled text (scoring reads whole texts).
-TEXT_CHARS = 40_000
 UNKNOWN = "und"
-#: A byte of text in no learned language or of noise costs more than this in :func:`keep_identified`.
-LIMIT_BITS = 6.5
 CHUNK = 1 << 18
 START = b"\n" * ORDER
 
@@ -181,19 +176,17 @@ def fit(labelled: DataFrame) -> PpmModel:
 
     The driver gets one count for each language and the sample.
     """
-    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
+    key = F.xxhash64("doc_id", "text")
+    rows = labelled.select("lang", key.alias("key")).distinct()
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     share = F.lit(0.0)
     for lang, n in counts.items():
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, SAMPLE / n))).otherwise(share)
-    unit = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
+    unit = F.pmod(F.xxhash64("doc_id", "text", F.lit(17)), F.lit(1 << 30)) / float(1 << 30)
+    chosen = labelled.select("text", "lang", share.alias("share"), unit.alias("unit"), key.alias("key")).filter("unit < share").dropDuplicates(["lang", "key"])
     texts: dict[str, list[str]] = {}
-    room = dict.fromkeys(counts, SAMPLE_CHARS)
-    text = F.substring("text", 1, TEXT_CHARS).alias("text")
-    chosen = labelled.select(text, "lang", share.alias("share"), unit.alias("unit")).filter("unit < share")
     for r in sorted(chosen.select("unit", "lang", "text").collect()):
-        if room[r["lang"]] > 0:
-            texts.setdefault(r["lang"], []).append(r["text"][: room[r["lang"]]])
-            room[r["lang"]] -= len(r["text"])
+        texts.setdefault(r["lang"], []).append(r["text"])
     return PpmModel(texts)
 
 
@@ -227,15 +220,15 @@ def predict(docs: DataFrame, model: PpmModel, keep: list[str]) -> DataFrame:
     return small_batches(docs).select(*columns).mapInArrow(run, ", ".join([*fields, "lang_pred string, score double, bits_per_byte double"]))
 
 
-def keep_identified(docs: DataFrame) -> DataFrame:
+def keep_identified(docs: DataFrame, limit_bits: float | None = None) -> DataFrame:
     """The documents in a learned language, with all their columns.
 
-    Rejected are ``und`` and texts that cost more than ``LIMIT_BITS`` a byte under every language.
+    Rejected are ``und`` (null, empty and letterless texts) and, if ``limit_bits`` is given, texts that cost more bits a byte under
+    every language. Repeated rows are judged alike; an empty table gives no rows.
     """
     rows = docs.select(F.struct("*").alias("row"), "text")
-    found = predict(rows, fit(learnable(docs)), ["row"])
-    named = (F.col("lang_pred") != UNKNOWN) & (F.col("bits_per_byte") <= LIMIT_BITS)
-    return found.filter(named).select("row.*")
+    found = predict(rows, fit(learnable(docs)), ["row"]).filter(F.col("lang_pred") != UNKNOWN)
+    return (found if limit_bits is None else found.filter(F.col("bits_per_byte") <= limit_bits)).select("row.*")
 
 
 def identify_languages(docs: DataFrame) -> DataFrame:

@@ -13,7 +13,8 @@ telling or frequent slot, get weights. The bias is shifted by the two sampling s
 score is a chance at the labels' own rate at any size. Scoring reads every whole text and shuffles nothing.
 
 Defined results: a text that is null, empty or has no weighted term scores the sigmoid of the bias; with no row to
-learn from the score is 0; labels that are null or repeat don't stop a fit (nulls are left out, repeats count each);
+learn from the score is 0; null labels and ids are left out of a fit, a label that repeats counts once, and of several texts with one labelled
+id one is learned from;
 repeated rows are each answered; an empty table gives no rows.
 """
 
@@ -174,7 +175,7 @@ def fit(labelled: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> Factoriza
     The driver gets one count for each label and the slots of the sampled texts. The sampled ids,
     some ``2 * sample`` at any size of the corpus, are broadcast.
     """
-    labelled = labelled.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic IN (0, 1) AND doc_id IS NOT NULL")
+    labelled = labelled.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("toxic IN (0, 1) AND doc_id IS NOT NULL").distinct()
     counts = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     shares = tuple(min(1.0, sample / counts.get(k, 1)) for k in (0, 1))
     share = F.when(F.col("toxic") == 1, shares[1]).otherwise(shares[0])
@@ -187,11 +188,12 @@ def fit(labelled: DataFrame, docs: DataFrame, sample: int = SAMPLE) -> Factoriza
             for text in batch.column("text").to_pylist():
                 found = {s for p in distinct_pieces(text) for s in slots(p)}
                 rows.append(np.array(sorted(found), np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(rows, pa.binary())], names=["toxic", "slots"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), pa.array(rows, pa.binary())], names=["doc_id", "toxic", "slots"])
 
-    texts = small_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    texts = small_batches(docs).select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
+    found = texts.mapInArrow(featurise, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, toxic int, slots binary")
     rows, labels = [], []
-    for r in texts.mapInArrow(featurise, "toxic int, slots binary").collect():
+    for r in found.groupBy("doc_id", "toxic").agg(F.min("slots").alias("slots")).collect():
         rows.append(np.frombuffer(bytes(r["slots"]), np.int32))
         labels.append(r["toxic"])
     return FactorizationMachine(rows, labels, shares=shares)
