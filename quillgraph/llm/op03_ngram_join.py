@@ -32,6 +32,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import discard, materialize
@@ -215,16 +216,18 @@ def _prefix_pairs(docs: DataFrame, renamed: dict[int, int], nodes: DataFrame, le
         .select("node", "n", "ending", F.coalesce("label", "node").alias("label"), (F.expr("n - (n div 5 + 1)") + F.col("alive")).alias("most"), *bits),
         "facts",
     )
-    placed = materialize(met.join(_merged(facts), "node"), "placed")
+    before = F.lag("h").over(W.partitionBy("node").orderBy("pos"))
+    placed = materialize(met.join(_merged(facts), "node").withColumn("before", before), "placed")
     parts = placed.groupBy("h", "label").agg(F.count("*").alias("c"))
     tops = parts.groupBy("h").agg(F.max(F.struct("c", "label")).alias("top"), F.count("*").alias("parts")).filter("parts > 1")
     mixed = materialize(placed.join(_merged(tops.select("h", F.col("top.label").alias("top"))), "h").withColumn("left", F.col("n") - F.col("pos")), "mixed")
     x, y = mixed.filter("label <> top").alias("x"), _merged(mixed).alias("y")
     once = "x.label <> y.label AND (y.label = y.top OR x.node < y.node)"
+    first = "(x.before IS NULL OR y.before IS NULL OR x.before <> y.before)"  # else the column before is shared, too, and tells the pair
     placed_well = "180 * least(x.left, y.left) >= 80 * (x.n + y.n)"
     reach = "CASE WHEN x.ending < y.ending THEN x.most WHEN x.ending > y.ending THEN y.most ELSE greatest(x.most, y.most) END"
     apart = " + ".join(f"bit_count(x.{b} ^ y.{b})" for b in bits)
-    pairs = x.join(y, F.expr(f"x.h = y.h AND {once} AND {placed_well} AND 180 * ({reach}) >= 80 * (x.n + y.n) AND 9 * ({apart}) <= x.n + y.n"))
+    pairs = x.join(y, F.expr(f"x.h = y.h AND {once} AND {first} AND {placed_well} AND 180 * ({reach}) >= 80 * (x.n + y.n) AND 9 * ({apart}) <= x.n + y.n"))
     found = materialize(_ordered(pairs.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))), "pairs")
     discard(alive, placed, mixed, facts)
     return found

@@ -242,19 +242,19 @@ class WordTable:
 def packed(automaton: BpeAutomaton, ids: np.ndarray, ends: list[int]) -> list[bytes]:
     """Ids of each word as little-endian unsigned 32-bit integers."""
     flat = ids.astype("<u4").tobytes()
-    return [flat[4 * a : 4 * b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    return [flat[4 * a : 4 * b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def decimal(automaton: BpeAutomaton, ids: np.ndarray, ends: list[int]) -> list[str]:
     """Ids of each word in decimal, joined by one space."""
     written = list(map(str, ids.tolist()))
-    return [" ".join(written[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    return [" ".join(written[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def labelled(automaton: BpeAutomaton, ids: np.ndarray, ends: list[int]) -> list[str]:
     """Labels of each word's ids, joined by one space, as a tokenizer without a decoder does."""
     labels = list(map(automaton.labels.__getitem__, ids.tolist()))
-    return [" ".join(labels[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    return [" ".join(labels[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
 
 _tables: dict[tuple, WordTable] = {}
