@@ -37,9 +37,9 @@ from .common import runs, small_batches
 from .op01_language import GramTable
 
 #: Entries in a worker's table of words; beyond it a new table starts, and what is used again moves on from the old one.
-TABLE_LIMIT = 300_000
+TABLE_LIMIT = 150_000
 #: Bytes of words that are walked at once (one word at least).
-WALK_BYTES = 1 << 20
+WALK_BYTES = 1 << 18
 #: White space of the vocabulary file's pattern among the characters below U+0250.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0"
 BEYOND_LATIN = re.compile("[^\x00-\u024f]")
