@@ -16,11 +16,11 @@ TITLES = [
     "Engineering Manager", "Senior Software Engineer", "Head of Talent", "Fab Operations Lead", "Software Developer", "Chairman of the Board", "Product Manager",
     "Distinguished Engineer", "General Counsel", "Member of Technical Staff", "Group VP", "Florist", "", "Analog Designer", "Co-founder", "Chief of Staff", "ASIC Verification Engineer",
 ]
-NAMES = ["Dr. James R. Clarke, Jr.", "Phebe N. Novakovic", "Lin Wei", "Madonna", "Prof. Ada Q. Lovelace PhD", "Mr. John  Smith III", "Ana de la Cruz", "  Bob Ross  "]
-COMPANIES = ["Lockheed Martin Corporation", "AMD Inc", "Some Random Co", "Contoso, Ltd.", "Siemens AG", "Plain Name", "Acme GmbH"]
+NAMES = ["Dr. Oskar T. Lindqvist, Jr.", "Marisol V. Tessaly", "Quon Arbel", "Zephyrine", "Prof. Ilse K. Brandvold PhD", "Mr. Tomas  Vargo III", "Ines de Mourel", "  Pip Hallow  "]
+COMPANIES = ["Brightwater Looms Corporation", "Kestrelby Inc", "An Ordinary Workshop Co", "Tallgrass Mills, Ltd.", "Nordhafener Werft AG", "Plainfold", "Quarzbach GmbH"]
 DEGREES = ["MBA", "Ph.D in Physics", "Executive Education Certificate", "BSc Chemistry", "Doctorate", "Master of Business"]
-YEARS = ["2018-2022", "2018-present", "1993", "annual", "from 2001 to 2005"]
-HEADLINES = ["Acme reports first quarter results", "Acme partners with Contoso", "Acme unveils new chip", "Paper accepted at conference", "Acme names new CFO", "Weather report"]
+YEARS = ["2009-2014", "2011-present", "1987", "every spring", "from 1999 to 2003"]
+HEADLINES = ["Tallgrass Mills reports first quarter results", "Kestrelby partners with Plainfold", "Quarzbach unveils a loom", "Paper accepted at a workshop", "Brightwater names a treasurer", "Rain expected"]
 
 # Ordered patterns of press categories (first hit wins).
 PRESS_RULES = [
