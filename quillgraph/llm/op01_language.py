@@ -53,7 +53,7 @@ class GramTable:
     """Open-addressed table of byte strings; looks up whole arrays at once."""
 
     def __init__(self, keys: np.ndarray):
-        self.bits = max(8, int(np.ceil(np.log2(len(keys) + 1))) + 2)
+        self.bits = max(8, int(np.ceil(np.log2(len(keys) + 1))) + 1)
         self.keys = np.full(1 << self.bits, -1, np.int64)
         self.rows = np.zeros(1 << self.bits, np.int32)
         self.probes, left, slot = 1, np.arange(len(keys)), self._slot(keys)

@@ -37,9 +37,9 @@ from .common import runs, small_batches
 from .op01_language import GramTable
 
 #: Entries in a worker's table of words; beyond it a new table starts, and what is used again moves on from the old one.
-TABLE_LIMIT = 150_000
+TABLE_LIMIT = 300_000
 #: Bytes of words that are walked at once (one word at least).
-WALK_BYTES = 1 << 18
+WALK_BYTES = 1 << 19
 #: White space of the vocabulary file's pattern among the characters below U+0250.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0"
 BEYOND_LATIN = re.compile("[^\x00-\u024f]")
@@ -79,7 +79,8 @@ class BpeAutomaton:
         self.special_split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
         self.byte_of = {c: b for b, c in enumerate(byte_symbols())}
         self.latin = latin_words()
-        self.library = Tokenizer.from_str(content)  # only its normaliser and splitter are used
+        # only the library's normaliser and splitter are used, so it needs no vocabulary
+        self.library = Tokenizer.from_str(json.dumps(spec | {"added_tokens": [], "post_processor": None, "model": spec["model"] | {"vocab": {}, "merges": []}}))
         size = max(self.labels) + 1
         self.left, self.made = np.full(size, -1), np.full(size, NEVER)
         self._compile([(vocab[a], vocab[b], vocab[a + b if not a.endswith(suffix) else a + b]) for a, b in spec["model"]["merges"]], size)
