@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -68,6 +69,12 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def trim() -> None:
+    """Have a Python worker, which lives on for other steps, return what it has freed to the system (glibc only)."""
+    gc.collect()
+    getattr(ctypes.CDLL(None), "malloc_trim", lambda _: None)(0)
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """Have the session hand rows to Python ``BATCH_ROWS`` at a time, so that a batch of long texts fits a worker."""
     df.sparkSession.conf.set(ARROW_ROWS, BATCH_ROWS)

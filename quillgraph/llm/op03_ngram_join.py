@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, materialize, trim
 from .components import connected_components
 from .shingles import batch_words, shingle_sets, signature
 
@@ -67,6 +67,7 @@ def _texts(batches):
     for batch in batches:
         for part, words in batch_words(batch.column("text")):
             yield batch.slice(part.start, part.stop - part.start), shingle_sets(words)
+    trim()
 
 
 def _rows(docs: DataFrame, renamed: dict[int, int]) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import runs, small_batches
+from .common import runs, small_batches, trim
 from .op06_bpe import packed, table, vocabulary
 
 WINDOW = 4096
@@ -151,6 +151,7 @@ def pack_documents(docs: DataFrame, vocabulary_path: str, window: int = WINDOW)
     doc_type = docs.schema["doc_id"].dataType.simpleString()
 
     def pack(batches):
+        trim()
         known = table(content.value, packed)
         closing = CLOSING_ID.to_bytes(4, "little")
         packer = Packer(window)
