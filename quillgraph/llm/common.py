@@ -69,8 +69,14 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def trim() -> None:
-    """Have a Python worker, which lives on for other steps, return what it has freed to the system (glibc only)."""
+#: Tables that a Python worker keeps from one task to the next.
+KEPT: dict = {}
+
+
+def trim(keep: bool = False) -> None:
+    """Have a Python worker, which lives on for other steps, drop ``KEPT`` and return what is free to the system (glibc only)."""
+    if not keep:
+        KEPT.clear()
     gc.collect()
     getattr(ctypes.CDLL(None), "malloc_trim", lambda _: None)(0)
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import small_batches, trim
 
 ORDER = 4
 #: Texts of each language to learn from.
@@ -196,6 +196,7 @@ def predict(docs: DataFrame, model: PpmModel, keep: list[str]) -> DataFrame:
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches):
+        trim()
         own = shared.value
         for batch in batches:
             texts = batch.column("text").to_pylist()

@@ -151,7 +151,7 @@ def pack_documents(docs: DataFrame, vocabulary_path: str, window: int = WINDOW)
     doc_type = docs.schema["doc_id"].dataType.simpleString()
 
     def pack(batches):
-        trim()
+        trim(keep=True)
         known = table(content.value, packed)
         closing = CLOSING_ID.to_bytes(4, "little")
         packer = Packer(window)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .common import runs, small_batches
+from .common import KEPT, runs, small_batches
 from .op01_language import GramTable
 
 #: Entries in a worker's table of words; beyond it a new table starts, and what is used again moves on from the old one.
@@ -258,16 +258,13 @@ def labelled(automaton: BpeAutomaton, ids: np.ndarray, ends: list[int]) -> list[
     return [" ".join(labels[a:b]) for a, b in zip([0, *ends], ends, strict=False)]
 
 
-_tables: dict[tuple, WordTable] = {}
-
-
 def table(content: str, *forms) -> WordTable:
     """The worker's table for a vocabulary file's text; it outlives a task."""
     key = (hashlib.sha256(content.encode()).hexdigest(), *[f.__name__ for f in forms])
-    if key not in _tables:
-        _tables.clear()
-        _tables[key] = WordTable(BpeAutomaton(content), *forms)
-    return _tables[key]
+    if key not in KEPT:
+        KEPT.clear()
+        KEPT[key] = WordTable(BpeAutomaton(content), *forms)
+    return KEPT[key]
 
 
 def vocabulary(path: str) -> str:
