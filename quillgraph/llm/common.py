@@ -8,14 +8,14 @@ import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: monotonically_increasing_id keeps the partition above and the row below this bit.
 ROW_BITS = 33
-#: Rows of one Arrow batch between Spark and a Python worker.
-BATCH_ROWS = 1000
-ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Rows and bytes of one Arrow batch between Spark and a Python worker, so that a batch of long texts fits a worker.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 4 << 20}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -40,12 +40,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     spark, schema = df.sparkSession, df.schema
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    rows = spark.conf.get(ARROW_ROWS)
-    spark.conf.set(ARROW_ROWS, BATCH_ROWS)  # while this table is written
+    before = {name: spark.conf.get(name) for name in BATCHES}
+    small_batches(df)  # while this table is written
     try:
         df.write.parquet(path)
     finally:
-        spark.conf.set(ARROW_ROWS, rows)
+        for setting, value in before.items():
+            spark.conf.set(setting, value)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)  # the session's results may still read it
     del df
@@ -78,12 +79,14 @@ def trim(keep: bool = False) -> None:
     if not keep:
         KEPT.clear()
     gc.collect()
+    pa.default_memory_pool().release_unused()
     getattr(ctypes.CDLL(None), "malloc_trim", lambda _: None)(0)
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """Have the session hand rows to Python ``BATCH_ROWS`` at a time, so that a batch of long texts fits a worker."""
-    df.sparkSession.conf.set(ARROW_ROWS, BATCH_ROWS)
+    """Have the session hand rows to Python in ``BATCHES``."""
+    for setting, value in BATCHES.items():
+        df.sparkSession.conf.set(setting, value)
     return df
 
 

@@ -185,6 +185,8 @@ def pack_documents(docs: DataFrame, vocabulary_path: str, window: int = WINDOW)
         if id_type is not None:
             packer.flush()
             yield rows()
+        known.forget()
+        trim(keep=True)
 
     return small_batches(docs).select("doc_id", "text").mapInArrow(
         pack,

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from tokenizers import Tokenizer
 
-from .common import KEPT, runs, small_batches
+from .common import KEPT, runs, small_batches, trim
 from .op01_language import GramTable
 
 #: Entries in a worker's table of words; beyond it a new table starts, and what is used again moves on from the old one.
@@ -218,8 +218,12 @@ class WordTable:
 
     def __init__(self, automaton: BpeAutomaton, *forms):
         self.automaton, self.forms = automaton, forms
-        self.tables: list[dict] = [{} for _ in forms]
-        self.old: list[dict] = [{} for _ in forms]
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop all words; the automaton stays."""
+        self.tables: list[dict] = [{} for _ in self.forms]
+        self.old: list[dict] = [{} for _ in self.forms]
 
     def split(self, texts: list[str | None]) -> list[list]:
         """The words of texts, all of them in the tables afterwards."""
@@ -259,7 +263,7 @@ def labelled(automaton: BpeAutomaton, ids: np.ndarray, ends: list[int]) -> list[
 
 
 def table(content: str, *forms) -> WordTable:
-    """The worker's table for a vocabulary file's text; it outlives a task."""
+    """The worker's table for a vocabulary file's text; it outlives a task, without its words."""
     key = (hashlib.sha256(content.encode()).hexdigest(), *[f.__name__ for f in forms])
     if key not in KEPT:
         KEPT.clear()
@@ -295,6 +299,8 @@ def encode_documents(docs: DataFrame, vocabulary_path: str) -> DataFrame:
                 [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        known.forget()
+        trim(keep=True)
 
     return small_batches(docs).select("doc_id", "text").mapInArrow(
         encode, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
