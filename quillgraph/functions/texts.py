@@ -54,6 +54,52 @@ SENIORITY_RULES = [
     (r"\bengineer\b|\bdeveloper\b|\bdesigner\b", 35),
 ]
 
+# The earlier, shorter rules of seniority and domain (first hit wins).
+EARLIER_SENIORITY_RULES = [
+    (r"\bceo\b|chief executive officer", 100),
+    (r"\bc(t|o|f|p|r)o\b|chief (technology|operating|financial|product|revenue) officer", 89),
+    (r"\bevp\b|executive vice president", 82),
+    (r"\bsvp\b|senior vice president", 80),
+    (r"group vp", 72),
+    (r"\bvp\b|vice president", 70),
+    (r"\bpresident\b", 95),
+    (r"principal director", 63),
+    (r"senior director", 62),
+    (r"\bdirector\b", 60),
+    (r"distinguished engineer", 55),
+    (r"senior manager|group manager", 52),
+    (r"engineering manager|\bmanager\b", 50),
+    (r"principal engineer", 48),
+    (r"staff engineer", 45),
+    (r"\bsenior\s+(?:[\w-]+\s+){0,3}engineer\b", 40),
+    (r"\bengineer\b|\barchitect\b", 35),
+]
+EARLIER_DOMAIN_RULES = [
+    (r"\b(rtl|verification|physical design|analog|mixed signal|memory design|soc|chip|silicon|hardware|fpga|asic)\b", "hardware_engineering"),
+    (r"\b(software|firmware|embedded|sdk|driver|bsp|backend|frontend|full[- ]?stack|devops|sre|platform)\b", "software_engineering"),
+    (r"\b(product manager|program manager|tpm|product owner|roadmap)\b", "product_management"),
+    (r"\b(human resources|recruiting|people operations|culture|\bhr\b)\b", "people_ops"),
+    (r"\b(manufacturing|operations|supply chain|yield|process|fab|foundry|quality|reliability)\b", "manufacturing_ops"),
+    (r"\b(sales|marketing|gtm|account management|partnerships|business development|\bbd\b)\b", "sales_marketing"),
+    (r"\b(research|advanced development|pathfinding|exploratory|scientist)\b", "research"),
+    (r"\b(finance|legal|compliance|accounting|tax|controller)\b", "finance_legal"),
+    (r"\bgeneral manager\b|\bgm\b|business unit|p&l", "general_management"),
+]
+
+# Phrases that name a manager, with the confidence of each.
+REPORTING_RULES = [
+    (r"reports\s+(?:directly\s+)?to\s+(?:the\s+)?([A-Z][^,.]+(?:Officer|President|Director|VP|Head|Manager|Lead))", 0.88),
+    (r"reporting\s+line\s+to\s+([A-Z][^,.]+)", 0.85),
+    (r"will\s+work\s+(?:closely\s+)?(?:with|under)\s+([A-Z][^,.]+)\s*,\s*(?:the\s+)?(?:VP|SVP|Director|Head)", 0.75),
+    (r"dotted\s+line\s+to\s+([A-Z][^,.]+)", 0.70),
+    (r"(?:direct|indirect)\s+report\s+to\s+([A-Z][^,.]+)", 0.82),
+    (r"management\s+chain.*?(?:VP|SVP|Director|Head)\s+of\s+([^,.]+)", 0.65),
+]
+
+# Words dropped from a company key, roles that speak at an event.
+COMPANY_KEY_WORDS = r"\b(corp\.?|corporation|inc\.?|incorporated|limited|ltd\.?|llc|plc|technologies|technology|semiconductor|semiconductors?|systems?)\b"
+SPEAKING_ROLES = ["presenter", "panelist", "session_chair", "keynote", "speaker"]
+
 # Titles of the parallel individual track, and words of a manager's title.
 IC_TITLES = (
     r"\b(distinguished engineer|principal engineer|staff engineer|chief architect|principal architect"
@@ -133,3 +179,40 @@ def year_range(text: Column) -> Column:
 def slug(text: Column) -> Column:
     """Lower-case words joined by dashes."""
     return F.trim(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), F.lit("-"))
+
+
+def company_key(name: Column) -> Column:
+    """Lower-case company name without legal and generic words and punctuation; empty for null."""
+    bare = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), f"(?U){COMPANY_KEY_WORDS}", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?U)[^\w\s]+", " "), r"\s+", " "))
+
+
+def role_text(raw: Column, longest: int = 28) -> Column:
+    """A role without its company and what follows a separator, cut to ``longest`` characters."""
+    bare = F.regexp_replace(F.trim(F.coalesce(raw, F.lit(""))), r"(?i)\s+at\s+.+$", "")
+    bare = F.regexp_replace(bare, r"(?:\s+[|·/]\s+|\s+[—–-]\s+).*$", "")
+    bare = F.trim(F.regexp_replace(F.regexp_replace(bare, r"\s+", " "), r"[,;:.]+$", ""))
+    return F.when(F.length(bare) > longest, F.concat(F.rtrim(F.substring(bare, 1, longest - 1)), F.lit("…"))).otherwise(bare)
+
+
+def event_name(event: Column) -> Column:
+    """Lower-case event name without years and trailing punctuation; empty for null."""
+    bare = F.regexp_replace(F.lower(F.trim(F.coalesce(event, F.lit("")))), r"\b(19|20)\d{2}\b", " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"[\s,.;:!?\-_/\\]+$", ""), r"\s+", " "))
+
+
+def event_year(text: Column, first: int = 1990, last: int = 2030) -> Column:
+    """The first year in a text, null outside the range."""
+    year = F.regexp_extract(text, r"(19|20)\d{2}", 0).try_cast("int")
+    return F.when(year.between(first, last), year)
+
+
+def clamped(value: Column) -> Column:
+    """A number out of text, between 0 and 1; 0 where there is none."""
+    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value.try_cast("double"))), F.lit(0.0))
+
+
+def appearance_kind(a: Column, b: Column) -> Column:
+    """Kind of link between two roles at one event: presenters only if both speak."""
+    speaks = lambda c: F.lower(F.trim(c)).isin(SPEAKING_ROLES)
+    return F.when(speaks(a) & speaks(b), "conference_co_presenter").otherwise("conference_co_attendee")

@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-from . import aggregates, bundles, graphs, merges, orgchart, pairs, scores, search, texts  # noqa: E402, F401
+from . import aggregates, bundles, graphs, merges, orgchart, pairs, scores, search, texts, upserts, wordings  # noqa: E402, F401
