@@ -20,6 +20,11 @@ from .op09_secrets import oracle as secrets_sql
 from .op09_secrets import scan_documents
 from .op10_topk import oracle as topk_sql
 from .op10_topk import search_embeddings
+from .op11_codes import compress_embeddings
+from .op11_codes import oracle as codes_sql
+from .op12_divergence import audit_sources
+from .op12_divergence import oracle as divergence_sql
+from .op13_kmeans_tree import nearest_embeddings
 
 #: The vocabulary file that the packing and encoding queries are stated for.
 VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
@@ -35,6 +40,9 @@ QUERIES = {
     "op8_merkle_fingerprints": lambda spark, sf_dir: fingerprint_edits(documents(spark, sf_dir)),
     "op9_blob_ledger_secrets": lambda spark, sf_dir: scan_documents(documents(spark, sf_dir)),
     "op10_ball_tree_topk": lambda spark, sf_dir: search_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
+    "op11_delta_lloyd_codes": lambda spark, sf_dir: compress_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
+    "op12_source_divergence": lambda spark, sf_dir: audit_sources(documents(spark, sf_dir)),
+    "op13_kmeans_tree": lambda spark, sf_dir: nearest_embeddings(spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
 }
 
 ORACLES = {
@@ -43,4 +51,6 @@ ORACLES = {
     "op8_merkle_fingerprints": merkle_sql(),
     "op9_blob_ledger_secrets": secrets_sql(),
     "op10_ball_tree_topk": topk_sql(),
+    "op11_delta_lloyd_codes": codes_sql(),
+    "op12_source_divergence": divergence_sql(),
 }
