@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quillgraph.functions import scoring as fs
+from quillgraph.operators import forest
 from quillgraph.operators import graphs as gops
 from quillgraph.operators import orgchart as ops
 from quillgraph.sources import adapters as src
@@ -47,10 +48,18 @@ def best_managers(spark, sf_dir):
     return ops.best_managers(ops.pair_scores(members(spark, sf_dir)))
 
 
-@query("assigned_tree")
+#: The greedy loop itself: each cluster's candidates in order, with the list of edges taken so far.
+_GREEDY = f"""listed AS (SELECT company_id, domain, list({{'m': manager_id, 'r': report_id, 'c': round(confidence, 6), 'd': dominant, 'cap': {_CAP.format('ms')}}} ORDER BY round(confidence, 9) DESC, manager_id, report_id) AS l FROM cand GROUP BY ALL),
+taken AS (SELECT company_id, domain, l, 1::BIGINT AS i, l[1:0] AS t FROM listed UNION ALL SELECT company_id, domain, l, i + 1,
+ CASE WHEN len(list_filter(t, lambda x: x.r = l[i].r)) = 0 AND len(list_filter(t, lambda x: x.m = l[i].m)) < l[i].cap THEN list_append(t, l[i]) ELSE t END FROM taken WHERE i <= len(l))"""
+
+
+@query("assigned_tree", f"""{_M.replace('WITH', 'WITH RECURSIVE', 1)}, {_SCORED}, {_GREEDY}
+SELECT company_id, domain, e.m AS manager_id, e.r AS report_id, e.c AS confidence, e.d AS dominant FROM (SELECT company_id, domain, unnest(t) AS e FROM taken WHERE i = len(l) + 1)""")
 def assigned_tree(spark, sf_dir):
-    """Greedy assignment with span limits (order-dependent, tested against a plain loop)."""
-    return ops.assign(ops.pair_scores(members(spark, sf_dir)))
+    """Greedy assignment with span limits, by rounds of asking and refusing."""
+    edges = ops.assign(ops.pair_scores(members(spark, sf_dir)))
+    return edges.withColumn("confidence", F.round("confidence", 6))
 
 
 @query("explicit_over_implicit", f"{_M}, {_SCORED}, {_BEST} SELECT b.report_id, b.manager_id FROM best b WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = b.report_id AND o_orderpriority = '1-URGENT' AND o_orderstatus = 'F')")
@@ -61,7 +70,7 @@ def explicit_over_implicit(spark, sf_dir):
 
 
 _WALK = """walk AS (SELECT DISTINCT manager_id AS node, 1.0::DOUBLE AS v, 0 AS depth FROM best WHERE manager_id NOT IN (SELECT report_id FROM best)
- UNION ALL SELECT b.report_id, v * b.confidence, depth + 1 FROM walk JOIN best b ON b.manager_id = walk.node WHERE depth < 12)"""
+ UNION ALL SELECT b.report_id, v * b.confidence, depth + 1 FROM walk JOIN best b ON b.manager_id = walk.node)"""
 
 
 @query("propagated_confidence", f"{_M.replace('WITH', 'WITH RECURSIVE', 1)}, {_SCORED}, {_BEST}, {_WALK} SELECT node, round(v, 9) AS path_confidence, depth FROM walk")
@@ -96,17 +105,17 @@ def ic_misclassification(spark, sf_dir):
     return one.join(two, "report_id").groupBy("manager_id").agg(F.count("*").alias("reports"))
 
 
-_LOOP = "e AS (SELECT c_custkey AS report_id, CASE WHEN c_custkey % 5 = 4 THEN c_custkey - 4 ELSE c_custkey + 1 END AS manager_id FROM customer WHERE c_nationkey % 2 = 0)"
+_LOOP = "e AS (SELECT c_custkey AS report_id, CASE WHEN c_custkey % 5 = 4 THEN c_custkey - 4 ELSE c_custkey + 1 END AS manager_id FROM customer)"
 
 
-@query("reporting_cycles", f"""WITH RECURSIVE {_LOOP}, w AS (SELECT report_id AS start, manager_id AS tip, report_id::VARCHAR AS cycle, 1 AS d FROM e WHERE manager_id >= report_id
-UNION ALL SELECT start, e.manager_id, cycle || '>' || tip, d + 1 FROM w JOIN e ON e.report_id = w.tip WHERE tip > start AND e.manager_id >= start AND d < 6)
+@query("reporting_cycles", f"""WITH RECURSIVE {_LOOP}, w AS (SELECT report_id AS start, manager_id AS tip, report_id::VARCHAR AS cycle FROM e WHERE manager_id >= report_id
+UNION ALL SELECT start, e.manager_id, cycle || '>' || tip FROM w JOIN e ON e.report_id = w.tip WHERE tip > start AND e.manager_id >= start)
 SELECT start AS least, cycle FROM w WHERE tip = start""")
 def reporting_cycles(spark, sf_dir):
-    """Cycles among reporting edges, each once."""
-    c = src.table(spark, sf_dir, "customer").filter("c_nationkey % 2 = 0")
+    """Cycles of five members among reporting edges, each once."""
+    c = src.table(spark, sf_dir, "customer")
     k = F.col("c_custkey")
-    return ops.find_cycles(c.select(k.alias("report_id"), F.when(k % 5 == 4, k - 4).otherwise(k + 1).alias("manager_id")))
+    return forest.find_cycles(c.select(k.alias("report_id"), F.when(k % 5 == 4, k - 4).otherwise(k + 1).alias("manager_id")))
 
 
 @query("all_reporting_cycles", """WITH RECURSIVE e AS (SELECT c_custkey AS report_id, CASE WHEN c_custkey % 7 = 6 THEN c_custkey - 6 ELSE c_custkey + 1 END AS manager_id FROM customer),
@@ -117,7 +126,7 @@ def all_reporting_cycles(spark, sf_dir):
     """G18 over every customer, with cycles of seven members."""
     k = F.col("c_custkey")
     c = src.table(spark, sf_dir, "customer")
-    return ops.find_cycles(c.select(k.alias("report_id"), F.when(k % 7 == 6, k - 6).otherwise(k + 1).alias("manager_id")))
+    return forest.find_cycles(c.select(k.alias("report_id"), F.when(k % 7 == 6, k - 6).otherwise(k + 1).alias("manager_id")))
 
 
 @query("component_nudges", """WITH c AS (SELECT p_brand AS component, count(*) FILTER (l_returnflag <> 'R' AND l_linenumber = 1) AS right_n, count(*) FILTER (l_returnflag = 'R' AND l_linenumber = 1) AS wrong_n FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1),
@@ -166,3 +175,32 @@ def org_context(spark, sf_dir):
     """everyone's manager and number of peers, without pairing the peers."""
     b = best_managers(spark, sf_dir).select("report_id", "manager_id")
     return b.withColumn("peers", F.count("*").over(W.partitionBy("manager_id")) - 1)
+
+
+#: Reporting edges of a company by number: the manager of n is n / 3; in two companies of five the top is bent into cycles.
+_LINES = """numbered AS (SELECT c_nationkey AS company_id, c_custkey AS person_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer),
+bent AS (SELECT company_id, person_id, CASE WHEN company_id % 5 = 0 AND i = 0 THEN n - 1 WHEN company_id % 5 = 1 AND i IN (1, 4) THEN 5 - i WHEN i > 0 THEN i // 3 END AS up FROM numbered),
+e AS (SELECT a.company_id, a.person_id AS report_id, b.person_id AS manager_id FROM bent a JOIN numbered b ON a.company_id = b.company_id AND a.up = b.i)"""
+
+
+def lines(spark, sf_dir):
+    """Reporting edges with cycles in two companies of five, twin of ``_LINES``."""
+    by = W.partitionBy("company_id")
+    numbered = src.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("company_id"), F.col("c_custkey").alias("person_id"))
+    numbered = numbered.withColumns({"i": F.row_number().over(by.orderBy("person_id")) - 1, "n": F.count("*").over(by).cast("int")})
+    i, five = F.col("i"), F.col("company_id") % 5
+    up = F.when((five == 0) & (i == 0), F.col("n") - 1).when((five == 1) & i.isin(1, 4), 5 - i).when(i > 0, F.floor(i / 3).cast("int"))
+    above = numbered.select("company_id", F.col("person_id").alias("manager_id"), F.col("i").alias("up"))
+    return numbered.withColumn("up", up).join(above, ["company_id", "up"]).select("company_id", F.col("person_id").alias("report_id"), "manager_id")
+
+
+@query("org_layout", f"""{src.with_ctes('persons').replace('WITH', 'WITH RECURSIVE', 1)}, {_LINES},
+shown AS (SELECT i.company_id, i.person_id, domain, seniority, name FROM (SELECT company_id, report_id AS person_id FROM e UNION SELECT company_id, manager_id FROM e) i LEFT JOIN persons p ON p.person_id = i.person_id),
+tops AS (SELECT company_id, person_id, seniority FROM shown s WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.company_id = s.company_id AND e.report_id = s.person_id)),
+roots AS (SELECT company_id, person_id FROM tops UNION ALL SELECT company_id, arg_min(person_id, (-coalesce(seniority, 0), person_id)) FROM shown WHERE company_id NOT IN (SELECT company_id FROM tops) GROUP BY 1),
+walk AS (SELECT company_id, person_id, 0 AS depth, person_id AS root FROM roots UNION ALL SELECT e.company_id, report_id, depth + 1, root FROM walk JOIN e ON e.company_id = walk.company_id AND e.manager_id = walk.person_id AND e.report_id <> root)
+SELECT company_id, person_id, coalesce(depth, 0) AS depth, row_number() OVER (PARTITION BY company_id, coalesce(depth, 0) ORDER BY domain NULLS LAST, seniority DESC NULLS LAST, name NULLS LAST, person_id)::INTEGER AS place
+FROM shown LEFT JOIN walk USING (company_id, person_id)""")
+def org_layout(spark, sf_dir):
+    """Depth and place of everyone in the chart of a company, with stand-in roots and leftovers."""
+    return forest.layout(lines(spark, sf_dir), src.persons(spark, sf_dir))

@@ -105,6 +105,58 @@ def cost_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: The first three words of a text.
+_L = "A-Za-zÀ-ÖØ-öø-ÿ"
+FIRST_WORDS = rf"^[^{_L}]*([{_L}]+)[^{_L}]+([{_L}]+)[^{_L}]+([{_L}]+)"
+
+
+def first_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, w1, w2, w3) of every document; empty where a text has fewer words."""
+    words = [F.coalesce(F.regexp_extract("text", FIRST_WORDS, i), F.lit("")).alias(f"w{i}") for i in (1, 2, 3)]
+    return table(spark, sf_dir, "documents").select("doc_id", *words)
+
+
+def person_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of people from three sources: three customers in a row are one person, with spellings, gaps and conflicts."""
+    k = F.col("c_custkey")
+    p, s = F.floor(k / 3), k % 3
+    c = table(spark, sf_dir, "customer").select(k.alias("id"), p.alias("p"), s.alias("s"), "c_mktsegment")
+    r = c.join(first_words(spark, sf_dir), F.col("doc_id") == F.col("p"))
+    p, s = F.col("p"), F.col("s")
+    ps, last = p.cast("string"), F.concat("w2", F.lower("w3"))
+    bent = F.when((s == 1) & (p % 4 == 0), F.concat(F.substring(last, 1, 2), F.substring(last, 4, 1000))).when((s == 2) & (p % 4 == 1), F.col("w1")).otherwise(last)
+    return r.select(
+        "id",
+        F.when(s == 0, 80).when(s == 1, 60).otherwise(20).alias("priority"),
+        F.when(s == 0, F.concat(F.lit("https://x.example/in/"), ps)).when((s == 1) & (p % 5 == 0), F.concat(F.lit(" HTTPS://X.example/in/"), ps, F.lit("/")))
+        .when((s == 1) & (p % 5 == 1), F.concat(F.lit("https://x.example/in/other"), ps)).alias("url"),
+        F.when((p % 13 == 0) & (s < 2), F.concat(F.lit("acc"), ps)).alias("account"),
+        F.when((p % 3 == 0) & (s < 2), F.concat(F.when(s == 0, "P").otherwise("p"), ps, F.lit("@mail.example"))).when((p % 6 == 1) & (s > 0), F.concat(F.lit("q"), ps, F.lit("@mail.example")))
+        .when(p % 6 == 2, F.lit("none")).alias("email"),
+        F.when((p % 9 == 0) & (s > 0), F.concat(F.lit("ref"), ps)).alias("reference"),
+        F.when((s == 2) & (p % 4 == 1), last).otherwise(F.col("w1")).alias("first"),
+        bent.alias("last"),
+        F.when((s < 2) | (p % 11 > 0), F.concat(F.lit("Company "), (p % 7).cast("string"))).alias("company"),
+        F.when((s > 0) | (p % 2 > 0), F.col("c_mktsegment")).alias("title"),
+    )
+
+
+def school_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(canonical, alias): schools named by the first three words of the documents, the first two in turn being an alias."""
+    return first_words(spark, sf_dir).filter("w3 <> ''").select(F.concat_ws(" ", "w1", "w2", "w3").alias("canonical"), F.concat_ws(" ", "w2", "w1").alias("alias"))
+
+
+def school_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(person_id, name): schools as customers write them: in small letters, with a letter lost, changed or added, or turned round."""
+    k, n = F.col("c_custkey"), F.concat_ws(" ", "w1", "w2", "w3")
+    c = table(spark, sf_dir, "customer").join(first_words(spark, sf_dir).filter("w3 <> ''"), F.col("doc_id") == F.floor(k / 3))
+    bent = (
+        F.when(k % 5 == 0, F.lower(n)).when(k % 5 == 1, F.concat(F.substring(n, 1, 3), F.substring(n, 5, 1000))).when(k % 5 == 2, F.concat(F.substring(n, 1, 5), F.lit("x"), F.substring(n, 7, 1000)))
+        .when(k % 5 == 3, F.concat(n, F.lit(" x"))).otherwise(F.reverse(n))
+    )
+    return c.select(k.alias("person_id"), bent.alias("name"))
+
+
 _weights = ", ".join(f"('{t}', {a}, {b}, {c})" for t, a, b, c in SIGNAL_WEIGHTS)
 
 #: DuckDB text of each adapter.
@@ -121,6 +173,19 @@ CTES = {
         max(year(l_shipdate)) AS end_year, min(l_returnflag) AS team, min(o_orderpriority) AS domain,
         bool_or(o_orderstatus = 'O') AS is_current FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2""",
     "companies": """SELECT n_nationkey AS company_id, n_name AS company, r_name AS industry FROM nation JOIN region ON n_regionkey = r_regionkey""",
+    "first_words": f"""SELECT doc_id, coalesce(regexp_extract(text, '{FIRST_WORDS}', 1), '') AS w1, coalesce(regexp_extract(text, '{FIRST_WORDS}', 2), '') AS w2,
+        coalesce(regexp_extract(text, '{FIRST_WORDS}', 3), '') AS w3 FROM documents""",
+    "person_records": """SELECT id, CASE s WHEN 0 THEN 80 WHEN 1 THEN 60 ELSE 20 END AS priority,
+        CASE WHEN s = 0 THEN 'https://x.example/in/' || p WHEN s = 1 AND p % 5 = 0 THEN ' HTTPS://X.example/in/' || p || '/' WHEN s = 1 AND p % 5 = 1 THEN 'https://x.example/in/other' || p END AS url,
+        CASE WHEN p % 13 = 0 AND s < 2 THEN 'acc' || p END AS account,
+        CASE WHEN p % 3 = 0 AND s < 2 THEN CASE s WHEN 0 THEN 'P' ELSE 'p' END || p || '@mail.example' WHEN p % 6 = 1 AND s > 0 THEN 'q' || p || '@mail.example' WHEN p % 6 = 2 THEN 'none' END AS email,
+        CASE WHEN p % 9 = 0 AND s > 0 THEN 'ref' || p END AS reference, CASE WHEN s = 2 AND p % 4 = 1 THEN w2 || lower(w3) ELSE w1 END AS first,
+        CASE WHEN s = 1 AND p % 4 = 0 THEN substr(w2 || lower(w3), 1, 2) || substr(w2 || lower(w3), 4) WHEN s = 2 AND p % 4 = 1 THEN w1 ELSE w2 || lower(w3) END AS last,
+        CASE WHEN s < 2 OR p % 11 > 0 THEN 'Company ' || (p % 7) END AS company, CASE WHEN s > 0 OR p % 2 > 0 THEN c_mktsegment END AS title
+        FROM (SELECT c_custkey AS id, c_custkey // 3 AS p, c_custkey % 3 AS s, c_mktsegment FROM customer) JOIN first_words ON doc_id = p""",
+    "school_aliases": """SELECT w1 || ' ' || w2 || ' ' || w3 AS canonical, w2 || ' ' || w1 AS alias FROM first_words WHERE w3 <> ''""",
+    "school_names": """SELECT person_id, CASE person_id % 5 WHEN 0 THEN lower(n) WHEN 1 THEN substr(n, 1, 3) || substr(n, 5) WHEN 2 THEN substr(n, 1, 5) || 'x' || substr(n, 7) WHEN 3 THEN n || ' x' ELSE reverse(n) END AS name
+        FROM (SELECT c_custkey AS person_id, w1 || ' ' || w2 || ' ' || w3 AS n FROM customer JOIN first_words ON doc_id = c_custkey // 3 WHERE w3 <> '')""",
     "cost_log": """SELECT o_orderkey AS call_id, o_custkey AS account_id, o_orderpriority AS vendor,
         round(o_totalprice * 100)::BIGINT AS cost_cents, o_orderdate AS called_at, o_orderstatus AS status FROM orders""",
 }

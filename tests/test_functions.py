@@ -13,7 +13,7 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
 
-@pytest.mark.parametrize(("args", "want"), [((0.95, 0.01, 7, 2, 2), 0.99), ((0.5, 0.05, 0, 1, 1), 0.55)])
+@pytest.mark.parametrize(("args", "want"), [((0.4, 0.1, 10, 1, 0), 0.1471517765), ((0.3, 0.02, 5, 20, 3), 0.5114596564), ((0.6, 0.0, 40, 8, 5), 0.99)])
 def test_strength(spark, args, want):
     assert one(spark, fs.strength(*map(F.lit, args))) == pytest.approx(want)
 
@@ -30,7 +30,7 @@ def test_gap(spark, gap, want):
 
 def test_path_confidences(spark):
     edges = spark.createDataFrame([(1, 2, 0.9), (2, 3, 0.8), (3, 4, 0.75), (4, 5, 0.6), (8, 9, 0.5), (9, 8, 0.5)], "manager_id long, report_id long, c double")
-    got = {r.node: round(r.value, 3) for r in down_the_tree(edges, F.col("c"), 6).collect()}
+    got = {r.node: round(r.value, 3) for r in down_the_tree(edges, F.col("c")).collect()}
     assert got == {1: 1.0, 2: 0.9, 3: 0.72, 4: 0.54, 5: 0.324}
 
 
@@ -86,7 +86,7 @@ def test_simple_paths_of_many_hops_equal_a_plain_search(spark):
 
 
 def test_long_cycles_and_deep_trees_are_walked_to_the_end(spark):
-    from quillgraph.operators.orgchart import find_cycles
+    from quillgraph.operators.forest import find_cycles
 
     ring = [(k, k + 1 if k < 9 else 1) for k in range(1, 10)] + [(20, 3), (30, 31), (31, 32)]
     edges = spark.createDataFrame(ring, "report_id long, manager_id long")
