@@ -32,7 +32,7 @@ LEAST_DOCUMENTS = 3
 TOP = 200
 UNIT = 1_000_000_000
 #: Cells of a dense matrix and of a slab of pairs; 8 bytes each.
-BLOCK_CELLS = 1 << 21
+BLOCK_CELLS = 1 << 18
 #: Terms that a task counts before it hands on what it has.
 HELD = 1 << 18
 #: Bytes of a text that are split at once.
