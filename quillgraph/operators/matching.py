@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.operators.components import components
 from quillgraph.operators.similar import LEAST, similar_names
+from quillgraph.operators.stored import stored
 
 KEYS = ("url", "account", "email", "reference", "company", "names", "first")
 
@@ -70,7 +71,7 @@ def _to_kinds(rows: DataFrame, keys: Sequence[str], pairs: DataFrame | None = No
 
 def match_links(records: DataFrame, least: float = LEAST) -> DataFrame:
     """Links (a, b) of record ids whose components are those of all pairs that the rules match."""
-    rows = keyed(records)
+    rows = stored(keyed(records))
     at_company = rows.filter("company IS NOT NULL AND first IS NOT NULL AND names <> ''")
     names = at_company.select("company", F.col("names").alias("name")).distinct()
     close = similar_names(names, names, ["company"], least).filter("name < other").select("company", "name", "other")

@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -116,6 +116,67 @@ def first_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", *words)
 
 
+def institutions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(canonical, kind, alias): institutions named by the first three words of benchmark items, of five kinds; the first two words are an alias."""
+    words = [F.regexp_extract("text", FIRST_WORDS, i) for i in (1, 2, 3)]
+    kinds = F.array(*map(F.lit, ("mba", "phd", "undergrad", "exec_ed", "other")))
+    b = table(spark, sf_dir, "benchmark").select(F.concat_ws(" ", *words).alias("canonical"), F.element_at(kinds, (F.col("item_id") % 5 + 1).cast("int")).alias("kind"), F.concat_ws(" ", *words[:2]).alias("alias"))
+    return b.filter("alias <> ' '")
+
+
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, payload): JSON of six shapes about people named by the first words of documents: flat, with people inside, nested arrays, text in text, broken, odd types."""
+    c = table(spark, sf_dir, "customer").join(first_words(spark, sf_dir), F.col("doc_id") == F.floor(F.col("c_custkey") / 3))
+    k, name = F.col("c_custkey"), F.concat_ws(" ", "w1", "w2")
+    flat = F.concat(F.lit('{"name": "'), name, F.lit('", "title": "'), "c_mktsegment", F.lit('", "company": 5}'))
+    inside = F.concat(
+        F.lit('{"company": "Co '), k.cast("string"), F.lit('", "people": [{"full_name": "'), name, F.lit('", "role": "'), "c_mktsegment",
+        F.lit('"}, {"name": "Acme Inc"}, 7, {"person_name": "'), F.concat_ws(" ", "w2", "w1"), F.lit('", "employer": "Other"}]}'),
+    )
+    nested = F.concat(F.lit('[{"exec": "'), name, F.lit('"}, [[{"name": "'), F.concat_ws(" ", "w1", "w3"), F.lit('", "job_title": " "}], 3]]'))
+    text = F.concat(F.lit('["'), F.replace(flat, F.lit('"'), F.lit('\\"')), F.lit('", "words"]'))
+    odd = F.concat(F.lit('{"name": {"x": 1}, "executive_name": "  '), name, F.lit(' ", "leaders": [], "issuer": true, "executives": "none"}'))
+    shape = F.when(k % 6 == 0, flat).when(k % 6 == 1, inside).when(k % 6 == 2, nested).when(k % 6 == 3, text).when(k % 6 == 4, F.lit("{broken")).otherwise(odd)
+    return c.select(k.alias("id"), shape.alias("payload"))
+
+
+def _triples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, host, i, a, b, c): a page's capitalised words, three at a time."""
+    words = F.regexp_extract_all("html", F.lit("[A-Z][a-z]{2,}"), F.lit(0))
+    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"), words.alias("w"))
+    p = p.filter(F.size("w") >= 3).select("page_id", "host", "w", F.explode(F.sequence(F.lit(0), F.floor(F.size("w") / 3).cast("int") - 1)).alias("i"))
+    return p.select("page_id", "host", "i", *(F.get("w", F.col("i") * 3 + j).alias(n) for j, n in enumerate("abc")))
+
+
+def _marked(triples: DataFrame, line: Column, top: str) -> DataFrame:
+    """(id, body, markdown): the lines of a page under its host, bars between them."""
+    listed = F.array_sort(F.collect_list(F.struct("i", line.alias("line"))))
+    text = F.array_join(F.transform(listed, lambda s: s["line"]), "\n|\n")
+    return triples.groupBy(F.col("page_id").alias("id"), F.col("host").alias("body")).agg(text.alias("t")).select("id", "body", F.concat(F.lit(top), "t").alias("markdown"))
+
+
+def rosters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, body, markdown): committees, members in four spellings, years; the first members have no committee above them."""
+    i = F.col("i")
+    year = (F.lit(1990) + i % 30).cast("string")
+    line = (
+        F.when(i % 6 == 0, F.concat(F.lit("- "), F.concat_ws(" ", "a", "b"), F.lit(", "), "c")).when(i % 6 == 1, F.concat(F.concat_ws(" ", "a", "b"), F.lit(" ("), "c", F.lit(" Co)")))
+        .when(i % 6 == 2, F.concat(F.lit("## "), F.concat_ws(" ", "a", "b"))).when(i % 6 == 3, F.concat(F.lit("* "), F.concat_ws(" ", "a", "b", "c")))
+        .when(i % 6 == 4, F.concat(F.lit("("), year, F.lit(" - 2021) "), F.lower("a"))).otherwise(F.concat(F.lit("- "), F.concat_ws(" ", "a", "b"), F.lit(" — "), "c", F.lit(" since "), year))
+    )
+    return _marked(_triples(spark, sf_dir), line, "")
+
+
+def programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, body, markdown): sessions and speakers in four spellings, some with a role."""
+    i, name = F.col("i"), F.concat_ws(" ", "a", "b")
+    line = (
+        F.when(i % 5 == 0, F.concat(F.lit("### "), name)).when(i % 5 == 1, F.concat(F.lit("**Speaker:** "), name, F.lit(" — Keynote "), "c")).when(i % 5 == 2, F.concat(F.lit("12. "), name, F.lit(" ("), "c", F.lit(")")))
+        .when(i % 5 == 3, F.concat(F.lit("- "), name, F.lit(", Session chair"))).otherwise(F.concat(F.lit("* "), name, F.lit(" - panel "), "c"))
+    )
+    return _marked(_triples(spark, sf_dir), line, "")
+
+
 def person_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records of people from three sources: three customers in a row are one person, with spellings, gaps and conflicts."""
     k = F.col("c_custkey")
@@ -175,6 +236,18 @@ CTES = {
     "companies": """SELECT n_nationkey AS company_id, n_name AS company, r_name AS industry FROM nation JOIN region ON n_regionkey = r_regionkey""",
     "first_words": f"""SELECT doc_id, coalesce(regexp_extract(text, '{FIRST_WORDS}', 1), '') AS w1, coalesce(regexp_extract(text, '{FIRST_WORDS}', 2), '') AS w2,
         coalesce(regexp_extract(text, '{FIRST_WORDS}', 3), '') AS w3 FROM documents""",
+    "institutions": f"""SELECT * FROM (SELECT concat_ws(' ', regexp_extract(text, '{FIRST_WORDS}', 1), regexp_extract(text, '{FIRST_WORDS}', 2), regexp_extract(text, '{FIRST_WORDS}', 3)) AS canonical,
+        (['mba', 'phd', 'undergrad', 'exec_ed', 'other'])[item_id % 5 + 1] AS kind, concat_ws(' ', regexp_extract(text, '{FIRST_WORDS}', 1), regexp_extract(text, '{FIRST_WORDS}', 2)) AS alias FROM benchmark) WHERE alias <> ' '""",
+    "payloads": """SELECT id, CASE id % 6 WHEN 0 THEN flat WHEN 1 THEN '{"company": "Co ' || id || '", "people": [{"full_name": "' || name || '", "role": "' || c_mktsegment || '"}, {"name": "Acme Inc"}, 7, {"person_name": "' || w2 || ' ' || w1 || '", "employer": "Other"}]}'
+        WHEN 2 THEN '[{"exec": "' || name || '"}, [[{"name": "' || w1 || ' ' || w3 || '", "job_title": " "}], 3]]' WHEN 3 THEN '["' || replace(flat, '"', '\\"') || '", "words"]' WHEN 4 THEN '{broken'
+        ELSE '{"name": {"x": 1}, "executive_name": "  ' || name || ' ", "leaders": [], "issuer": true, "executives": "none"}' END AS payload
+        FROM (SELECT *, '{"name": "' || name || '", "title": "' || c_mktsegment || '", "company": 5}' AS flat FROM (SELECT c_custkey AS id, c_mktsegment, w1, w2, w3, w1 || ' ' || w2 AS name FROM customer JOIN first_words ON doc_id = c_custkey // 3))""",
+    "triples": """SELECT page_id, host, i, w[i * 3 + 1] AS a, w[i * 3 + 2] AS b, w[i * 3 + 3] AS c FROM (SELECT page_id, host, w, unnest(range(len(w) // 3)) AS i FROM
+        (SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host, regexp_extract_all(html, '[A-Z][a-z]{2,}') AS w FROM pages))""",
+    "rosters": """SELECT page_id AS id, host AS body, string_agg(CASE i % 6 WHEN 0 THEN '- ' || a || ' ' || b || ', ' || c WHEN 1 THEN a || ' ' || b || ' (' || c || ' Co)' WHEN 2 THEN '## ' || a || ' ' || b WHEN 3 THEN '* ' || a || ' ' || b || ' ' || c
+        WHEN 4 THEN '(' || (1990 + i % 30) || ' - 2021) ' || lower(a) ELSE '- ' || a || ' ' || b || ' — ' || c || ' since ' || (1990 + i % 30) END, chr(10) || '|' || chr(10) ORDER BY i) AS markdown FROM triples GROUP BY 1, 2""",
+    "programs": """SELECT page_id AS id, host AS body, string_agg(CASE i % 5 WHEN 0 THEN '### ' || a || ' ' || b WHEN 1 THEN '**Speaker:** ' || a || ' ' || b || ' — Keynote ' || c WHEN 2 THEN '12. ' || a || ' ' || b || ' (' || c || ')'
+        WHEN 3 THEN '- ' || a || ' ' || b || ', Session chair' ELSE '* ' || a || ' ' || b || ' - panel ' || c END, chr(10) || '|' || chr(10) ORDER BY i) AS markdown FROM triples GROUP BY 1, 2""",
     "person_records": """SELECT id, CASE s WHEN 0 THEN 80 WHEN 1 THEN 60 ELSE 20 END AS priority,
         CASE WHEN s = 0 THEN 'https://x.example/in/' || p WHEN s = 1 AND p % 5 = 0 THEN ' HTTPS://X.example/in/' || p || '/' WHEN s = 1 AND p % 5 = 1 THEN 'https://x.example/in/other' || p END AS url,
         CASE WHEN p % 13 = 0 AND s < 2 THEN 'acc' || p END AS account,
