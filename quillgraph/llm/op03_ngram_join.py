@@ -342,12 +342,14 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     chosen = mine.groupBy(F.coalesce("label", "node").alias("label")).agg(F.min(F.struct("place", "copies")).alias("m"))
     full = chosen.select("m.place.doc_id", "m.place.tkey", "m.copies")
     empty = rows.filter("n = 0").groupBy("doc_id", "tkey").agg(F.count("*").alias("copies"))
-    kept = materialize(full.unionByName(empty), "kept").withColumnsRenamed({"doc_id": "_d", "tkey": "_t", "copies": "_copies"})
-    own = docs.withColumn("_key", F.xxhash64("text"))
-    found = own.join(_merged(kept), own["doc_id"].eqNullSafe(kept["_d"]) & (F.col("_key") == F.col("_t"))).drop("_d", "_t", "_key")
+    kept = materialize(full.unionByName(empty), "kept").select(F.col("doc_id").alias("d"), F.col("tkey").alias("t"), "copies")
+    # a row travels as one column, so its own names can't clash with these
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    own = whole.select("row", F.col("row.doc_id").alias("id"), F.xxhash64("row.text").alias("key"))
+    found = own.join(_merged(kept), F.col("id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("t"))).select("row", "copies")
     # only rows with copies can repeat
-    again = found.filter("_copies > 1").dropDuplicates(["doc_id", "text"])
-    return found.filter("_copies = 1").unionByName(again).drop("_copies")
+    again = found.filter("copies > 1").select("row", F.col("row.doc_id").alias("id"), F.col("row.text").alias("text")).dropDuplicates(["id", "text"])
+    return found.filter("copies = 1").select("row.*").unionByName(again.select("row.*"))
 
 
 def oracle() -> str:

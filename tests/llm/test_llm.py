@@ -287,6 +287,26 @@ def test_packer_bounds_open_windows():
     assert all((n := sum(len(p[2]) // 4 for p in s)) == 64 or n & (n - 1) == 0 for s in done)
 
 
+def test_packer_without_a_limit_keeps_every_window_open():
+    packer = op4.Packer(window=64)
+    for i in range(5000):  # no two fit together
+        packer.place(i, b"\1\0\0\0" * 40)
+    assert packer.n_open == 5000 and not packer.take_closed()
+    for i in range(5000):  # and each is filled by what comes later, however many there were
+        packer.place(5000 + i, b"\1\0\0\0" * 24)
+    assert packer.n_open == 0 and all(len(s) == 2 for s in packer.take_closed())
+
+
+def test_keep_one_of_each_with_clashing_names(spark):
+    names = ["_t", "_d", "_key", "_copies", "row", "id", "key", "t", "d", "copies", "label", "node", "n"]
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text, *range(13)), (2, text, *range(13)), (1, text, *range(13)), (3, "other words here", *range(13)), (3, "other words here", *range(13)), (4, None, *range(13)), (None, text, *range(13))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    got = op3.keep_one_of_each(df)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect())) == [(1, text, *range(13)), (3, "other words here", *range(13)), (4, None, *range(13))]
+
+
 def test_a_row_without_id_links_others(spark):
     own = [f"w{i}" for i in range(100)]
     a, b = [f"x{i}" for i in range(9)] + own[9:], own[:91] + [f"y{i}" for i in range(9)]
