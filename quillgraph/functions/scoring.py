@@ -29,6 +29,36 @@ STRENGTHS = {
     "same_undergrad_cohort": (0.62, 0.04),
 }
 
+# How each kind of connection is told.
+TOLD_AS = {
+    "patent_co_inventor": "co-invented a patent",
+    "academic_co_author_multi": "co-authored multiple papers",
+    "academic_co_author_single": "co-authored a paper",
+    "career_overlap_same_team": "worked on the same team",
+    "career_overlap_same_domain": "worked in the same functional domain",
+    "career_overlap_general": "shared career history",
+    "conference_co_presenter": "co-presented at a conference",
+    "standards_committee_peer": "served on a standards committee together",
+    "same_phd_advisor": "shared a PhD advisor",
+    "co_board_member": "served on the same board",
+    "co_investor": "co-invested in a company",
+    "alumni_network": "shared an alma mater",
+    "conference_co_attendee": "co-attended a conference",
+}
+
+# Confidence of a source's signals, by kind where the source has several; the last one holds for other kinds.
+SOURCE_CONFIDENCES = {
+    "uspto": ({}, 0.95),
+    "career": ({"career_overlap_same_team": 0.88, "career_overlap_same_domain": 0.72, "career_overlap_general": 0.60}, 0.60),
+    "parallel": ({"conference_co_presenter": 0.80, "conference_co_attendee": 0.20, "standards_committee_peer": 0.82}, 0.5),
+    "education": ({"same_mba_cohort": 0.85, "same_phd_program": 0.78, "executive_education": 0.70, "same_undergrad_cohort": 0.62, "alumni_network": 0.25}, 0.5),
+    "conference": ({"conference_co_presenter": 0.80, "conference_co_attendee": 0.20}, 0.4),
+    "standards": ({}, 0.82),
+}
+#: Kind that a signal of a source counts as if it names none.
+SOURCE_KINDS = {"career": "career_overlap_general", "parallel": "conference_co_attendee", "education": "alumni_network", "conference": "conference_co_attendee"}
+FEW_AUTHORS, FEW_CONFIDENCE, MANY_CONFIDENCE, UNKNOWN_SOURCE = 5, 0.90, 0.75, 0.5
+
 # Reports a manager of each tier can have.
 SPAN_LIMITS = {"c_suite": 8, "svp": 7, "vp": 8, "director": 10, "manager": 12}
 
@@ -85,3 +115,23 @@ def gap_score(gap: Column) -> Column:
 def patent_score(shared: Column) -> Column:
     """0.05 for each shared patent, at most 0.15."""
     return F.least(F.lit(0.15), F.lit(0.15) * shared / 3)
+
+
+def told_as(kind: Column) -> Column:
+    """How a kind of connection is told; unknown kinds with spaces, none at all as a shared connection."""
+    text = F.replace(kind, F.lit("_"), F.lit(" "))
+    for name, words in TOLD_AS.items():
+        text = F.when(kind == name, words).otherwise(text)
+    return F.when(F.coalesce(kind, F.lit("")) == "", "shared a connection").otherwise(text)
+
+
+def source_confidence(source: Column, kind: Column, authors: Column, given: Column) -> Column:
+    """Confidence of a signal by its source: for papers by the number of authors (5 if unknown), for studies the one given, else by kind."""
+    out = F.lit(UNKNOWN_SOURCE)
+    for name, (kinds, other) in SOURCE_CONFIDENCES.items():
+        own = F.lit(other)
+        for k, c in kinds.items():
+            own = F.when(F.coalesce(kind, F.lit(SOURCE_KINDS.get(name))) == k, c).otherwise(own)
+        own = F.coalesce(given, own) if name == "education" else own
+        out = F.when(source == name, own).otherwise(out)
+    return F.when(source == "scholar", F.when(F.coalesce(authors, F.lit(FEW_AUTHORS)) <= FEW_AUTHORS, FEW_CONFIDENCE).otherwise(MANY_CONFIDENCE)).otherwise(out)

@@ -48,3 +48,32 @@ def history_merge(current: DataFrame, new: DataFrame, today: Column, epsilon: fl
     return flat.withColumns(
         {"valid_to": F.when(F.col("action") == "close", today), "valid_from": F.when(F.col("action") == "open", today)}
     )
+
+
+def rule_merge(old: DataFrame, new: DataFrame, key: Sequence[str], rules: dict[str, str], now: Column) -> DataFrame:
+    """Full outer merge with a rule for each column, and ``updated_at`` for the rows that the new table touches.
+
+    Rules: ``old`` keeps what is there and fills nulls, ``new`` takes the new value unless it is null, ``replace`` takes the new row's in any case,
+    ``union`` is the sorted set of both arrays, ``greatest`` the larger one. ``new`` has one row for each key; ``old`` has ``updated_at``.
+    """
+    right = new.select(*key, *[F.col(c).alias(f"_{c}") for c in rules], F.lit(True).alias("_there"))
+    none = lambda c: F.coalesce(F.col(c), F.array().cast(old.schema[c.lstrip("_")].dataType))
+    how = {
+        "old": lambda c: F.coalesce(c, f"_{c}"),
+        "new": lambda c: F.coalesce(f"_{c}", c),
+        "replace": lambda c: F.when(F.col("_there"), F.col(f"_{c}")).otherwise(F.col(c)),
+        "union": lambda c: F.array_sort(F.array_union(none(c), none(f"_{c}"))),
+        "greatest": lambda c: F.greatest(c, f"_{c}"),
+    }
+    joined = old.join(right, list(key), "full_outer")
+    return joined.select(*key, *[how[rule](c).alias(c) for c, rule in rules.items()], F.when(F.col("_there"), now).otherwise(F.col("updated_at")).alias("updated_at"))
+
+
+def activate(versions: DataFrame, incoming: DataFrame, account: str = "account_id") -> DataFrame:
+    """Versions with ``incoming`` as the only active one of its accounts; those of other accounts stay as they are.
+
+    Both have the same columns, ``is_active`` among them; of several incoming ones of one account the caller keeps the last.
+    """
+    flip = incoming.select(account, F.lit(True).alias("_flip")).distinct()
+    kept = versions.join(flip, account, "left").withColumn("is_active", F.col("is_active") & F.col("_flip").isNull()).select(*versions.columns)
+    return kept.unionByName(incoming.withColumn("is_active", F.lit(True)).select(*versions.columns))

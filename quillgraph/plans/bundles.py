@@ -64,7 +64,7 @@ ALIASES = ["the", "und", "que", "les", "with", "nicht", "para", "dans"]
     " UNION ALL ".join(f"SELECT '{a}' AS alias, count(*) AS documents FROM documents WHERE regexp_matches(lower(text), '(^|[^a-z0-9]){a}([^a-z0-9]|$)')" for a in ALIASES),
 )
 def alias_mentions(spark, sf_dir):
-    """Documents that mention each alias between non-alphanumeric characters; texts are read once."""
+    """Documents that mention each alias between non-alphanumeric characters; texts are read once."""
     text = F.lower("text")
     found = F.array(*[F.when(text.rlike(f"(^|[^a-z0-9]){a}([^a-z0-9]|$)"), a) for a in ALIASES])
     hits = src.table(spark, sf_dir, "documents").select(F.explode(F.array_compact(found)).alias("alias"))
@@ -76,7 +76,7 @@ def alias_mentions(spark, sf_dir):
     """WITH m AS (SELECT conv_id, unnest(regexp_extract_all(text, '[A-Z][a-z]{2,}')) AS name FROM conversations) SELECT name, count(*) AS mentions, count(DISTINCT conv_id) AS conversations FROM m GROUP BY 1""",
 )
 def person_mentions(spark, sf_dir):
-    """Capitalised words as candidate names."""
+    """Capitalised words as candidate names."""
     names = F.explode(F.regexp_extract_all("text", F.lit(r"[A-Z][a-z]{2,}"), F.lit(0))).alias("name")
     m = src.table(spark, sf_dir, "conversations").select("conv_id", names)
     return m.groupBy("name").agg(F.count("*").alias("mentions"), F.count_distinct("conv_id").alias("conversations"))

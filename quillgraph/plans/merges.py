@@ -41,7 +41,7 @@ def overwrite_merge(spark, sf_dir):
 
 @query("coalesce_merge", f"WITH {_OLD}, {_NEW} SELECT id, coalesce(n.name, o.name) AS name, coalesce(n.segment, o.segment) AS segment, CASE WHEN n.id IS NOT NULL THEN n.balance ELSE o.balance END AS balance FROM old o FULL OUTER JOIN new n USING (id)")
 def coalesce_merge(spark, sf_dir):
-    """New values where there are any; the balance is always the new row's."""
+    """U3 in its plain form: new values where there are any; the balance is always the new row's."""
     return ops.coalesce_merge(old_rows(spark, sf_dir), new_rows(spark, sf_dir), ["id"], ["balance"])
 
 

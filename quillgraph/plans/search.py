@@ -76,7 +76,7 @@ def freshness(spark, sf_dir):
 
 @query("people_page", f"{_P} SELECT person_id, name, domain FROM ({_J}) WHERE (name ILIKE '%00001%' OR company ILIKE '%an%') AND domain IN ('BUILDING', 'MACHINERY') AND seniority >= 60 ORDER BY seniority DESC, person_id LIMIT 100")
 def people_page(spark, sf_dir):
-    """Page filter with several facets."""
+    """Page filter with several facets (sorts: ``page_orders``)."""
     j = people(spark, sf_dir).filter((F.col("name").ilike("%00001%") | F.col("company").ilike("%an%")) & F.col("domain").isin("BUILDING", "MACHINERY") & (F.col("seniority") >= 60))
     return j.orderBy(F.desc("seniority"), "person_id").limit(100).select("person_id", "name", "domain")
 

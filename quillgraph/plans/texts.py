@@ -51,7 +51,7 @@ def _customers(spark, sf_dir):
 
 @query("title_classification", f"""WITH t AS (SELECT c_custkey, {_sql_dealt(TITLES)} AS title FROM customer)
 SELECT c_custkey, {_sql_rules(ft.DOMAIN_RULES, 'title')} AS domain, ({_sql_rules(ft.SENIORITY_RULES, 'title')})::INTEGER AS seniority,
-regexp_matches(title, '(?i){ft.IC_TITLES}')::INTEGER AS is_ic, regexp_matches(title, '(?i){ft.MANAGER_TITLES}')::INTEGER AS is_manager FROM t""".replace("seniority,", "seniority,"))
+regexp_matches(title, '(?i){ft.IC_TITLES}')::INTEGER AS is_ic, regexp_matches(title, '(?i){ft.MANAGER_TITLES}')::INTEGER AS is_manager FROM t""")
 def title_classification(spark, sf_dir):
     """domain, seniority and track of a title."""
     t = _dealt(TITLES)
@@ -60,7 +60,7 @@ def title_classification(spark, sf_dir):
     return rows.select("c_custkey", ft.domain_from_title(t).alias("domain"), ft.seniority_from_title(t).alias("seniority"), ft.is_ic_track(t).cast("int").alias("is_ic"), ft.is_manager_title(t).cast("int").alias("is_manager")).fillna(-1, ["seniority"]).fillna("none", ["domain"])
 
 
-_t = title_classification  # the oracle gives the same stand-ins for missing values
+# the oracle gives the same stand-ins for missing values
 from .registry import ORACLES  # noqa: E402
 
 ORACLES["title_classification"] = f"SELECT c_custkey, coalesce(domain, 'none') AS domain, coalesce(seniority, -1) AS seniority, is_ic, is_manager FROM ({ORACLES['title_classification']})"
@@ -139,7 +139,7 @@ def reporting_phrases(spark, sf_dir):
 h AS (SELECT *, CASE WHEN regexp_matches(line, '<h[1-6]') THEN i END AS head FROM l), f AS (SELECT *, max(head) OVER (PARTITION BY page_id ORDER BY i) AS section FROM h)
 SELECT page_id, coalesce(section, -1)::INTEGER AS section, count(*) AS lines FROM f WHERE head IS NULL GROUP BY 1, 2""")
 def roster_rows(spark, sf_dir):
-    """Each line belongs to the nearest header before it, as a higher-order fold over the lines of a page."""
+    """Lines of a page under the nearest header before them: lines are exploded, headers carried on by a window."""
     lines = F.split("html", "\n")
     p = src.table(spark, sf_dir, "pages").select("page_id", lines.alias("ls"))
     heads = F.transform("ls", lambda x, i: F.when(x.rlike("<h[1-6]"), i))
