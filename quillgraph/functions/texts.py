@@ -187,18 +187,25 @@ def company_key(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?U)[^\w\s]+", " "), r"\s+", " "))
 
 
+# What a role and an event are freed of.
+ROLE_COMPANY = r"\s+at\s+.+$"
+ROLE_REST = r"(?:\s+[|·/]\s+|\s+[—–-]\s+).*$"
+EVENT_YEAR = r"\b(19|20)\d{2}\b"
+EVENT_END = r"[\s,.;:!?\-_/\\]+$"
+
+
 def role_text(raw: Column, longest: int = 28) -> Column:
     """A role without its company and what follows a separator, cut to ``longest`` characters."""
-    bare = F.regexp_replace(F.trim(F.coalesce(raw, F.lit(""))), r"(?i)\s+at\s+.+$", "")
-    bare = F.regexp_replace(bare, r"(?:\s+[|·/]\s+|\s+[—–-]\s+).*$", "")
+    bare = F.regexp_replace(F.trim(F.coalesce(raw, F.lit(""))), f"(?i){ROLE_COMPANY}", "")
+    bare = F.regexp_replace(bare, ROLE_REST, "")
     bare = F.trim(F.regexp_replace(F.regexp_replace(bare, r"\s+", " "), r"[,;:.]+$", ""))
     return F.when(F.length(bare) > longest, F.concat(F.rtrim(F.substring(bare, 1, longest - 1)), F.lit("…"))).otherwise(bare)
 
 
 def event_name(event: Column) -> Column:
     """Lower-case event name without years and trailing punctuation; empty for null."""
-    bare = F.regexp_replace(F.lower(F.trim(F.coalesce(event, F.lit("")))), r"\b(19|20)\d{2}\b", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(bare, r"[\s,.;:!?\-_/\\]+$", ""), r"\s+", " "))
+    bare = F.regexp_replace(F.lower(F.trim(F.coalesce(event, F.lit("")))), EVENT_YEAR, " ")
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, EVENT_END, ""), r"\s+", " "))
 
 
 def event_year(text: Column, first: int = 1990, last: int = 2030) -> Column:
@@ -209,7 +216,8 @@ def event_year(text: Column, first: int = 1990, last: int = 2030) -> Column:
 
 def clamped(value: Column) -> Column:
     """A number out of text, between 0 and 1; 0 where there is none."""
-    return F.coalesce(F.greatest(F.lit(0.0), F.least(F.lit(1.0), value.try_cast("double"))), F.lit(0.0))
+    number = F.coalesce(value.try_cast("double"), F.lit(0.0))  # before the limits, as least and greatest pass over nulls
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), number))
 
 
 def appearance_kind(a: Column, b: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import texts as ft
 
 from .registry import query
-from .texts import TITLES, _customers, _dealt, _sql_dealt, _sql_rules
+from .texts import TITLES, _customers, _dealt, _sql_dealt, _sql_told
 
 FIRMS = ["Brightwater Technologies, Inc.", "Kestrelby Systems Ltd", "Plainfold", "Quarzbach Semiconductor (North) LLC", "Tallgrass & Daughters"]
 ROLES = ["Head of Looms at Brightwater", "Weaver | Dyer", "Co-founder — Kestrelby", "Senior Associate Director of Thread Quality", "  Buyer,  Wool. ", "", "Dyer - nights"]
@@ -22,8 +22,14 @@ CONFIDENCES = ["0.7", "1.4", "-2", "high", "", "1e-1"]
 SPEAKERS = ["Keynote", " panelist ", "attendee", "host", "speaker"]
 
 
-@query("earlier_titles", f"""WITH t AS (SELECT c_custkey, {_sql_dealt(TITLES)} AS title FROM customer)
-SELECT c_custkey, coalesce({_sql_rules(ft.EARLIER_DOMAIN_RULES, 'title')}, 'none') AS domain, coalesce({_sql_rules(ft.EARLIER_SENIORITY_RULES, 'title')}, -1)::INTEGER AS seniority FROM t""")
+#: What the earlier rules give for each title, written out by hand.
+EARLIER_TOLD = [
+    ("none", 100), ("sales_marketing", 80), ("none", 70), ("research", 60), ("none", 48), ("sales_marketing", -1), ("none", 45), ("none", 50), ("software_engineering", 40), ("none", -1), ("manufacturing_ops", -1), ("software_engineering", -1),
+    ("none", -1), ("product_management", 50), ("none", 55), ("none", -1), ("none", -1), ("none", 72), ("none", -1), ("none", -1), ("hardware_engineering", -1), ("none", -1), ("none", -1), ("hardware_engineering", 35),
+]
+
+
+@query("earlier_titles", f"SELECT c_custkey, {_sql_told(EARLIER_TOLD, ['domain', 'seniority'])} FROM customer")
 def earlier_titles(spark, sf_dir):
     """domain and seniority by the earlier rules."""
     t = F.col("title")
@@ -31,42 +37,43 @@ def earlier_titles(spark, sf_dir):
     return found.select("c_custkey", F.coalesce(ft.first_hit(t, ft.EARLIER_DOMAIN_RULES), F.lit("none")).alias("domain"), F.coalesce(ft.first_hit(t, ft.EARLIER_SENIORITY_RULES).cast("int"), F.lit(-1)).alias("seniority"))
 
 
-@query("company_keys", f"SELECT c_custkey, trim(regexp_replace(regexp_replace(regexp_replace(lower({_sql_dealt(FIRMS)}), '{ft.COMPANY_KEY_WORDS}', '', 'g'), '[^\\w\\s]+', ' ', 'g'), '\\s+', ' ', 'g')) AS company FROM customer")
+@query("company_keys", "SELECT c_custkey, " + _sql_told([(x,) for x in ("brightwater", "kestrelby", "plainfold", "quarzbach north", "tallgrass daughters")], ["company"]) + " FROM customer")
 def company_keys(spark, sf_dir):
     """F8: the key under which names of one company meet."""
     return _customers(spark, sf_dir).select("c_custkey", ft.company_key(_dealt(FIRMS)).alias("company"))
 
 
-@query("role_texts", f"""WITH r AS (SELECT c_custkey, regexp_replace(regexp_replace(trim({_sql_dealt(ROLES)}), '\\s+at\\s+.+$', '', 'i'), '(\\s+[|·/]\\s+|\\s+[—–-]\\s+).*$', '') AS s FROM customer),
-c AS (SELECT c_custkey, trim(regexp_replace(regexp_replace(s, '\\s+', ' ', 'g'), '[,;:.]+$', '')) AS s FROM r)
-SELECT c_custkey, CASE WHEN length(s) > 28 THEN rtrim(s[1:27]) || '…' ELSE s END AS role FROM c""")
+@query("role_texts", "SELECT c_custkey, " + _sql_told([(x,) for x in ("Head of Looms", "Weaver", "Co-founder", "Senior Associate Director o…", "Buyer, Wool", "", "Dyer")], ["role"]) + " FROM customer")
 def role_texts(spark, sf_dir):
     """short roles."""
     return _customers(spark, sf_dir).select("c_custkey", ft.role_text(_dealt(ROLES)).alias("role"))
 
 
-@query("event_names", f"""WITH e AS (SELECT c_custkey, {_sql_dealt(EVENTS)} AS e FROM customer), y AS (SELECT *, TRY_CAST(regexp_extract(e, '(19|20)\\d{{2}}', 0) AS INTEGER) AS year FROM e)
-SELECT c_custkey, trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(e)), '\\b(19|20)\\d{{2}}\\b', ' ', 'g'), '[\\s,.;:!?\\-_/\\\\]+$', ''), '\\s+', ' ', 'g')) AS event, CASE WHEN year BETWEEN 1990 AND 2030 THEN year ELSE 0 END AS year FROM y""")
+@query("event_names", "SELECT c_custkey, " + _sql_told([("loom summit", 2021), ("woolcon, - basel", 1998), ("fibre days", 0), ("weavers", 0), ("thread forum", 2019)], ["event", "year"]) + " FROM customer")
 def event_names(spark, sf_dir):
     """F16: event names without years, and the year (0: none or out of range)."""
     e = _dealt(EVENTS)
     return _customers(spark, sf_dir).select("c_custkey", ft.event_name(e).alias("event"), F.coalesce(ft.event_year(e), F.lit(0)).alias("year"))
 
 
-@query("reporting_signals", "WITH t AS (SELECT c_custkey, " + _sql_dealt(POSTINGS) + " AS t FROM customer), m AS (" + " UNION ALL ".join(
-    f"SELECT c_custkey, {c}::DOUBLE AS confidence, unnest(regexp_extract_all(t, '(?i){p}', 1)) AS title FROM t" for p, c in ft.REPORTING_RULES
-) + ") SELECT DISTINCT c_custkey, confidence, lower(trim(title)) AS manager_title FROM m WHERE trim(title) <> ''")
+#: Titles named in each posting with the confidence of the phrase, written out by hand.
+POSTINGS_TOLD = [(0, 0.88, "Mill Director"), (0, 0.70, "Anna Vell"), (1, 0.85, "Head of Looms"), (1, 0.75, "Otto Brand"), (2, 0.82, "Chief Weaver"), (2, 0.65, "Fibres")]
+
+
+@query("reporting_signals", "SELECT c_custkey, confidence, manager_title FROM customer JOIN (VALUES " + ", ".join(f"({i}, {c}::DOUBLE, '{t}')" for i, c, t in POSTINGS_TOLD) + ") t(i, confidence, manager_title) ON c_custkey % 4 = i")
 def reporting_signals(spark, sf_dir):
-    """managers' titles named in job texts by six phrases, each title once a confidence, without case."""
-    def told(pattern: str, confidence: float):
-        return F.transform(F.regexp_extract_all("t", F.lit(f"(?i){pattern}"), F.lit(1)), lambda m: F.struct(F.lit(confidence).alias("confidence"), F.lower(F.trim(m)).alias("manager_title")))
+    """managers' titles named in job texts by six phrases, each once a confidence without case, in its first spelling."""
+    def told(n: int, pattern: str, confidence: float):
+        hits = F.regexp_extract_all("t", F.lit(f"(?i){pattern}"), F.lit(1))
+        return F.transform(hits, lambda m, i: F.struct((F.lit(n * 1_000_000) + i).alias("place"), F.lit(confidence).alias("confidence"), F.trim(m).alias("title")))
 
-    hits = [told(p, c) for p, c in ft.REPORTING_RULES]
-    found = _customers(spark, sf_dir).select("c_custkey", _dealt(POSTINGS).alias("t")).select("c_custkey", F.explode(F.array_distinct(F.concat(*hits))).alias("m"))
-    return found.select("c_custkey", "m.confidence", "m.manager_title").filter("manager_title <> ''")
+    hits = [told(n, p, c) for n, (p, c) in enumerate(ft.REPORTING_RULES)]
+    found = _customers(spark, sf_dir).select("c_custkey", _dealt(POSTINGS).alias("t")).select("c_custkey", F.explode(F.concat(*hits)).alias("m")).filter("m.title <> ''")
+    one = found.groupBy("c_custkey", "m.confidence", F.lower("m.title").alias("k")).agg(F.min_by("m.title", "m.place").alias("manager_title"))
+    return one.select("c_custkey", "confidence", "manager_title")
 
 
-@query("clamped_confidences", f"SELECT c_custkey, coalesce(greatest(0.0, least(1.0, TRY_CAST({_sql_dealt(CONFIDENCES)} AS DOUBLE))), 0.0)::DOUBLE AS confidence FROM customer")
+@query("clamped_confidences", "SELECT c_custkey, " + _sql_told([("0.7",), ("1",), ("0",), ("0",), ("0",), ("0.1",)], ["c"]).replace(" AS c", "::DOUBLE AS confidence") + " FROM customer")
 def clamped_confidences(spark, sf_dir):
     """F32: numbers out of text, between 0 and 1."""
     return _customers(spark, sf_dir).select("c_custkey", ft.clamped(_dealt(CONFIDENCES)).alias("confidence"))
@@ -79,7 +86,10 @@ def appearance_kinds(spark, sf_dir):
     return _customers(spark, sf_dir).select("c_custkey", ft.appearance_kind(_dealt(SPEAKERS), _dealt(SPEAKERS[::-1][:4])).alias("kind"))
 
 
-@query("unclassified_titles", f"""WITH t AS (SELECT {_sql_dealt(TITLES)} AS title FROM customer) SELECT title, count(*) AS people FROM t WHERE title <> '' AND ({_sql_rules(ft.EARLIER_DOMAIN_RULES, 'title')}) IS NULL GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5""")
+_UNTOLD = [title for title, (domain, _) in zip(TITLES, EARLIER_TOLD, strict=True) if domain == "none" and title]
+
+
+@query("unclassified_titles", f"SELECT title, count(*) AS people FROM (SELECT {_sql_dealt(TITLES)} AS title FROM customer) WHERE title IN ({', '.join(repr(t) for t in _UNTOLD)}) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
 def unclassified_titles(spark, sf_dir):
     """The five titles that most people without a domain have."""
     t = _customers(spark, sf_dir).select(_dealt(TITLES).alias("title")).filter("title <> ''")
