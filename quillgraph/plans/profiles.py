@@ -9,7 +9,9 @@ from quillgraph.functions import dates as fd
 from quillgraph.functions import scoring as fs
 from quillgraph.operators import bundles as ops
 from quillgraph.operators import graphs as gops
+from quillgraph.operators import hubs
 from quillgraph.operators import merges as mops
+from quillgraph.operators import press
 from quillgraph.operators import scores as sops
 from quillgraph.operators.stored import stored
 from quillgraph.sources import adapters as src
@@ -277,3 +279,42 @@ def source_confidences(spark, sf_dir):
     kind = F.when(F.col("l_partkey") % 6 > 0, pick(_KINDS, F.greatest(F.lit(1), F.col("l_partkey") % 6)))
     authors, given = F.when(F.col("l_tax") > 0.02, F.col("l_quantity").cast("int") % 9), F.when(F.col("l_discount") > 0.05, F.col("l_discount"))
     return src.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", fs.source_confidence(pick(_SOURCES, F.col("l_orderkey") % 8 + 1), kind, authors, given).cast("double").alias("confidence"))
+
+
+@query("hub_summaries", """WITH m AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 9 > 0 THEN n_name END AS company, r_name AS industry, c_mktsegment AS role, CASE WHEN c_custkey % 6 > 0 THEN c_acctbal / 100 END AS score, CASE WHEN c_custkey % 4 > 0 THEN 'City  ' || (c_custkey % 12) END AS city
+ FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey),
+o AS (SELECT o_custkey AS id, o_orderpriority AS past, o_orderstatus AS school, CASE WHEN o_orderstatus <> 'P' THEN 'Expo ' || (o_orderkey % 5) END AS venue, CASE WHEN o_orderkey % 3 > 0 THEN year(o_orderdate) END AS y FROM orders WHERE o_custkey IN (SELECT id FROM m)),
+met AS MATERIALIZED (SELECT DISTINCT hub, id FROM (SELECT 'company:' || trim(regexp_replace(lower(company), '[^\\w\\s]+', ' ', 'g')) AS hub, id FROM m UNION ALL SELECT 'industry:' || lower(industry), id FROM m UNION ALL SELECT 'role:' || lower(role), id FROM m UNION ALL SELECT 'city:' || lower(city), id FROM m
+ UNION ALL SELECT 'company:' || trim(regexp_replace(regexp_replace(lower(past), '[^\\w\\s]+', ' ', 'g'), '\\s+', ' ', 'g')), id FROM o UNION ALL SELECT 'school:' || lower(school), id FROM o UNION ALL SELECT 'conference:' || lower(concat_ws(' ', venue, y)), id FROM o WHERE venue IS NOT NULL) WHERE hub IS NOT NULL),
+f AS MATERIALIZED (SELECT met.hub, m.* FROM met JOIN m USING (id)),
+r AS (SELECT hub, string_agg(role || '=' || n, ', ' ORDER BY n DESC, role) AS roles FROM (SELECT hub, role, count(*) AS n FROM f GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY hub ORDER BY count(*) DESC, role) <= 3) GROUP BY 1),
+i AS (SELECT hub, string_agg(industry || '=' || n, ', ' ORDER BY n DESC, industry) AS industries FROM (SELECT hub, industry, count(*) AS n FROM f GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY hub ORDER BY count(*) DESC, industry) <= 3) GROUP BY 1),
+p AS (SELECT hub, string_agg(id, ', ' ORDER BY coalesce(score, 0) DESC, id) AS people FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY hub ORDER BY coalesce(score, 0) DESC, id) <= 8) GROUP BY 1)
+SELECT hub, count(*) AS total, coalesce(round(round(avg(score), 9), 1), 0) AS avg_score, count(*) FILTER (score >= 75) AS high, any_value(roles) AS roles, any_value(industries) AS industries, any_value(people) AS people FROM f JOIN r USING (hub) JOIN i USING (hub) JOIN p USING (hub) GROUP BY hub""")
+def hub_summaries(spark, sf_dir):
+    """Members of company, industry, school, role, conference and city hubs, with scores, commonest roles and industries and best people."""
+    c, n, r, o = (src.table(spark, sf_dir, t) for t in ("customer", "nation", "region", "orders"))
+    k = F.col("c_custkey")
+    m = c.join(n, F.col("c_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey")).select(
+        k.alias("id"), F.when(k % 9 > 0, F.col("n_name")).alias("company"), F.col("r_name").alias("industry"), F.col("c_mktsegment").alias("role"), F.when(k % 6 > 0, F.col("c_acctbal") / 100).alias("score"),
+        F.when(k % 4 > 0, F.concat(F.lit("City  "), (k % 12).cast("string"))).alias("city"),
+    )
+    key = F.col("o_orderkey")
+    talk = F.struct(F.when(F.col("o_orderstatus") != "P", F.concat(F.lit("Expo "), (key % 5).cast("string"))).alias("venue"), F.when(key % 3 > 0, F.year("o_orderdate")).alias("year"))
+    told = o.groupBy(F.col("o_custkey").alias("id")).agg(F.collect_set("o_orderpriority").alias("past"), F.collect_set("o_orderstatus").alias("schools"), F.collect_set(talk).alias("talks"))
+    return hubs.hub_summaries(m.join(told, "id", "left"))
+
+
+_ENTRIES = ['[{"person_name": " Una Weld ", "person_title": "", "reports_to_name": "Tor Hale", "confidence": 0.95}, {"person_name": 5, "confidence": 1}, {"person_title": "Dyer"}, 7]', '[{"person_name": "Mia Orr", "reports_to_title": " Head ", "confidence": "high"}, {"person_name": "Bo", "confidence": "1.5"}, {"person_name": "  "}]', "[]", "no list", '{"person_name": "Ann Lee"}']
+_ENTRIES_TOLD = [(0, "Una Weld", None, "Tor Hale", None, 0.95), (1, "Mia Orr", None, None, "Head", 0.0), (1, "Bo", None, None, None, 1.0)]
+
+
+@query("press_entries", "SELECT c_custkey AS id, n AS person_name, t AS person_title, rn AS reports_to_name, rt AS reports_to_title, c AS confidence, (c_custkey % 3 = 0)::INTEGER AS leads FROM customer JOIN (VALUES " + ", ".join(
+    "(" + ", ".join("NULL" if v is None else f"'{v}'" if isinstance(v, str) else f"{v}::DOUBLE" if isinstance(v, float) else str(v) for v in r) + ")" for r in _ENTRIES_TOLD
+) + ") e(i, n, t, rn, rt, c) ON c_custkey % 5 = i")
+def press_entries(spark, sf_dir):
+    """reporting lines that a reader of press releases returned as JSON, checked entry by entry, and whether the release tells of leading at all."""
+    k = F.col("c_custkey")
+    pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i + 1).cast("int"))
+    c = src.table(spark, sf_dir, "customer").select(k.alias("id"), pick(_ENTRIES, k % 5).alias("entries"), pick(["Una OVERSEES the looms", "Earnings rose", "A new dye"], k % 3).alias("text"))
+    return press.reporting_entries(c).select("id", "person_name", "person_title", "reports_to_name", "reports_to_title", "confidence", press.tells_of_leading(F.col("text")).cast("int").alias("leads"))

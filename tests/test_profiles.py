@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quillgraph.functions import dates as fd
 from quillgraph.functions import scoring as fs
 from quillgraph.operators import bundles as ops
+from quillgraph.operators import hubs as ops_hubs
+from quillgraph.operators import press
 from quillgraph.operators.merges import activate, rule_merge
 
 DATES = [
@@ -89,3 +91,30 @@ def test_source_confidences(spark):
         assert float(r.got) == r.want, r.s
     told = [r.t for r in spark.createDataFrame([("co_investor",), ("new_kind",), (None,)], "k string").select(fs.told_as(F.col("k")).alias("t")).collect()]
     assert told == ["co-invested in a company", "new kind", "shared a connection"]
+
+
+def test_hubs(spark):
+    schema = "id int, company string, past array<string>, industry string, schools array<string>, role string, talks array<struct<venue:string,year:int>>, city string, score double"
+    rows = [
+        (1, "Keel Inc", ["Brine Ltd", "keel"], " Chips ", ["MIT", "mit ", None], "Dyer at Keel", [("Expo", 2020), ("Expo", None), (None, 2020)], "Oslo", 80.0), (2, "KEEL", None, "chips", None, "Dyer", None, None, None),
+        (3, None, [None, ""], None, [], None, [], "", 60.04), (4, "Brine", None, "Salt", ["MIT"], "Weaver", [("expo ", 2020)], "oslo", 75.0),
+    ]
+    df = spark.createDataFrame(rows, schema)
+    got = {}
+    for r in ops_hubs.hub_members(df).collect():
+        got.setdefault(r.hub, []).append(r.id)
+    assert {h: sorted(v) for h, v in got.items()} == {
+        "company:keel": [1, 2], "company:brine": [1, 4], "industry:chips": [1, 2], "industry:salt": [4], "role:dyer": [1, 2], "role:weaver": [4], "school:mit": [1, 4], "conference:expo 2020": [1], "conference:expo": [1], "conference:expo  2020": [4], "city:oslo": [1, 4],
+    }
+    told = {r.hub: tuple(r)[1:] for r in ops_hubs.hub_summaries(df).collect()}
+    assert told["company:keel"] == (2, 80.0, 1, "Dyer=2", "Chips=1, chips=1", "1, 2") and told["city:oslo"] == (2, 77.5, 2, "Dyer=1, Weaver=1", "Chips=1, Salt=1", "1, 4")
+    many = df.limit(1).crossJoin(spark.range(20).select(F.col("id").alias("n"))).withColumns({"id": F.col("n").cast("int"), "score": F.col("n").cast("double")}).drop("n")
+    assert {r.people for r in ops_hubs.hub_summaries(many).collect()} == {"19, 18, 17, 16, 15, 14, 13, 12"}
+    assert ops_hubs.hub_summaries(df.limit(0)).count() == 0
+
+
+def test_press_entries(spark):
+    df = spark.createDataFrame([(1, '[{"person_name": "A B", "person_title": 5, "confidence": -1}, {"person_name": null}, {"person_name": "C", "confidence": 0.5, "reports_to_name": " D "}]', "x"), (2, None, "y"), (3, "{}", "z"), (4, "[[]]", "w")], "id int, entries string, keep string")
+    assert [tuple(r) for r in press.reporting_entries(df).orderBy("person_name").collect()] == [(1, "x", "A B", None, None, None, 0.0), (1, "x", "C", None, "D", None, 0.5)]
+    texts = spark.createDataFrame([("She is responsible for dyes",), ("MisLeads",), ("nothing",), (None,)], "t string")
+    assert [r.b for r in texts.select(press.tells_of_leading(F.col("t")).alias("b")).collect()] == [True, True, False, False]
