@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-from . import aggregates, bundles, graphs, matching, merges, mining, orgchart, pairs, profiles, scores, search, texts, upserts, wordings  # noqa: E402, F401
+from . import aggregates, backfill, bundles, graphs, matching, merges, mining, orgchart, pairs, profiles, scores, search, texts, upserts, wordings  # noqa: E402, F401
