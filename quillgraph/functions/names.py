@@ -40,8 +40,8 @@ def profile_url(url: Column) -> Column:
 def same_person(a: Column, b: Column, least: float = 0.88) -> Column:
     """Whether two structs (url, email, name, company) name one person; the first rule that can tell decides.
 
-    Equal addresses or mail say yes, two different addresses say no; then first and last name with the company,
-    then a similar name in the same company.
+    Two addresses decide alone, then two mails; after them first and last name with the company,
+    then a similar name in the same company. ``operators.matching`` has all six rules, as joins.
     """
     url, mail = (lambda x: profile_url(x["url"])), (lambda x: F.lower(F.trim(x["email"])))
     parts = lambda x: name_parts(x["name"])
@@ -49,9 +49,8 @@ def same_person(a: Column, b: Column, least: float = 0.88) -> Column:
     same_firm = F.coalesce(firm(a) == firm(b), F.lit(False))
     full = (F.lower(parts(a)["first"]) == F.lower(parts(b)["first"])) & (F.lower(parts(a)["last"]) == F.lower(parts(b)["last"])) & (parts(a)["last"] != "")
     return (
-        F.when(url(a) == url(b), True)
-        .when(mail(a) == mail(b), True)
-        .when(url(a) != url(b), False)
+        F.when(url(a).isNotNull() & url(b).isNotNull(), url(a) == url(b))
+        .when(mail(a).isNotNull() & mail(b).isNotNull(), mail(a) == mail(b))
         .when(F.coalesce(full, F.lit(False)) & same_firm, True)
         .when(same_firm & (similarity(a["name"], b["name"]) >= least), True)
         .otherwise(False)

@@ -13,8 +13,8 @@ _P = src.with_ctes("persons", "companies")
 
 
 def people(spark, sf_dir):
-    """Persons with their company's name and industry (25 companies, broadcast)."""
-    return src.persons(spark, sf_dir).join(F.broadcast(src.companies(spark, sf_dir)), "company_id")
+    """Persons with their company's name and industry; the plan broadcasts companies only while their size allows it."""
+    return src.persons(spark, sf_dir).join(src.companies(spark, sf_dir), "company_id")
 
 
 @query("headcount_facet", f"{_P} SELECT company, industry, count(*) AS n FROM persons JOIN companies USING (company_id) GROUP BY ALL")

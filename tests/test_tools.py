@@ -27,7 +27,9 @@ def test_names(spark):
     ("a", "b", "want"),
     [
         (("https://www.x.com/in/ann/", None, "A", None), ("http://x.com/in/ann?q=1", None, "B", None), True),
-        (("x.com/ann", "a@b.c", "Ann Lee", "Acme"), ("x.com/bob", "A@b.c ", "Bob", None), True),
+        (("x.com/ann", "a@b.c", "Ann Lee", "Acme"), ("x.com/bob", "A@b.c ", "Bob", None), False),
+        (("x.com/ann", "a@b.c", "Ann Lee", "Acme"), (None, "A@b.c ", "Bob", None), True),
+        (("x.com/ann", "a@b.c", "Ann Lee", "Acme"), (None, "b@b.c", "Ann Lee", "Acme"), False),
         (("x.com/ann", None, "Ann Lee", "Acme"), ("x.com/bob", None, "Ann Lee", "Acme"), False),
         ((None, None, "Ann Lee", "Acme Inc"), (None, None, "ann B. Lee", "acme"), True),
         ((None, None, "Jonathan Lee", "Acme"), (None, None, "Jonathon Lee", "Acme"), True),
