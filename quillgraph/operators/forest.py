@@ -58,8 +58,8 @@ def cycle_members(edges: DataFrame) -> DataFrame:
             break
         tips = seen["tips"]
     on = walks.join(walks.select(F.col("tip").alias("node")).distinct(), "node", "left_semi").select("node", "least", "at")
-    length = F.count("*").over(W.partitionBy("least"))
-    return on.select("least", F.pmod(length - F.col("at"), length).alias("position"), "node")
+    sizes = on.groupBy("least").agg(F.count("*").alias("n"))  # no window, as a cycle may be of any length
+    return on.join(sizes, "least").select("least", F.pmod(F.col("n") - F.col("at"), F.col("n")).alias("position"), "node")
 
 
 def find_cycles(edges: DataFrame) -> DataFrame:
