@@ -187,6 +187,12 @@ def company_key(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(bare, r"(?U)[^\w\s]+", " "), r"\s+", " "))
 
 
+def company_node_key(name: Column) -> Column:
+    """Key of a company's node: generic words gone, then anything but letters and digits one space; empty for null."""
+    bare = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), f"(?U){COMPANY_KEY_WORDS}", "")
+    return F.trim(F.regexp_replace(bare, r"[^\p{L}\p{N}]+", " "))
+
+
 # What a role and an event are freed of.
 ROLE_COMPANY = r"\s+at\s+.+$"
 ROLE_REST = r"(?:\s+[|·/]\s+|\s+[—–-]\s+).*$"
