@@ -230,3 +230,91 @@ def appearance_kind(a: Column, b: Column) -> Column:
     """Kind of link between two roles at one event: presenters only if both speak."""
     speaks = lambda c: F.lower(F.trim(c)).isin(SPEAKING_ROLES)
     return F.when(speaks(a) & speaks(b), "conference_co_presenter").otherwise("conference_co_attendee")
+
+
+# Kinds of study by what a degree holds (first hit wins), in two wordings, and legal forms of employers.
+STUDY_RULES = [
+    (r"mba|master of business administration", "mba"),
+    (r"phd|ph\.d|ph\. d|doctor of philosophy|doctorate", "phd"),
+    (r"executive", "exec_ed"),
+    (r"bachelor|undergraduate|b\.s\.|b\.a\.|\bb\.?s\b|\bb\.?a\b", "undergrad"),
+    (r"master|m\.s\.|m\.a\.|ms\.|\bm\.?s\b|\bm\.?a\b", "masters"),
+]
+LISTED_STUDY_RULES = [
+    (r"executive|(^|\s)amp(\s|$)", "exec_ed"),
+    (r"emba", "emba"),
+    (r"mba|master of business", "mba"),
+    (r"phd|doctorate|doctor of philosophy", "phd"),
+    (r"ms( |$)|master of science| ms", "ms"),
+    (r"bs( |$)|bachelor| ba( |$)", "bs"),
+]
+EMPLOYER_FORM = r"[\s,]+(?:inc|llc|ltd|limited|corp|corporation|co|company|plc|gmbh|ag|sa|s\.a\.|nv|n\.v\.|bv|b\.v\.|kk|kgaa)\.?$"
+
+
+def _without_ends(name: Column, form: str | None = None) -> Column:
+    """Lower-case name without a leading article, one ending ``form`` and trailing punctuation; empty for null."""
+    bare = F.regexp_replace(F.lower(F.trim(F.coalesce(name, F.lit("")))), "^the ", "")
+    bare = bare if form is None else F.regexp_replace(bare, form, "")
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, EVENT_END, ""), r"\s+", " "))
+
+
+def school_key(name: Column) -> Column:
+    """Key under which a school's names are one, before its aliases."""
+    return _without_ends(name)
+
+
+def employer_key(name: Column) -> Column:
+    """Key under which an employer's names are one, without its legal form and before its aliases."""
+    return _without_ends(name, EMPLOYER_FORM)
+
+
+def study_kind(degree: Column) -> Column:
+    """mba, phd, exec_ed, undergrad or masters by the wording of a degree, else null."""
+    return first_hit(F.trim(degree), STUDY_RULES)
+
+
+def listed_study_kind(degrees: Column, school_default: Column) -> Column:
+    """Kind of study of a list of degrees: that of the school if it has one, else by their joint wording; null if neither tells."""
+    joint = F.lower(F.array_join(F.filter(degrees, lambda d: d.isNotNull()), " "))
+    return F.coalesce(school_default, first_hit(joint, LISTED_STUDY_RULES))
+
+
+# Kinds of companies by words of the industry and of the name (first hit wins).
+COMPANY_TIERS = [
+    ("defense", r"defense", r"lockheed|raytheon|northrop|boeing|northrop grumman|general dynamics|saic|leidos|booz allen|palantir|anduril"),
+    ("aerospace", r"aerospace", r"spacex|airbus|blue origin|sierra space|maxar|rocket lab"),
+    ("research_lab", r"research", r"lanl|llnl|sandia|ornl|nasa|argonne|brookhaven|nist|csail|deepmind|openai|anthropic"),
+    ("semiconductor", r"semiconductor|chip", r"intel|amd|nvidia|tsmc|micron|qualcomm|broadcom|synopsys|cadence|asml|samsung electronics|stmicroelectronics|on semiconductor|onsemi|gf|globalfoundries|marvell|analog devices|texas instruments"),
+]
+
+
+def company_tier(industry: Column, name: Column) -> Column:
+    """Tier of a company by its industry or whole words of its name, else ``other``."""
+    i, n, out = F.lower(F.coalesce(industry, F.lit(""))), F.lower(F.coalesce(name, F.lit(""))), F.lit("other")
+    for tier, trade, names in reversed(COMPANY_TIERS):
+        out = F.when(i.rlike(trade) | n.rlike(rf"\b({names})\b"), tier).otherwise(out)
+    return out
+
+
+# Ordered patterns of press categories (first hit wins).
+PRESS_RULES = [
+    (r"\b(earnings|q[1-4]\s*(fy)?\s*(20)?\d{2}|(first|second|third|fourth)\s+quarter|fiscal\s+(year|quarter)|financial\s+results|quarterly\s+results|annual\s+results|reports\s+(first|second|third|fourth|q[1-4]|fy|fiscal|full[- ]year|quarterly|annual)|fy\s*(20)?\d{2}\s+results|full[- ]year\s+results)\b", "earnings"),
+    (r"\b(partner(s|ed|ing)?\s+with|partnership|collaborat(e|es|ed|ing|ion)|joint\s+venture|alliance|teams?\s+up\s+with|join\s+forces|strategic\s+(deal|agreement|relationship)|expand(s|ed|ing)?\s+(its\s+)?(strategic\s+)?partnership)\b", "partnership"),
+    (r"\b(unveil(s|ed|ing)?|launch(es|ed|ing)?|introduc(e|es|ed|ing)|announc(e|es|ed|ing)\s+(the\s+)?(availability|general\s+availability|release)|now\s+shipping|general\s+availability|releas(e|es|ed|ing)|debut(s|ed|ing)?|rolls?\s+out)\b", "product_launch"),
+    (r"\b(research|publish(es|ed|ing)?|white\s*paper|benchmark(s|ed|ing)?|mlperf|academic|paper\s+accepted|stud(y|ies)|peer[- ]reviewed|conference\s+paper)\b", "research"),
+]
+EXECUTIVES_TOLD = 2
+
+
+def press_kind(payload: Column) -> Column:
+    """Category of a press payload (JSON text) by its headline, else ``co_mention_signal`` with two named executives or more, else ``general``.
+
+    ``mentioned_executives`` holds names or objects with a ``name``; blank ones don't count.
+    """
+    v = F.try_parse_json(payload)
+    is_a = lambda x, kind: F.schema_of_variant(x).startswith(kind)
+    text = lambda x, path: F.when(is_a(F.try_variant_get(x, path, "variant"), "STRING"), F.try_variant_get(x, path, "string"))
+    listed = F.try_variant_get(v, "$.mentioned_executives", "array<variant>")
+    named = F.size(F.filter(listed, lambda x: F.trim(F.coalesce(text(x, "$"), text(x, "$.name"), F.lit(""))) != ""))
+    by_headline = first_hit(F.lower(text(v, "$.headline")), PRESS_RULES)
+    return F.coalesce(by_headline, F.when(named >= EXECUTIVES_TOLD, "co_mention_signal"), F.lit("general"))
