@@ -318,3 +318,18 @@ def press_kind(payload: Column) -> Column:
     named = F.size(F.filter(listed, lambda x: F.trim(F.coalesce(text(x, "$"), text(x, "$.name"), F.lit(""))) != ""))
     by_headline = first_hit(F.lower(text(v, "$.headline")), PRESS_RULES)
     return F.coalesce(by_headline, F.when(named >= EXECUTIVES_TOLD, "co_mention_signal"), F.lit("general"))
+
+
+# Where a title ends, wordings of titles in order, and lengths that suggest one.
+TITLE_END = r"(?is)(\s*[|\u2013\u2014\-:;,]\s*|\s+at\s+).*$"
+TITLE_WORDINGS = [(r"(?i)^vice president( of)?", "VP of"), (r"(?i)^sr\.?\s+director", "Senior Director"), (r"(?i)^sr\.?\s+vp", "SVP"), (r"(?i)^vp\s+(?!of\b)", "VP of ")]
+TITLE_LENGTHS = (6, 70)
+
+
+def canonical_title(raw: Column) -> Column:
+    """Head of a title in one wording with capital initials; null for null and for heads shorter than 6 or longer than 70 characters."""
+    head = F.regexp_replace(F.trim(F.regexp_replace(raw, TITLE_END, "")), r"\s+", " ")
+    for pattern, wording in TITLE_WORDINGS:
+        head = F.regexp_replace(head, pattern, wording)
+    capital = F.transform(F.split(head, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 100)))
+    return F.when(F.length(head).between(*TITLE_LENGTHS), F.array_join(capital, " "))
