@@ -33,14 +33,16 @@ def neighbors(edges: DataFrame) -> DataFrame:
 def focal_subgraphs(nodes: DataFrame, edges: DataFrame, foci: DataFrame, kinds: Sequence[str]) -> DataFrame:
     """(focus, id): the nodes shown around each focus.
 
-    ``nodes`` is (id, kind, score, rank, company); ``edges`` (source, target); ``foci`` one column ``focus``. A focus that isn't
+    ``nodes`` is (id, kind, score, company); ``edges`` (source, target); ``foci`` one column ``focus``. A focus that isn't
     a node (or is null) shows industries, companies, cities and countries, or all nodes if those are fewer than ten. An industry shows its companies; a
     person 40 people by score, and from a score of 75 on enough of the company to make twelve; anything else all its
     neighbors. The root is always there, and of kinds not in ``kinds`` only the focus. Ties go by id.
     """
-    nodes, foci = nodes.select("id", "kind", "score", "rank", F.lower(F.trim("company")).alias("company")), foci.select("focus").distinct()
+    nodes = stored(nodes.select("id", "kind", "score", F.lower(F.trim("company")).alias("company")))
+    foci = stored(foci.select("focus").distinct())
     known = foci.join(nodes.select(F.col("id").alias("focus"), F.col("kind").alias("of"), F.col("score").alias("own"), F.col("company").alias("at")), "focus")
     near = known.join(neighbors(edges).select(F.col("node").alias("focus"), F.col("neighbor").alias("id")), "focus").join(nodes, "id").filter("focus <> id")
+    near = stored(near.select("focus", "of", "own", "at", "id", "kind", "score"))
     people = near.filter("of = 'person' AND kind = 'person'")
     order = F.struct((-F.coalesce("score", F.lit(-1.0))).alias("weak"), "id")
     best = stored(top_structs(people.select("focus", "at", "own", order.alias("v")), "focus", "v", PEOPLE_SHOWN).select("focus", "at", "own", F.col("v.id").alias("id")))

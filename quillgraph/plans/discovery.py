@@ -25,7 +25,7 @@ def _graph(spark, sf_dir):
     net, i = Network(*inputs), F.col("id")
     score = F.when(i % 10 > 0, (i * 37 % 101).cast("double"))
     told = inputs[0].select(F.concat(F.lit("person:"), i.cast("string")).alias("id"), score.alias("score"), F.col("role").alias("title"), "company")
-    return net.nodes().join(told, "id", "left").withColumn("rank", F.lit(None).cast("int")), net.edges()
+    return net.nodes().join(told, "id", "left"), net.edges()
 
 
 _IN = ", ".join(repr(k) for k in KINDS)
