@@ -22,4 +22,4 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-from . import aggregates, backfill, bundles, cohorts, graphs, matching, merges, mining, network, discovery, orgchart, pairs, profiles, scores, search, texts, upserts, wordings  # noqa: E402, F401
+from . import aggregates, backfill, bundles, cohorts, graphs, matching, merges, mining, network, discovery, orgchart, pairs, profiles, scores, search, texts, upserts, versions, wordings  # noqa: E402, F401
