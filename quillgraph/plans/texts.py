@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quillgraph.functions import scoring as fs
+from quillgraph.functions import contacts as fc
 from quillgraph.functions import texts as ft
 from quillgraph.sources import adapters as src
 
@@ -144,3 +145,42 @@ def roster_rows(spark, sf_dir):
     rows = p.select("page_id", F.posexplode(heads).alias("i", "head"))
     section = F.max("head").over(W.partitionBy("page_id").orderBy("i"))
     return rows.withColumn("section", F.coalesce(section, F.lit(-1))).filter("head IS NULL").groupBy("page_id", "section").agg(F.count("*").alias("lines"))
+
+
+EMAILS = ["Ada+x@Mail.Tallgrass.com ", "bo@dept.plainfold.co.uk", "cy@gmail.com", "no mail", "dee@host", "eli@QUARZBACH.de"]
+#: Domains and slugs of these addresses, written out by hand.
+EMAILS_TOLD = [("ada+x@mail.tallgrass.com", "tallgrass.com", "tallgrass"), ("bo@dept.plainfold.co.uk", "plainfold.co.uk", "plainfold"), ("cy@gmail.com", "", ""), ("", "", ""), ("dee@host", "", ""), ("eli@quarzbach.de", "quarzbach.de", "quarzbach")]
+
+
+@query("account_addresses", f"SELECT c_custkey, {_sql_told(EMAILS_TOLD, ['email', 'domain', 'slug'])} FROM customer")
+def account_addresses(spark, sf_dir):
+    """keys, registered domains and likely slugs of work addresses."""
+    email = _dealt(EMAILS)
+    told = lambda c: F.coalesce(c, F.lit(""))
+    domain = fc.email_domain(email)
+    return _customers(spark, sf_dir).select("c_custkey", told(fc.email_key(email)).alias("email"), told(domain).alias("domain"), told(fc.domain_slug(domain)).alias("slug"))
+
+
+@query("page_keys", "SELECT page_id, regexp_replace(lower(trim(url)), '/+$', '') AS key, coalesce(nullif(split_part(regexp_replace(lower(trim(url)), '/+$', ''), '/', 1), ''), '') AS slug FROM pages")
+def page_keys(spark, sf_dir):
+    """keys of pages, with blanks and slashes at their ends, and the first part where none follows ``/company/``."""
+    url = F.concat(F.lit(" "), "url", F.lit("// "))
+    return src.table(spark, sf_dir, "pages").select("page_id", fc.url_key(url).alias("key"), F.coalesce(fc.company_page_slug(url), F.lit("")).alias("slug"))
+
+
+_PRESS = ['{"headline": "Kestrelby unveils a loom"}', '{"headline": "Mill names two", "mentioned_executives": ["A", {"name": "B"}]}', '{"headline": "Mill names one", "mentioned_executives": ["A", {"name": " "}, 7]}', '{"mentioned_executives": "A, B"}', "["]
+
+
+@query("press_kinds", "SELECT c_custkey, " + _sql_told([(x,) for x in ("product_launch", "co_mention_signal", "general", "general", "general")], ["kind"]) + " FROM customer")
+def press_kinds(spark, sf_dir):
+    """press payloads by headline, else by the number of named executives."""
+    return _customers(spark, sf_dir).select("c_custkey", ft.press_kind(_dealt(_PRESS)).alias("kind"))
+
+
+_TRADES = ["Defense and Aerospace", "Aerospace", "Wool", "Chipmaking", "Research"]
+
+
+@query("company_tiers", "SELECT c_custkey, " + _sql_told([(x,) for x in ("defense", "aerospace", "other", "semiconductor", "research_lab")], ["tier"]) + " FROM customer")
+def company_tiers(spark, sf_dir):
+    """Tiers by the words of an industry."""
+    return _customers(spark, sf_dir).select("c_custkey", ft.company_tier(_dealt(_TRADES), F.col("c_custkey").cast("string")).alias("tier"))
