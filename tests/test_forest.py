@@ -157,3 +157,21 @@ def test_beam_equals_plain_rounds(spark, hops, caps, sources):
         for t in (0, 1, 2, 99):
             want = plain_beam(edges, t, min(hops, 4), 0.3, allowed, sources, *caps)
             assert [(r.connector, round(r.strength, 9), r.nodes, r.edges) for r in sorted(got, key=lambda r: r["rank"]) if r.target == t] == want
+
+
+def test_best_managers_by_profiles_equal_those_of_all_pairs(spark, monkeypatch):
+    from quillgraph.operators import orgchart
+
+    rnd = random.Random(5)
+    pick = lambda *of: rnd.choice(of)
+    rows = [(pick(1, 1, 2, None), pick("a", "b", None), n, pick(*range(40, 60), None), pick(True, False, None), pick(0, 1, 2, None), pick(True, False, None)) for n in range(400)]
+    rows += [(1, "a", 7, 41, False, 0, True), (1, "a", 7, 52, True, 1, False)]  # one person with two more rows
+    members = spark.createDataFrame(rows, "company_id int, domain string, person_id long, seniority int, is_ic_track boolean, team int, is_manager_title boolean")
+    want = sorted(map(tuple, orgchart.best_managers(orgchart.pair_scores(members)).collect()))
+    assert sorted(map(tuple, orgchart.best_of_members(members).collect())) == want and want
+    # a cluster twenty times as large has no more scored pairs
+    seen, real = [], orgchart._scored
+    monkeypatch.setattr(orgchart, "_scored", lambda *a: seen.append(real(*a)) or seen[-1])
+    orgchart.best_of_members(members)
+    orgchart.best_of_members(members.crossJoin(spark.range(20)).withColumn("person_id", F.col("person_id") + F.col("id") * 1000).drop("id"))
+    assert seen[0].count() == seen[1].count()
