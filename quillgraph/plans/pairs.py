@@ -239,7 +239,5 @@ p AS (SELECT DISTINCT a, b FROM ({_PAIR})) SELECT a, b, len(list_intersect(x.cs,
 )
 def shared_company_gate(spark, sf_dir):
     """Author pairs that also share a company, by set intersection."""
-    c = src.table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("person_id")).agg(F.collect_set("l_partkey").alias("cs"))
-    p = paper_pairs(spark, sf_dir).select("a", "b").distinct()
-    j = p.join(c.select(F.col("person_id").alias("a"), F.col("cs").alias("ca")), "a").join(c.select(F.col("person_id").alias("b"), F.col("cs").alias("cb")), "b")
-    return j.select("a", "b", F.size(F.array_intersect("ca", "cb")).alias("shared")).filter("shared > 0")
+    c = src.table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("company_id"), F.col("l_suppkey").alias("person_id"))
+    return ops.shared_groups(paper_pairs(spark, sf_dir).select("a", "b"), c)

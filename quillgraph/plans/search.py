@@ -134,7 +134,9 @@ def cohort_cross_reference(spark, sf_dir):
 def executive_match(spark, sf_dir):
     """Names matched within a company, smallest id."""
     p, s = src.persons(spark, sf_dir), src.table(spark, sf_dir, "supplier")
-    j = s.join(p, (p.company_id == s.s_nationkey) & F.contains(s.s_name, F.right(p.name, F.lit(2))))
+    # names that end alike match alike, so the smallest person of each end stands for all
+    ends = p.groupBy("company_id", F.right("name", F.lit(2)).alias("end")).agg(F.min("person_id").alias("person_id"))
+    j = s.join(ends, (ends.company_id == s.s_nationkey) & F.contains(s.s_name, ends.end))
     return j.groupBy("s_suppkey").agg(F.min("person_id").alias("person_id"))
 
 

@@ -136,3 +136,28 @@ def test_canonical_names_equal_the_plain_lookup(spark):
     got = {r.name: r.canonical for r in canonical_names(spark.createDataFrame([(r,) for r in raw], "name string"), aliases).collect() if r.name is not None}
     assert got == {r: plain(r) for r in raw if r is not None}
     assert sum(v is not None for v in got.values()) >= 8
+
+
+def test_shared_groups_count_without_lists(spark):
+    import random
+
+    from quillgraph.operators.pairs import shared_groups
+
+    rnd = random.Random(3)
+    member = [(rnd.randrange(9), rnd.randrange(12)) for _ in range(60)]
+    pairs = [(a, b) for a in range(12) for b in range(a + 1, 12) if rnd.random() < 0.5]
+    of = lambda p: {c for c, x in member if x == p}
+    want = sorted((a, b, n) for a, b in pairs if (n := len(of(a) & of(b))))
+    got = shared_groups(spark.createDataFrame(pairs * 2, "a long, b long"), spark.createDataFrame(member, "company_id long, person_id long"))
+    assert sorted(map(tuple, got.collect())) == want
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_set" not in plan and "collect_list" not in plan
+
+
+def test_executives_match_by_one_person_an_end(spark):
+    from quillgraph.plans.search import executive_match
+
+    plan = executive_match(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # persons are folded below the join with suppliers
+    join = plan.index("Join")
+    assert plan.count("Aggregate") == 2 and plan.index("Aggregate") < join < plan.rindex("Aggregate")
