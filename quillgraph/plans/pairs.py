@@ -228,7 +228,8 @@ def or_join(spark, sf_dir):
     """An OR of two equalities as a union of two equi-joins."""
     p, s = src.persons(spark, sf_dir), src.table(spark, sf_dir, "supplier")
     one = p.join(s, p.person_id == s.s_suppkey).select("person_id", "s_suppkey")
-    two = p.filter("is_ic_track").join(s, p.company_id == s.s_nationkey).filter("person_id <> s_suppkey").select("person_id", "s_suppkey")
+    near = ops.blocked_join(p.filter("is_ic_track").select("company_id", "person_id"), s.select(F.col("s_nationkey").alias("company_id"), "s_suppkey"), ["company_id"])
+    two = near.filter("person_id <> s_suppkey").select("person_id", "s_suppkey")
     return one.unionByName(two)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.operators.pairs import blocked_join
 from quillgraph.sources import adapters as src
 
 from .aggregates import people
@@ -127,7 +128,9 @@ def two_pass_linking(spark, sf_dir):
 def cohort_cross_reference(spark, sf_dir):
     """Equi-join on two keys of a lookup."""
     p, s = src.persons(spark, sf_dir), src.table(spark, sf_dir, "supplier")
-    return p.join(s, (p.company_id == s.s_nationkey) & (p.team == s.s_suppkey % 3)).select(F.col("person_id").alias("a"), F.col("s_suppkey").alias("b"))
+    key = ["company_id", "team"]
+    lookup = s.select(F.col("s_nationkey").alias("company_id"), (F.col("s_suppkey") % 3).cast("int").alias("team"), F.col("s_suppkey").alias("b"))
+    return blocked_join(p.select(*key, F.col("person_id").alias("a")), lookup, key).select("a", "b")
 
 
 @query("executive_match", f"""{_P} SELECT s_suppkey, min(person_id) AS person_id FROM supplier JOIN persons ON company_id = s_nationkey AND contains(s_name, right(name, 2)) GROUP BY 1""")
