@@ -181,3 +181,28 @@ def test_blocked_join_deals_a_hot_key(spark):
 
     for query in (or_join, cohort_cross_reference):
         assert "_i" in query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pair_counts_equal_plain_counts_and_shuffle_no_pairs(spark, monkeypatch):
+    import random
+    from collections import Counter
+    from itertools import combinations
+
+    from quillgraph.operators import pairs as ops
+    from quillgraph.plans.graphs import sparse_edges
+
+    monkeypatch.setattr(ops, "PAIRS_AT_ONCE", 50)
+    rnd = random.Random(8)
+    rows = [(None, 1), ("d1", None)] + [(f"d{min(rnd.randrange(12), 5)}", rnd.randrange(-20, 40)) for _ in range(400)] * 2
+    days = {}
+    for k, m in rows:
+        if k is not None and m is not None:
+            days.setdefault(k, set()).add(m)
+    want = Counter(p for day in days.values() for p in combinations(sorted(day), 2))
+    df = spark.createDataFrame(rows, "k string, m long")
+    for least, block_rows in ((1, 1 << 19), (2, 20), (4, 100)):
+        got = {(r.a, r.b): r.n for r in ops.pair_counts(df, "k", "m", least, block_rows).collect()}
+        assert got == {p: n for p, n in want.items() if n >= least}
+    assert ops.pair_counts(df.limit(0), "k", "m").count() == 0
+    plan = sparse_edges(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "FlatMapGroupsInArrow" in plan
