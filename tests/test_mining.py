@@ -141,3 +141,21 @@ def test_cascade_runs_each_job_once_though_it_is_stopped_in_between(spark, tmp_p
     assert calls[4:] == [("first", 60), ("second", 60), ("third", 60)]
     for name in ("first", "second", "third"):
         assert sorted(r.total for r in results(spark, state, name).collect()) == [sum(range(80)), sum(range(80, 140))]
+
+
+def test_payload_people_sql_leaves_out_every_name_with_a_company_word(spark):
+    import duckdb
+
+    from quillgraph.operators import mining as ops
+    from quillgraph.plans import registry
+
+    names = ["Asga co", "CO Welt", "Una Weld", "Mia Inc.", "Acme Inc", "Tor ,VP, Hale", "Cox Incas", "una weld", "Ann Lee-Press"]
+    told = [(i, f'{{"name": "{n}", "company": "X"}}') for i, n in enumerate(names)]
+    sql = registry.ORACLES["payload_people"]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE told (id BIGINT, payload VARCHAR)")
+    con.executemany("INSERT INTO told VALUES (?, ?)", told)
+    want = sorted(con.sql("WITH RECURSIVE payloads AS (SELECT * FROM told), " + sql[sql.index("items AS (") :]).fetchall())
+    got = ops.payload_mentions(spark.createDataFrame(told, "id long, payload string"))
+    assert sorted(map(tuple, got.collect())) == want
+    assert [r[1] for r in want] == ["Una Weld", "Cox Incas", "Ann Lee-Press"]
