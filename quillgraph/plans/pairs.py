@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions.scoring import STRENGTHS
 from quillgraph.operators import pairs as ops
+from quillgraph.operators.stored import spread
 from quillgraph.sources import adapters as src
 
 from .registry import query
@@ -16,8 +17,12 @@ _PAIR = "SELECT x.work_id, x.person_id AS a, y.person_id AS b, x.year, x.venue F
 
 def paper_pairs(spark, sf_dir):
     """Co-authors: pairs of persons of one work."""
-    works = src.authorship(spark, sf_dir)
-    return ops.co_occurrence(works, ["work_id", "year", "venue"], "person_id")
+    key = ["work_id", "year", "venue"]
+    return ops.co_occurrence(spread(src.authorship(spark, sf_dir), _rows(spark, sf_dir), *key), key, "person_id")
+
+
+def _rows(spark, sf_dir):
+    return src.table(spark, sf_dir, "lineitem").count()
 
 
 @query("co_author_pairs", f"{src.with_ctes('authorship')} SELECT work_id, a, b, year FROM ({_PAIR})")
@@ -133,7 +138,7 @@ def standards_pairs(spark, sf_dir):
 @query("pair_buckets", f"{src.with_ctes('authorship')} SELECT a, b, count(*) AS shared FROM ({_PAIR}) GROUP BY a, b")
 def pair_buckets(spark, sf_dir):
     """Works shared by each pair."""
-    return paper_pairs(spark, sf_dir).groupBy("a", "b").agg(F.count("*").alias("shared"))
+    return spread(paper_pairs(spark, sf_dir).select("a", "b"), _rows(spark, sf_dir), "a", "b").groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
 _EDGES_SQL = f"""edges AS (SELECT a, b, CASE WHEN n >= 3 THEN 'academic_co_author_multi' ELSE 'academic_co_author_single' END AS type, n AS corroborations, y AS last_active_year,
@@ -144,7 +149,8 @@ _EDGES_SQL = f"""edges AS (SELECT a, b, CASE WHEN n >= 3 THEN 'academic_co_autho
 def author_edges(spark, sf_dir):
     """Edges between co-authors; the kind follows the final count of shared works."""
     base, decay = F.when(F.col("corroborations") >= 3, 0.90).otherwise(0.85), F.lit(STRENGTHS["academic_co_author_multi"][1])
-    edges = ops.merge_edges(paper_pairs(spark, sf_dir), F.lit("academic"), "work_id", "year", base, decay, AS_OF)
+    pairs = spread(paper_pairs(spark, sf_dir).select("work_id", "a", "b", "year"), _rows(spark, sf_dir), "a", "b")
+    edges = ops.merge_edges(pairs, F.lit("academic"), "work_id", "year", base, decay, AS_OF)
     kind = F.when(F.col("corroborations") >= 3, "academic_co_author_multi").otherwise("academic_co_author_single")
     return edges.withColumn("type", kind)
 

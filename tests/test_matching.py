@@ -206,3 +206,19 @@ def test_pair_counts_equal_plain_counts_and_shuffle_no_pairs(spark, monkeypatch)
     assert ops.pair_counts(df.limit(0), "k", "m").count() == 0
     plan = sparse_edges(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "FlatMapGroupsInArrow" in plan
+
+
+def test_co_author_steps_spread_by_rows(spark, monkeypatch):
+    from quillgraph.operators import stored
+    from quillgraph.plans import graphs, merges, pairs
+
+    sf = "/root/testdata/sf0.001"
+    names = (pairs.pair_buckets, pairs.merged_edges, graphs.neighbor_sets, graphs.warm_edge_counts, graphs.edge_explanations, merges.evidence_keys)
+    want = [sorted(map(repr, q(spark, sf).collect())) for q in names]
+    monkeypatch.setattr(stored, "PARTITION_ROWS", 500)
+    for q, rows in zip(names, want, strict=True):
+        got = q(spark, sf)
+        assert sorted(map(repr, got.collect())) == rows
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "RepartitionByExpression" in plan and ", 12" in plan  # 6000 rows of line items
+    assert stored.spread(spark.range(10), 5000, "id").rdd.getNumPartitions() == 10
