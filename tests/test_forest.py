@@ -175,3 +175,23 @@ def test_best_managers_by_profiles_equal_those_of_all_pairs(spark, monkeypatch):
     orgchart.best_of_members(members)
     orgchart.best_of_members(members.crossJoin(spark.range(20)).withColumn("person_id", F.col("person_id") + F.col("id") * 1000).drop("id"))
     assert seen[0].count() == seen[1].count()
+
+
+def test_assignment_by_profiles_equals_that_of_all_pairs(spark, monkeypatch):
+    from quillgraph.operators import orgchart
+
+    rnd = random.Random(7)
+    pick = lambda *of: rnd.choice(of)
+    rows = [(pick(1, 1, 2, None), pick("a", "b", None), n, pick(*range(40, 90), None), pick(True, False, None), pick(0, 1, 2, None), pick(True, False, None)) for n in rnd.sample(range(-200, 2000), 700)]
+    rows += [(3, "a", n, 60 if n < 3 else 50, False, 0, True) for n in range(90)]  # limits bind, and most reports stay without a manager
+    members = spark.createDataFrame(rows, "company_id int, domain string, person_id long, seniority int, is_ic_track boolean, team int, is_manager_title boolean")
+    want = sorted(map(tuple, assign(orgchart.pair_scores(members)).collect()))
+    assert sorted(map(tuple, orgchart.assign_members(members).collect())) == want and len([w for w in want if w[0] == 3]) == 30
+    assert orgchart.assign_members(members.limit(0)).count() == 0
+    # a cluster twenty times as large has no more scored pairs, and no round is written
+    monkeypatch.setattr(orgchart, "stored", None)
+    seen, real = [], orgchart._scored
+    monkeypatch.setattr(orgchart, "_scored", lambda *a: seen.append(real(*a)) or seen[-1])
+    orgchart.assign_members(members)
+    orgchart.assign_members(members.crossJoin(spark.range(20)).withColumn("person_id", F.col("person_id") + F.col("id") * 10000).drop("id"))
+    assert seen[0].count() == seen[1].count()
