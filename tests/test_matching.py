@@ -222,3 +222,16 @@ def test_co_author_steps_spread_by_rows(spark, monkeypatch):
         plan = got._jdf.queryExecution().optimizedPlan().toString()
         assert "RepartitionByExpression" in plan and ", 12" in plan  # 6000 rows of line items
     assert stored.spread(spark.range(10), 5000, "id").rdd.getNumPartitions() == 10
+
+
+def test_blocks_of_a_hot_key_are_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from quillgraph.operators.pairs import blocked_join
+
+    left = spark.range(40).selectExpr("1 AS k", "id AS a")
+    right = spark.range(30).selectExpr("1 AS k", "id AS b")
+    got = blocked_join(left, right, ["k"], block=8)
+    assert got.count() == got.distinct().count() == 1200
+    # few bytes, but the pairs are dealt over tasks all the same
+    assert got.groupBy(F.spark_partition_id()).count().count() > 1
