@@ -74,3 +74,14 @@ def test_tiers_and_press(spark):
     named = lambda *x: json.dumps({"headline": "Mill names two", "mentioned_executives": list(x)})
     payloads = ['{"headline": "Mill unveils a loom"}', named("A", {"name": "B"}), named("A", {"name": " "}, {"name": 5}, 7), '{"mentioned_executives": "A, B"}', "[", None, "[]"]
     assert told(spark, payloads, ft.press_kind) == ["product_launch", "co_mention_signal", "general", "general", "general", "general", "general"]
+
+
+def test_members_are_dealt_once_over_all_tasks(spark):
+    from quillgraph.operators.cohorts import talk_signals
+
+    talks = spark.range(60).selectExpr("id", "id AS person_id", "'Loom day' AS event", "'2004' AS year", "'' AS title")
+    got = talk_signals(talks.unionByName(talks.withColumn("year", F.lit("2005"))))
+    assert got.count() == got.distinct().count() == 2 * 60 * 59
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate explode(sequence") == 2  # one join of the members, told to both of a pair
+    assert got.groupBy(F.spark_partition_id()).count().count() > 1
