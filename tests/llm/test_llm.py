@@ -619,3 +619,11 @@ def test_pipeline_stages(spark, docs, odd):
     for _, stage in corpus_pipeline.STAGES:
         odd = stage(spark, odd, SF)
     assert odd.count() > 0
+
+
+def test_texts_with_passages_are_joined_without_a_broadcast(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")
+    found = op5.passages(docs)
+    plan = op5._with_spans(docs, found, "spans")._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
