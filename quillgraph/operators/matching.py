@@ -3,7 +3,7 @@
 Six ordered rules tell whether two records are one person: equal addresses (two different ones say no), equal accounts,
 equal mail (two different ones say no), equal reference, equal name parts, or names of a ratio of ``least`` or more at one company. A rule is a
 blocking key, so pairs are never compared across blocks; within a block, each record is linked to a few
-representatives instead of to every other one. What a representative must be follows from the rules that can say no: a record
+representatives instead of to every other one. Joins merge sorted sides, so that nothing passes through the driver. What a representative must be follows from the rules that can say no: a record
 without an address can't be refused by addresses, so every record of a block of equal accounts or mail matches the
 smallest one without an address, and those with equal addresses are linked anyway. Where mail can refuse too, the kinds "neither",
 "address only" and "mail only" have a representative each. The components of these links are those of all matching pairs.
@@ -49,7 +49,7 @@ def _least_of(when: Column) -> Column:
 def _to_one(rows: DataFrame, key: str, when: Column) -> DataFrame:
     """Links from every row of a block to the block's smallest row of a kind."""
     rows = rows.filter(F.col(key).isNotNull())
-    return rows.join(rows.groupBy(key).agg(_least_of(when).alias("b")).filter("b IS NOT NULL"), key).select(F.col("id").alias("a"), "b")
+    return rows.join(rows.groupBy(key).agg(_least_of(when).alias("b")).filter("b IS NOT NULL").hint("merge"), key).select(F.col("id").alias("a"), "b")
 
 
 def _to_kinds(rows: DataFrame, keys: Sequence[str], pairs: DataFrame | None = None) -> DataFrame:
@@ -63,8 +63,8 @@ def _to_kinds(rows: DataFrame, keys: Sequence[str], pairs: DataFrame | None = No
     if pairs is not None:
         other = least.withColumnRenamed(keys[-1], "other")
         near = pairs.unionByName(pairs.select(*keys[:-1], F.col("other").alias("name"), F.col("name").alias("other"))).distinct()
-        least = least.unionByName(near.join(other, [*keys[:-1], "other"]).drop("other").withColumnRenamed("name", keys[-1]).select(least.columns))
-    met = rows.join(least, list(keys))
+        least = least.unionByName(near.join(other.hint("merge"), [*keys[:-1], "other"]).drop("other").withColumnRenamed("name", keys[-1]).select(least.columns))
+    met = rows.join(least.hint("merge"), list(keys))
     to = F.array(F.col("neither"), F.when(kinds["url_only"], F.col("mail_only")), F.when(kinds["mail_only"], F.col("url_only")))
     return met.select(F.col("id").alias("a"), F.explode(F.array_compact(to)).alias("b"))
 
@@ -91,7 +91,7 @@ def match_links(records: DataFrame, least: float = LEAST) -> DataFrame:
 def resolve(records: DataFrame, least: float = LEAST) -> DataFrame:
     """``records`` with ``person_id``, the smallest id of the records that name the same person."""
     labels = components(match_links(records, least)).select(F.col("node").alias("id"), F.col("label").alias("person_id"))
-    return records.join(labels, "id", "left").withColumn("person_id", F.coalesce("person_id", "id"))
+    return records.join(labels.hint("merge"), "id", "left").withColumn("person_id", F.coalesce("person_id", "id"))
 
 
 def merged(resolved: DataFrame, fields: Sequence[str], priority: str = "priority", spellings: Sequence[str] = ()) -> DataFrame:
@@ -103,5 +103,5 @@ def merged(resolved: DataFrame, fields: Sequence[str], priority: str = "priority
     one = resolved.groupBy("person_id").agg(F.count("*").alias("records"), *first)
     for s in spellings:
         spelled = resolved.filter(F.col(s) != "").groupBy("person_id", F.lower(s).alias("_k")).agg(F.min_by(s, F.struct(-F.col(priority), F.col("id"))).alias("_s"))
-        one = one.join(spelled.groupBy("person_id").agg(F.array_sort(F.collect_list("_s")).alias(f"{s}_variants")), "person_id", "left")
+        one = one.join(spelled.groupBy("person_id").agg(F.array_sort(F.collect_list("_s")).alias(f"{s}_variants")).hint("merge"), "person_id", "left")
     return one

@@ -235,3 +235,22 @@ def test_blocks_of_a_hot_key_are_many_tasks(spark):
     assert got.count() == got.distinct().count() == 1200
     # few bytes, but the pairs are dealt over tasks all the same
     assert got.groupBy(F.spark_partition_id()).count().count() > 1
+
+
+def test_names_are_dealt_over_tasks_and_nothing_is_broadcast(spark):
+    df = spark.createDataFrame([(f"name of {i * i:07d}",) for i in range(4000)], "name string").coalesce(1)
+    plan = similar_names(df, df)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan  # either side is small, and its pieces grow with it
+    dealt = plan.count("REPARTITION_BY_NUM")
+    assert dealt == 2, "each side is dealt before it becomes many rows"
+
+
+def test_components_and_records_broadcast_nothing(spark):
+    links = spark.createDataFrame([(i, i + 1) for i in range(1, 40) if i % 10], "a long, b long")
+    got = components(links)
+    assert {r.node: r.label for r in got.collect()} == {i: (i - 1) // 10 * 10 + 1 for i in range(1, 41)}
+    records = spark.createDataFrame([(1, "u/1", None, None, None, "Ada", "Low", "Mill"), (2, "u/1", None, None, None, "Ada", "Lowe", "Mill"), (3, None, None, None, None, "Bo", "X", None)],
+                                    "id long, url string, account string, email string, reference string, first string, last string, company string")
+    one = ops.resolve(records)
+    assert "Broadcast" not in one._jdf.queryExecution().executedPlan().toString()
+    assert {r.id: r.person_id for r in one.collect()} == {1: 1, 2: 1, 3: 3}
