@@ -94,3 +94,20 @@ def test_long_cycles_and_deep_trees_are_walked_to_the_end(spark):
     chain = spark.createDataFrame([(k, k + 1, 0.9) for k in range(15)], "manager_id long, report_id long, c double")
     got = {r.node: r.depth for r in down_the_tree(chain, F.col("c")).collect()}
     assert got == {k: k for k in range(16)}
+
+
+def test_best_strengths_equal_the_best_listed_paths(spark):
+    import random
+
+    from quillgraph.operators.graphs import best_paths, best_strengths
+
+    rnd = random.Random(5)
+    pairs = {tuple(sorted(rnd.sample(range(30), 2))) for _ in range(70)}
+    rows = [(a, b, rnd.choice([0.2, 0.5, 0.65, 0.7, 0.75, 0.95, 1.0])) for a, b in sorted(pairs)]
+    rows += [(a, b, 0.9) for a, b, _ in rows[::5]]  # parallel edges
+    edges = spark.createDataFrame(rows, "a long, b long, strength double")
+    targets = spark.createDataFrame([(t,) for t in (*range(12), 99)], "target long")
+    for hops in (1, 2, 3):
+        want = {(r.target, r.connector): r.strength for r in best_paths(edges, targets, hops, 0.3).collect()}
+        found = best_strengths(edges, targets, hops, 0.3, cell=(5, 7)).collect()
+        assert {(r.target, r.connector): r.strength for r in found} == want and len(found) == len(want) > 20
