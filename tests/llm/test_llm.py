@@ -16,6 +16,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from quillgraph.llm import common
 from quillgraph.llm import op01_language as op1
 from quillgraph.llm import op02_toxicity as op2
 from quillgraph.llm import op03_ngram_join as op3
@@ -394,6 +395,35 @@ def test_quilted_passages_equal_brute_force(spark, between):
     assert got == want
 
 
+@pytest.mark.parametrize("batch", [10000, 7])
+@pytest.mark.parametrize("rare", [False, True])
+def test_edited_passages_whose_parts_are_common_are_found(spark, rare, batch):
+    """Every part of an edited passage stands in seven documents before its first occurrence and in seven after it; ``rare``: all but two parts. They cost no passage."""
+    rnd = random.Random(29)
+    fresh = lambda n: [f"f{rnd.randrange(10**9)}" for _ in range(n)]
+    rows, planted = [], {}
+    for _ in range(12):
+        p = fresh(70)
+        q = [*p]
+        q[::9] = fresh(8)
+        parts = [p[a : a + 14] for a in range(0, 60, 7)]
+        layer = lambda: [[*fresh(15), *x, *fresh(15)] for _ in range(7) for k, x in enumerate(parts) if not (rare and 3 <= k <= 4)]  # noqa: B023, E731
+        docs = [*layer(), [*fresh(20), *p, *fresh(20)], *layer(), [*fresh(25), *q, *fresh(31)]]
+        planted[len(rows) + len(docs) - 1] = len(rows) + len(docs) // 2 - 1
+        rows += [(len(rows) + k, " ".join(d)) for k, d in enumerate(docs)]
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    try:
+        spark.conf.set(name, str(batch))
+        common.BATCHES[name] = batch
+        found = op5.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    finally:
+        spark.conf.unset(name)
+        common.BATCHES[name] = 1000
+    alone = [r for r in rows if r[0] in planted or r[0] in planted.values()]
+    want = op5.repeated_passages(spark.createDataFrame(alone, "doc_id long, text string")).collect()
+    assert len(want) >= 9 and sorted(found) == sorted(want)
+
+
 def test_passages(spark, odd, none):
     rnd = random.Random(5)
     vocabulary = [f"w{i}" for i in range(4000)]
