@@ -254,3 +254,84 @@ def test_components_and_records_broadcast_nothing(spark):
     one = ops.resolve(records)
     assert "Broadcast" not in one._jdf.queryExecution().executedPlan().toString()
     assert {r.id: r.person_id for r in one.collect()} == {1: 1, 2: 1, 3: 3}
+
+
+def _plain_counts(members):
+    from collections import Counter
+
+    ids = sorted(members)
+    return Counter({(a, b): n for i, a in enumerate(ids) for b in ids[i + 1 :] if (n := len(members[a] & members[b]))})
+
+
+def test_pairs_of_keys_count_as_the_keys_do(monkeypatch):
+    import random
+
+    import numpy as np
+
+    from quillgraph.operators import pairs as ops
+
+    monkeypatch.setattr(ops, "PAIRS_AT_ONCE", 300)
+    monkeypatch.setattr(ops, "FEW_KEYS", 6)
+    rnd = random.Random(3)
+    many = {m: set(rnd.sample(range(60), rnd.choice([1, 2, 4, 5, 6, 6, 9, 30]))) for m in range(-40, 360)}
+    many |= {m + 1000: set(keys) for m, keys in many.items()}
+    want = _plain_counts(many)
+
+    def block(ids):
+        rows = [(k, m) for m in sorted(ids) for k in rnd.sample(sorted(many[m]), len(many[m]))]
+        keys, members = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+        return keys, members, members % 3 == 0
+
+    one, two = block([m for m in many if m % 2]), block([m for m in many if m % 2 == 0])
+    for least in (1, 2, 3):
+        got = {}
+        for cell in ((one, None), (two, None), (one, two)):
+            for a, b, n in ops._counted(*cell, least, None):
+                for p, k in zip(zip(a.tolist(), b.tolist(), strict=True), n.tolist(), strict=True):
+                    assert p not in got
+                    got[p] = k
+        assert got == {p: n for p, n in want.items() if n >= least and (p[0] % 3 == 0 or p[1] % 3 == 0)}
+    made = []
+    monkeypatch.setattr(ops, "_two_keys", lambda *x, f=ops._two_keys: made.append(1) or f(*x))
+    list(ops._counted(one, two, 2, None))
+    assert made  # pairs that share one key only are never made
+
+
+def test_pair_counts_of_asked_members_and_of_the_best(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from quillgraph.operators.pairs import pair_counts
+
+    rnd = random.Random(4)
+    days = {m: {rnd.randrange(25) for _ in range(rnd.randrange(1, 12))} for m in range(90)}
+    df = spark.createDataFrame([(d, m) for m, own in days.items() for d in own], "k long, m long")
+    want = {p: n for p, n in _plain_counts(days).items() if n >= 2}
+    got = {(r.a, r.b): r.n for r in pair_counts(df, "k", "m", 2, 60, asked=F.col("m") % 9 == 0).collect()}
+    assert got == {p: n for p, n in want.items() if p[0] % 9 == 0 or p[1] % 9 == 0}
+    few = {(r.a, r.b): r.n for r in pair_counts(df, "k", "m", 2, 60, best=(3, 4)).collect()}
+    assert len(few) < len(want) and all(n == min(4, want[p]) for p, n in few.items())
+    for m in days:
+        order = lambda found, m=m: sorted((-min(4, n), a + b - m) for (a, b), n in found.items() if m in (a, b))[:3]
+        assert order(few) == order(want)
+
+
+def test_edges_of_the_graph_are_not_stored(spark, monkeypatch):
+    from quillgraph.plans import profiles
+
+    def refused(df):
+        raise AssertionError("the edges grow with the square of the customers")
+
+    monkeypatch.setattr(profiles, "stored", refused)
+    assert profiles.visible_graph(spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_edges_among_people_alone_are_counted_for_them_alone(spark):
+    from quillgraph.plans.graphs import typed_edges
+
+    sf = "/root/testdata/sf0.01"
+    people = spark.range(0, 1500, 4).toDF("person_id")
+    every = {tuple(r) for r in typed_edges(spark, sf).collect()}
+    assert {tuple(r) for r in typed_edges(spark, sf, people, both=True).collect()} == {r for r in every if r[1] % 4 == 0 and r[2] % 4 == 0} != set()
+    assert {tuple(r) for r in typed_edges(spark, sf, people).collect()} == {r for r in every if r[1] % 4 == 0 or r[2] % 4 == 0} != every
