@@ -111,3 +111,20 @@ def test_best_strengths_equal_the_best_listed_paths(spark):
         want = {(r.target, r.connector): r.strength for r in best_paths(edges, targets, hops, 0.3).collect()}
         found = best_strengths(edges, targets, hops, 0.3, cell=(5, 7)).collect()
         assert {(r.target, r.connector): r.strength for r in found} == want and len(found) == len(want) > 20
+
+
+def test_path_counts_equal_the_listed_paths(spark, monkeypatch):
+    import random
+
+    from quillgraph.operators import graphs
+    from quillgraph.operators.graphs import path_counts, simple_paths
+
+    rnd = random.Random(6)
+    monkeypatch.setattr(graphs, "TIP_WAYS", 60)  # several blocks of tips
+    links = {tuple(sorted(rnd.sample(range(-9, 20), 2))): rnd.choice([0.3, 0.5, 0.65, 0.7, 0.75, 0.95, 1.0]) for _ in range(110)}
+    edges = spark.createDataFrame([(*p, s) for p, s in links.items()], "a long, b long, strength double")
+    sources = spark.createDataFrame([(t,) for t in (*range(12), 99)], "source long")
+    for hops in (2, 3):
+        listed = simple_paths(edges, sources, hops, 0.3).groupBy("source", "tip").agg(F.count("*").alias("n"), F.max("strength").alias("s"), F.min("hops").alias("h")).collect()
+        got = path_counts(edges, sources, hops, 0.3)
+        assert sorted((r.source, r.tip, r.paths, round(min(0.99, r.best), 9), r.shortest) for r in got.collect()) == sorted((r.source, r.tip, r.n, round(r.s, 9), r.h) for r in listed)
