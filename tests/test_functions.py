@@ -128,3 +128,13 @@ def test_path_counts_equal_the_listed_paths(spark, monkeypatch):
         listed = simple_paths(edges, sources, hops, 0.3).groupBy("source", "tip").agg(F.count("*").alias("n"), F.max("strength").alias("s"), F.min("hops").alias("h")).collect()
         got = path_counts(edges, sources, hops, 0.3)
         assert sorted((r.source, r.tip, r.paths, round(min(0.99, r.best), 9), r.shortest) for r in got.collect()) == sorted((r.source, r.tip, r.n, round(r.s, 9), r.h) for r in listed)
+
+
+def test_best_paths_write_nothing_between_hops(spark, monkeypatch):
+    from quillgraph.operators import graphs
+    from quillgraph.plans.graphs import best_paths
+
+    written = []
+    monkeypatch.setattr(graphs, "stored", lambda df, f=graphs.stored: written.append(df.columns) or f(df))
+    assert best_paths(spark, "/root/testdata/sf0.001").columns == ["target", "connector", "strength"]
+    assert written and not any("target" in c or "tip" in c for c in written)  # the edges alone
