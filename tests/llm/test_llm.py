@@ -657,3 +657,27 @@ def test_texts_with_passages_are_joined_without_a_broadcast(spark):
     found = op5.passages(docs)
     plan = op5._with_spans(docs, found, "spans")._jdf.queryExecution().sparkPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_common_seeds_of_a_pair_travel_packed():
+    import random
+
+    import numpy as np
+    import pyarrow as pa
+
+    from quillgraph.llm import op05_passages as o
+
+    rnd = random.Random(2)
+    docs = {d: sorted((rnd.randrange(30), rnd.randrange(500)) for _ in range(rnd.randrange(1, 40))) for d in range(12)}
+    flat = [(d, 7, h, pos) for d, seeds in docs.items() for h, pos in seeds]
+    names = ["doc", "key", "h", "pos"]
+    stream = [pa.RecordBatch.from_arrays([pa.array([r[i] for r in part], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int32()))], names=names) for part in (flat[:50], flat[50:])]
+    listed = {row["doc"]: row["seeds"] for b in o._listed(iter(stream)) for row in b.to_pylist()}
+    assert all(len(x) == 12 * len(docs[d]) for d, x in listed.items())  # 12 bytes a seed
+    pairs = [(a, b) for a in docs for b in docs if b < a]
+    columns = [pa.array([p[0] for p in pairs]), pa.array([7] * len(pairs)), pa.array([p[1] for p in pairs]), pa.array([7] * len(pairs)), *(pa.array([listed[p[i]] for p in pairs], pa.binary()) for i in (0, 1))]
+    (met,) = o._shared(iter([pa.RecordBatch.from_arrays(columns, names=["doc", "key", "first_doc", "first_key", "seeds", "first_seeds"])]))
+    own = o._unpacked({c: np.asarray(met.column(c)) for c in met.schema.names})
+    got = sorted(zip(*(own[c].tolist() for c in ("doc", "first_doc", "pos", "first_pos")), strict=True))
+    assert got == sorted((a, b, pos, min(p for g, p in docs[b] if g == h)) for a, b in pairs for h, pos in docs[a] if any(g == h for g, _ in docs[b]))
+    assert not own["long"].any() and not own["h"].any()
